@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomwright.llm.canonical import map_fields
 from loomwright.llm.components import merge_groups
 from loomwright.llm.tokens import encode_texts
 from loomwright.session import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return map_fields(table(spark, sf_dir, "nodes"), table(spark, sf_dir, "terms"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_groups(table(spark, sf_dir, "workflows"))
 
@@ -20,7 +25,7 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p6_found": p6_found, "p7_ids": p7_ids}
+    return {"p2_found": p2_found, "p6_found": p6_found, "p7_ids": p7_ids}
 
 
 def oracle_sql() -> dict[str, str]:
