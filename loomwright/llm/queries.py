@@ -8,10 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomwright.llm.canonical import map_fields
 from loomwright.llm.components import merge_groups
+from loomwright.llm.consensus import survivors
 from loomwright.llm.tokens import encode_texts
 from loomwright.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivors(table(spark, sf_dir, "wf_versions"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_fields(table(spark, sf_dir, "nodes"), table(spark, sf_dir, "terms"))
 
@@ -25,7 +30,7 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p6_found": p6_found, "p7_ids": p7_ids}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p6_found": p6_found, "p7_ids": p7_ids}
 
 
 def oracle_sql() -> dict[str, str]:
