@@ -10,6 +10,7 @@ from loomwright.llm.canonical import map_fields
 from loomwright.llm.components import merge_groups
 from loomwright.llm.consensus import survivors
 from loomwright.llm.tokens import encode_texts
+from loomwright.llm.vectors import nearest_vectors
 from loomwright.session import table
 
 
@@ -21,6 +22,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_fields(table(spark, sf_dir, "nodes"), table(spark, sf_dir, "terms"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_vectors(table(spark, sf_dir, "faiss_meta"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_groups(table(spark, sf_dir, "workflows"))
 
@@ -30,7 +35,7 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p6_found": p6_found, "p7_ids": p7_ids}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids}
 
 
 def oracle_sql() -> dict[str, str]:
