@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from loomwright.llm.canonical import map_fields
 from loomwright.llm.components import merge_groups
 from loomwright.llm.consensus import survivors
+from loomwright.llm.sentences import split_sentences
 from loomwright.llm.tokens import encode_texts
 from loomwright.llm.vectors import nearest_vectors
 from loomwright.session import table
@@ -34,8 +35,12 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_sentences(table(spark, sf_dir, "documents")).distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
