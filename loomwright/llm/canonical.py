@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomwright.session import cut
+
 # Letters that look alike, and what they are read as.
 LOOKALIKES = "аеорсухіѕјԁһкмтвноαορνικτ"
 READ_AS = "aeopcyxisjdhkmtbhoaopviKt".lower()
@@ -57,8 +59,8 @@ def reference_words(terms: DataFrame) -> tuple[DataFrame, DataFrame]:
     names = F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))
     phrases = terms.where("name is not null and term_id is not null").select("kind", "term_id", F.explode(F.array_distinct(names)).alias("phrase"))
     split = F.array_distinct(F.transform(words(F.col("phrase")), lambda w: F.regexp_replace(w, r"\.", "")))
-    cut = phrases.withColumn("ws", split).where("size(ws) > 0")
-    parts = cut.select("kind", "term_id", "phrase", F.size("ws").alias("size"), F.explode("ws").alias("word")).distinct()
+    phrases = phrases.withColumn("ws", split).where("size(ws) > 0")
+    parts = phrases.select("kind", "term_id", "phrase", F.size("ws").alias("size"), F.explode("ws").alias("word")).distinct()
     single = parts.select("kind", "word").distinct()
     table = "map(" + ",".join("'{}','{}'".format(*p.split(":")) for p in IRREGULAR.split()) + ")"
     forms = F.expr(
@@ -99,6 +101,7 @@ def match_words(typed: DataFrame, forms: DataFrame) -> DataFrame:
     equal = typed.join(forms.withColumnRenamed("form", "q"), ["kind", "q"])
     undotted = typed.where("q like '%.'").withColumn("form", bare).join(forms, ["kind", "form"]).select("kind", "q", "word", "cost")
     exact = _nearest(equal.select("kind", "q", "word", "cost").unionByName(undotted))
+    exact = cut(exact)
     rest = typed.join(exact.select("kind", "q").distinct(), ["kind", "q"], "left_anti")
 
     plain = forms.where(f"cost < 0.5 and length(form) >= {LEAST}")
@@ -116,6 +119,7 @@ def match_words(typed: DataFrame, forms: DataFrame) -> DataFrame:
     pairs = pairs.withColumn("cost", F.expr(f"cast(if({swapped}, 1, lev) as double)"))
     near = _nearest(pairs.where(f"cost <= if(length(form) < {LONG}, {EDITS}, {EDITS_LONG})"))
 
+    near = cut(near)
     left = rest.join(near.select("kind", "q").distinct(), ["kind", "q"], "left_anti")
     return exact.unionByName(near).unionByName(_joined(left, forms))
 
@@ -142,8 +146,9 @@ def map_values(values: DataFrame, terms: DataFrame) -> DataFrame:
     typed = values.select("kind", "value").where("value is not null").distinct()
     typed = typed.where(F.regexp_replace("value", r"[\s  ]+", "") != "")
     parts, forms = reference_words(terms.select("term_id", "kind", "name", "aliases"))
-    cut = typed.select("kind", "value", F.posexplode(words(F.col("value"))).alias("pos", "q"))
-    matched = cut.join(match_words(cut.select("kind", "q").distinct(), forms), ["kind", "q"])
+    typed, parts, forms = cut(typed), cut(parts), cut(forms)  # each is read many times below
+    placed = typed.select("kind", "value", F.posexplode(words(F.col("value"))).alias("pos", "q"))
+    matched = placed.join(match_words(cut(placed.select("kind", "q").distinct()), forms), ["kind", "q"])
     hits = matched.join(parts, ["kind", "word"])
     hits = hits.groupBy("kind", "value", "term_id", "phrase", "size", "word").agg(F.min(F.struct("cost", "pos")).alias("best"))
     full = hits.groupBy("kind", "value", "term_id", "phrase", "size").agg(F.count("*").alias("n"), F.sum("best.cost").alias("cost"))
