@@ -10,6 +10,7 @@ from loomwright.llm.canonical import map_fields
 from loomwright.llm.components import merge_groups
 from loomwright.llm.consensus import survivors
 from loomwright.llm.sentences import split_sentences
+from loomwright.llm.splitting import all_texts, long_items, split_items
 from loomwright.llm.tokens import encode_texts
 from loomwright.llm.vectors import nearest_vectors
 from loomwright.session import table
@@ -23,6 +24,19 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_fields(table(spark, sf_dir, "nodes"), table(spark, sf_dir, "terms"))
 
 
+def _p3(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    chunks, docs = table(spark, sf_dir, "chunks"), table(spark, sf_dir, "docs")
+    return split_items(long_items(chunks, docs), all_texts(chunks, docs))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p3(spark, sf_dir)[0].select("item_id", "cut_at").distinct()
+
+
+def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p3(spark, sf_dir)[1].distinct()
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_vectors(table(spark, sf_dir, "faiss_meta"))
 
@@ -40,7 +54,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
