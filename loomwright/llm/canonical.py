@@ -135,30 +135,55 @@ def _joined(left: DataFrame, forms: DataFrame) -> DataFrame:
     return both.select("kind", "q", F.explode(F.array("wa", "wb")).alias("word"), F.lit(1.0).alias("cost")).distinct()
 
 
-def map_values(values: DataFrame, terms: DataFrame) -> DataFrame:
-    """(kind, value, term_id) for each distinct (kind, value); term_id 0 where the list has none that is meant.
-
-    Null and blank values have no row. Of several entries that are meant the one
-    with more words, then fewer edits, then the smaller id counts. An empty list
-    gives 0 for every value; repeated entries count once; other columns of either
-    table are ignored. Texts of any length are read whole.
-    """
+def _meanings(values: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """typed (kind, value); placed (…, pos, q); matched (…, pos, q, word, cost); meant (kind, value, term_id)."""
     typed = values.select("kind", "value").where("value is not null").distinct()
-    typed = typed.where(F.regexp_replace("value", r"[\s  ]+", "") != "")
+    typed = typed.where(F.regexp_replace("value", r"[\s\u00a0\u3000]+", "") != "")
     parts, forms = reference_words(terms.select("term_id", "kind", "name", "aliases"))
     typed, parts, forms = cut(typed), cut(parts), cut(forms)  # each is read many times below
     placed = typed.select("kind", "value", F.posexplode(words(F.col("value"))).alias("pos", "q"))
-    matched = placed.join(match_words(cut(placed.select("kind", "q").distinct()), forms), ["kind", "q"])
+    matched = cut(placed.join(match_words(cut(placed.select("kind", "q").distinct()), forms), ["kind", "q"]))
     hits = matched.join(parts, ["kind", "word"])
     hits = hits.groupBy("kind", "value", "term_id", "phrase", "size", "word").agg(F.min(F.struct("cost", "pos")).alias("best"))
     full = hits.groupBy("kind", "value", "term_id", "phrase", "size").agg(F.count("*").alias("n"), F.sum("best.cost").alias("cost"))
     full = full.where("n = size")
     meant = full.groupBy("kind", "value").agg(F.min(F.struct((-F.col("size")).alias("less"), "cost", "term_id")).alias("best"))
-    meant = meant.select("kind", "value", F.col("best.term_id").alias("term_id"))
+    return typed, placed, matched, meant.select("kind", "value", F.col("best.term_id").alias("term_id"))
+
+
+def map_values(values: DataFrame, terms: DataFrame) -> DataFrame:
+    """(kind, value, term_id) for each distinct (kind, value); term_id 0 where the list has none that is meant.
+
+    Null and blank values have no row. Of several entries that are meant the one
+    with more words, then fewer edits, then the smaller id counts. An empty list
+    gives 0 for every value; repeated entries count once; other columns of either
+    table are ignored. Texts of any length are read whole.
+    """
+    typed, _, _, meant = _meanings(values, terms)
     none = typed.join(meant, ["kind", "value"], "left_anti").withColumn("term_id", F.lit(0))
     return meant.unionByName(none.select("kind", "value", F.col("term_id").cast(meant.schema["term_id"].dataType)))
 
 
+def canonical_values(values: DataFrame, terms: DataFrame) -> DataFrame:
+    """(kind, value, canon): one spelling for all ways to type a thing, on the list or not.
+
+    Of an entry that is meant, its id. Else the reference words the value holds, if
+    there are two; else the consonants of its own words, without endings. Null and
+    blank values have no row.
+    """
+    typed, placed, matched, meant = _meanings(values, terms)
+    one = matched.groupBy("kind", "value", "pos").agg(F.min(F.struct("cost", "word")).alias("m"))
+    known = one.groupBy("kind", "value").agg(F.array_sort(F.collect_set("m.word")).alias("ws")).where("size(ws) >= 2")
+    # Words that say nothing of what is done, or to what.
+    bare = "filter(transform(words, w -> regexp_replace(w, '[.]', '')), w -> not array_contains(array('the','a','an','each','please','and','then','to','assy','old','worn','no'), w))"
+    endings = f"transform({bare}, w -> regexp_replace(w, '(?<=..)(?:ing|ed|es|s|e)$', ''))"
+    skeleton = f"array_join(transform({endings}, w -> left(w, 1) || regexp_replace(regexp_replace(substring(w, 2), '[aeiou]', ''), '(.)\\\\1+', '$1')), ' ')"
+    own = typed.withColumn("words", words(F.col("value"))).select("kind", "value", F.expr(skeleton).alias("own"))
+    named = own.join(meant, ["kind", "value"], "left").join(known, ["kind", "value"], "left")
+    canon = F.coalesce(F.concat(F.lit("#"), F.col("term_id").cast("string")), F.concat(F.lit("="), F.array_join("ws", " ")), F.concat(F.lit("~"), F.col("own")))
+    return named.select("kind", "value", canon.alias("canon"))
+
+
 def map_fields(rows: DataFrame, terms: DataFrame, id_col: str = "node_id", fields: tuple[str, ...] = ("action", "object")) -> DataFrame:
     """(id, field, term_id) for each row's field whose value is neither null nor blank nor a name of the list.
 

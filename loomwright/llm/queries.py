@@ -12,6 +12,7 @@ from loomwright.llm.consensus import survivors
 from loomwright.llm.sentences import split_sentences
 from loomwright.llm.splitting import all_texts, long_items, split_items
 from loomwright.llm.tokens import encode_texts
+from loomwright.llm.variants import near_duplicates, near_groups
 from loomwright.llm.vectors import nearest_vectors
 from loomwright.session import table
 
@@ -37,6 +38,14 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p3(spark, sf_dir)[1].distinct()
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "workflows"), table(spark, sf_dir, "terms"))
+
+
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "workflows"), table(spark, sf_dir, "terms"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_vectors(table(spark, sf_dir, "faiss_meta"))
 
@@ -54,7 +63,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
