@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from loomwright.llm.canonical import map_fields
 from loomwright.llm.components import merge_groups
 from loomwright.llm.consensus import survivors
+from loomwright.llm.packing import pack_texts
 from loomwright.llm.sentences import split_sentences
 from loomwright.llm.splitting import all_texts, long_items, split_items
 from loomwright.llm.tokens import encode_texts
@@ -58,12 +59,16 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"))
 
 
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_texts(table(spark, sf_dir, "documents"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_sentences(table(spark, sf_dir, "documents")).distinct()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
