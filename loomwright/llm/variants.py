@@ -62,15 +62,16 @@ def candidate_pairs(sets: DataFrame) -> DataFrame:
     whole = segments.where(F.size("part") >= MIN_STEPS).select("id", *place, F.xxhash64(*place, "part").alias("key"))
     fewer = segments.where(F.size("part") > MIN_STEPS).select("id", *place, F.explode(F.expr("transform(part, x -> filter(part, y -> y <> x))")).alias("part"))
     fewer = fewer.select("id", F.xxhash64(*place, "part").alias("key"))
-    index = cut(whole.select("id", "key", F.lit(True).alias("asked")).unionByName(fewer.withColumn("asked", F.lit(False))))
-    sizes = index.groupBy("key").agg(F.count("*").alias("n"), F.max("asked").alias("asked")).where("n > 1 and asked")
-    useful = index.join(sizes.select("key", "n"), "key")
-    asked = useful.where(f"asked and n <= {HOT}").select("key", F.col("id").alias("x"))
-    held = useful.where(f"n <= {HOT}").select("key", F.col("id").alias("y"))
+    index = whole.select("id", "key", F.lit(True).alias("asked")).unionByName(fewer.withColumn("asked", F.lit(False)))
+    same = Window.partitionBy("key")  # one shuffle; a hot key's rows are counted as they stream by
+    useful = index.withColumns({"n": F.count("*").over(same), "any": F.max("asked").over(same)}).where("n > 1 and any")
+    useful = cut(useful.select("id", "key", "asked", (F.col("n") > HOT).alias("hot")))
+    asked = useful.where("asked and not hot").select("key", F.col("id").alias("x"))
+    held = useful.where("not hot").select("key", F.col("id").alias("y"))
     found = asked.join(held, "key").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
     # A pair is missed under a hash only if, in both records, a segment is small or hot.
-    hot = sizes.where(f"n > {HOT}").select("key").join(index, "key").select("id").distinct()
+    hot = useful.where("hot").select("id").distinct()
     small = segments.groupBy("id", "seed").agg(F.min(F.size("part")).alias("least")).where(f"least <= {MIN_STEPS}")
     small = small.groupBy("id").agg(F.count("*").alias("n")).where(f"n = {SEEDS}").select("id")
     rest = cut(sets.join(small.unionByName(hot).distinct(), "id", "left_semi"))
@@ -93,11 +94,13 @@ def _prefix_pairs(sets: DataFrame) -> DataFrame:
 
 def near_pairs(sets: DataFrame) -> DataFrame:
     """(a, b), a < b: all pairs of ids of different sets with a Jaccard similarity of J or more."""
-    left = sets.select(F.col("id").alias("a"), F.col("steps").alias("sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("steps").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    held = candidate_pairs(sets).join(left, "a").join(right, "b").withColumn("both", both)
-    return held.where(f"both >= {J} * (size(sa) + size(sb) - both) - 1e-9").select("a", "b")
+    numbered = sets.withColumn("number", F.xxhash64("id"))  # shorter than ids on the way
+    left = numbered.select(F.col("number").alias("a"), F.col("id").alias("ia"), F.col("steps").alias("sa"))
+    right = numbered.select(F.col("number").alias("b"), F.col("id").alias("ib"), F.col("steps").alias("sb"))
+    pairs = candidate_pairs(numbered.select(F.col("number").alias("id"), "steps"))
+    held = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
+    held = held.where(f"both >= {J} * (size(sa) + size(sb) - both) - 1e-9")
+    return held.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"))
 
 
 def classes(sets: DataFrame) -> DataFrame:
