@@ -1,8 +1,8 @@
 """Filling of fixed-capacity containers with texts, related ones together.
 
 A text is measured in tokens; one over the capacity is cut into full containers
-and a rest, all others stay whole. The items are dealt by hash to shards of about
-SHARD tokens, whatever the input's size. A shard holds a BM25 inverted index of
+and a rest, all others stay whole. The items are packed in shards of about SHARD tokens,
+in the order they are read, whatever the input's size. A shard holds a BM25 inverted index of
 its items; how rare a term is comes from counts over all texts. The longest unused
 item is a container's seed; its best neighbours in the index that are unused and
 fit are put beside it, best first. What room is left takes the largest unused item
@@ -12,17 +12,17 @@ dissolved and their items packed again by size, in shards of their own.
 
 from __future__ import annotations
 
-import heapq
 import math
 from bisect import bisect_right
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.tokens import TOKENIZERS, encode_texts
+from loomwright.llm.tokens import TOKENIZERS, share_automaton, worker_encoder
 from loomwright.session import cut
 
 CAPACITY = 2_048
@@ -31,7 +31,7 @@ SHARD = 2_000_000
 #: Share of a container that must be filled, else its items are packed again.
 FULL = 0.98
 #: BM25's saturation and length parameters; the rarest terms of a seed that are looked up.
-K1, B, TERMS = 1.2, 0.75, 24
+K1, B, TERMS = 1.2, 0.75, 16
 
 
 class SizePool:
@@ -63,48 +63,56 @@ class SizePool:
 
 
 class Bm25:
-    """Inverted index of one shard: term -> (items, impacts)."""
-
-    def __init__(self, bags: list[dict[int, int]], rarity: dict[int, float], common: float):
-        lengths = [sum(b.values()) for b in bags]
-        mean = (sum(lengths) / len(lengths) if lengths else 1) or 1
-        posts: dict[int, tuple[list[int], list[float]]] = defaultdict(lambda: ([], []))
-        for i, bag in enumerate(bags):
-            norm = K1 * (1 - B + B * lengths[i] / mean)
-            for term, n in bag.items():
-                items, impacts = posts[term]
-                items.append(i)
-                impacts.append(n * (K1 + 1) / (n + norm) * rarity.get(term, common))
-        self.posts = {t: (np.array(i, np.int32), np.array(w, np.float32)) for t, (i, w) in posts.items() if len(i) > 1}
-        self.rarity, self.common, self.scores = rarity, common, np.zeros(len(bags), np.float32)
-
-    def neighbours(self, bag: dict[int, int]):
-        """Items that share terms with a bag, best first."""
-        terms = heapq.nlargest(TERMS, (t for t in bag if t in self.posts), key=lambda t: (self.rarity.get(t, self.common), t))
-        if not terms:
-            return
-        scores = self.scores
-        for t in terms:
-            items, impacts = self.posts[t]
-            scores[items] += impacts
-        met = np.flatnonzero(scores)
-        order = met[np.lexsort((met, -scores[met]))]
-        scores[met] = 0
-        yield from order.tolist()
-
-
-def pack(sizes: list[int], bags: list[dict[int, int]] | None, rarity: dict[int, float], common: float, capacity: int) -> list[list[int]]:
-    """Items of each container. Without bags by size only."""
+    """Inverted index of one shard over the items' token ids, in arrays."""
+
+    def __init__(self, ids: list[np.ndarray], rarity: np.ndarray):
+        lengths = np.array([len(x) for x in ids], dtype=np.int64)
+        owner = np.repeat(np.arange(len(ids), dtype=np.int64), lengths)
+        keys, n = np.unique((owner << 20) | np.concatenate(ids) if len(ids) else np.zeros(0, np.int64), return_counts=True)
+        self.doc, self.term = (keys >> 20).astype(np.int32), (keys & 0xFFFFF).astype(np.int32)
+        norm = K1 * (1 - B + B * lengths / max(1.0, lengths.mean() if len(ids) else 1.0))
+        self.rare = rarity[self.term]
+        impact = (n * (K1 + 1) / (n + norm[self.doc]) * self.rare).astype(np.float32)
+        by_term = np.argsort(self.term, kind="stable")
+        self.posted, self.impact = self.doc[by_term], impact[by_term]
+        self.post_at = np.searchsorted(self.term[by_term], np.arange(len(rarity) + 1))
+        self.doc_at = np.searchsorted(self.doc, np.arange(len(ids) + 1))
+        self.scores = np.zeros(len(ids), np.float32)
+
+    def neighbours(self, i: int) -> list[int]:
+        """Items that share a rare term with item i, best first."""
+        lo, hi = self.doc_at[i], self.doc_at[i + 1]
+        if hi - lo > TERMS:
+            best = np.argpartition(-self.rare[lo:hi], TERMS)[:TERMS]
+            terms = self.term[lo:hi][best]
+        else:
+            terms = self.term[lo:hi]
+        met = []
+        for t in terms.tolist():
+            a, b = self.post_at[t], self.post_at[t + 1]
+            if b - a > 1:
+                items = self.posted[a:b]
+                self.scores[items] += self.impact[a:b]
+                met.append(items)
+        if not met:
+            return []
+        found = np.unique(np.concatenate(met))
+        order = found[np.argsort(-self.scores[found], kind="stable")]
+        self.scores[found] = 0
+        return order.tolist()
+
+
+def pack(sizes: list[int], index: Bm25 | None, capacity: int) -> list[list[int]]:
+    """Items of each container. Without an index by size only."""
     pool, out = SizePool(sizes), []
-    index = Bm25(bags, rarity, common) if bags is not None else None
     while True:
         seed = pool.largest(capacity)
         if seed < 0:
             return out
         held, room = [seed], capacity - sizes[seed]
-        if index is not None and room:
-            smallest = pool.keys[0] if pool.keys else room + 1
-            for i in index.neighbours(bags[seed]):
+        smallest = pool.keys[0] if pool.keys else room + 1
+        if index is not None and room >= smallest:
+            for i in index.neighbours(seed):
                 if room < smallest:
                     break
                 if not pool.used[i] and sizes[i] <= room:
@@ -127,47 +135,72 @@ def pack_texts(texts: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id
     """(container, place, doc_id, start_at, tokens): which tokens of which text stand where.
 
     ``start_at`` is 0 and ``tokens`` the text's length in tokens, but for texts over
-    the capacity, which are cut. Every token of every text is placed once; empty
-    and null texts have no row, as they take no room. Each distinct id is packed
-    once (of several rows the greatest text); equal texts under several ids are
-    packed each. Other columns are ignored; an empty table gives an empty result.
+    the capacity, which are cut. Every token of every row is placed once, so
+    repeated rows, and equal texts under several ids, are packed each; empty and
+    null texts have no row, as they take no room. Other columns are ignored; an
+    empty table gives an empty result. Texts are packed where they are read; only
+    items of poorly filled containers move.
     """
-    one = texts.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("bigint").alias("doc_id")).agg(F.max(text_col).alias("text"))
-    ids = cut(encode_texts(one, "doc_id", "text", folder=folder).where("size(ids) > 0"))
-    total = ids.agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("tokens")).first()
-    n, tokens = total["n"] or 0, total["tokens"] or 0
-    counted = ids.select(F.explode(F.array_distinct("ids")).alias("t")).groupBy("t").agg(F.count("*").alias("n")).toPandas()  # one row a token of the vocabulary at most
-    rarity = {int(t): math.log(1 + (n - c + 0.5) / (c + 0.5)) for t, c in zip(counted["t"], counted["n"])}
-    shared = texts.sparkSession.sparkContext.broadcast(rarity)
-    cuts = F.expr(f"transform(sequence(0, size(ids) - 1, {capacity}), s -> struct(s as start_at, slice(ids, s + 1, {capacity}) as ids))")
-    items = ids.select("doc_id", F.explode(cuts).alias("x")).select("doc_id", "x.start_at", "x.ids")
-    shards = max(1, math.ceil(tokens / shard))
-
-    def filled(table: pa.Table) -> pa.Table:
-        doc, start, ids_ = (table.column(c).to_pylist() for c in ("doc_id", "start_at", "ids"))
-        order = sorted(range(len(doc)), key=lambda i: (doc[i], start[i]))
-        sizes = [len(ids_[i]) for i in order]
-        bags = [Counter(ids_[i]) if len(ids_[i]) < capacity else {} for i in order]
-        rows = []
-        for k, held in enumerate(pack(sizes, bags, shared.value, 1.0, capacity)):
-            name = f"a{table.column('shard')[0].as_py()}-{k}"
-            full = sum(sizes[i] for i in held) >= FULL * capacity
-            rows += [(name, p, doc[order[i]], start[order[i]], sizes[i], full) for p, i in enumerate(held)]
-        cols = list(zip(*rows)) or [[]] * 6
-        return pa.table(dict(zip(("container", "place", "doc_id", "start_at", "tokens", "full"), (pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()))))))
-
-    def refilled(table: pa.Table) -> pa.Table:
+    spark = texts.sparkSession
+    automaton = share_automaton(spark, "byte_bpe_50k", folder)
+    rows = texts.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("length(text) > 0")
+
+    def count(batches):
+        held: Counter = Counter()
+        encode = worker_encoder(automaton)
+        for batch in batches:
+            for text in batch.column(1).to_pylist():
+                held.update(set(encode(text)))
+                held[-1] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(list(held.values()), pa.int64())], names=["t", "n"])
+
+    # One row a token of the vocabulary at most; -1 counts the texts.
+    counted = dict(rows.mapInArrow(count, "t int, n bigint").groupBy("t").agg(F.sum("n").alias("n")).toPandas().itertuples(index=False))
+    n = counted.pop(-1, 0)
+    rarity = np.zeros(max(counted, default=0) + 1)
+    for t, c in counted.items():
+        rarity[t] = math.log(1 + (n - c + 0.5) / (c + 0.5))
+    shared = spark.sparkContext.broadcast(rarity)
+
+    def fill(batches):
+        encode, part, number = worker_encoder(automaton), TaskContext.get().partitionId(), 0
+        doc, start, ids, held = [], [], [], 0
+
+        def shard_rows():
+            sizes = [len(x) for x in ids]
+            placed = []
+            for k, items in enumerate(pack(sizes, Bm25(ids, shared.value), capacity)):
+                full = sum(sizes[i] for i in items) >= FULL * capacity
+                placed += [(f"a{part}-{number}-{k}", p, doc[i], start[i], sizes[i], full) for p, i in enumerate(items)]
+            cols = list(zip(*placed)) or [[]] * 6
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()))], names=["container", "place", "doc_id", "start_at", "tokens", "full"])
+
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = np.array(encode(text), dtype=np.int64)
+                for at in range(0, len(own), capacity):
+                    doc.append(name)
+                    start.append(at)
+                    ids.append(own[at : at + capacity])
+                held += len(own)
+                if held >= shard:
+                    yield shard_rows()
+                    doc, start, ids, held, number = [], [], [], 0, number + 1
+        if ids:
+            yield shard_rows()
+
+    def refill(table: pa.Table) -> pa.Table:
         doc, start, sizes = (table.column(c).to_pylist() for c in ("doc_id", "start_at", "tokens"))
-        order = sorted(range(len(doc)), key=lambda i: (doc[i], start[i]))
-        rows = []
-        for k, held in enumerate(pack([sizes[i] for i in order], None, {}, 1.0, capacity)):
-            rows += [(f"b{table.column('shard')[0].as_py()}-{k}", p, doc[order[i]], start[order[i]], sizes[order[i]]) for p, i in enumerate(held)]
-        cols = list(zip(*rows)) or [[]] * 5
+        order = sorted(range(len(doc)), key=lambda i: (doc[i] is None, doc[i], start[i]))
+        placed = []
+        for k, held in enumerate(pack([sizes[i] for i in order], None, capacity)):
+            placed += [(f"b{table.column('shard')[0].as_py()}-{k}", p, doc[order[i]], start[order[i]], sizes[order[i]]) for p, i in enumerate(held)]
+        cols = list(zip(*placed)) or [[]] * 5
         return pa.table(dict(zip(("container", "place", "doc_id", "start_at", "tokens"), (pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32()))))))
 
-    dealt = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start_at"), F.lit(shards)))
-    first = cut(dealt.groupBy("shard").applyInArrow(filled, PLACED + ", full boolean"))
+    first = cut(rows.mapInArrow(fill, PLACED + ", full boolean"))
     left = first.where("not full").agg(F.sum("tokens")).first()[0] or 0
-    again = first.where("not full").withColumn("shard", F.pmod(F.xxhash64("doc_id", "start_at"), F.lit(max(1, math.ceil(left / shard)))))
-    again = again.select("shard", "doc_id", "start_at", "tokens").groupBy("shard").applyInArrow(refilled, PLACED)
+    shards = max(1, math.ceil(left / shard))
+    again = first.where("not full").withColumn("shard", F.pmod(F.xxhash64("doc_id", "start_at"), F.lit(shards)))
+    again = again.select("shard", "doc_id", "start_at", "tokens").groupBy("shard").applyInArrow(refill, PLACED)
     return first.where("full").drop("full").unionByName(again)
