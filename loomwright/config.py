@@ -22,7 +22,7 @@ class Similarity:
     query_weights: tuple[float, float] = (0.6, 0.4)
     cluster_threshold: float = R.CLUSTER_THRESHOLD
     gap: float = R.ALIGN_GAP
-    graph_budget: int = 20_000
+    graph_width: int = 24
     graph_nodes: int = 25
 
 

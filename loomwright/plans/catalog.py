@@ -4,16 +4,643 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from loomwright.functions import rules as R
+from loomwright.functions import text as X
+from loomwright.functions import vectors as V
+from loomwright.operators import actions as A
+from loomwright.operators import coref, graphs, markers, retrieval, segment, similarity, units, workflows
+from loomwright.session import table
+from loomwright.streaming.ingest import event_windows
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its name, with its SQL if SQL can say it."""
+
+    def keep(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+# --- SQL shared by the counterparts -------------------------------------------------
+
+STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+
+
+def _strip(x: str) -> str:
+    return STRIP.format(x)
+
+
+def _class(x: str) -> str:
+    return f"""case when regexp_matches({x}, '{R.STEP_LINE}') then case when regexp_matches({x}, '^\\s*[-•▪]') then 'list_item' else 'step' end
+      when regexp_matches({x}, '{R.LIST_PAREN}') then 'list_item' else 'paragraph' end"""
+
+
+def _heading(x: str) -> str:
+    return rf"(length({x}) between 3 and 180 and (not regexp_matches({x}, '{R.STEP_LINE}') or regexp_matches({x}, '^\d+\.\d+')) and regexp_matches({x}, '{R.HEADING}'))"
+
+
+def _noise(x: str) -> str:
+    return rf"""(length({x}) < 2 or regexp_matches({x}, '^\d+\.\s*$') or (regexp_matches({x}, '{R.ALLCAPS}') and length({x}) > 20)
+      or (contains({x}, '—') and not regexp_matches({x}, '{R.CLS_NUMBERED}') and length({x}) > 40)
+      or regexp_matches(lower({x}), '^this section describes') or regexp_matches(lower({x}), '^#*\s*(sample|synthetic|example)\b')
+      or (contains(lower({x}), 'regression tests') and length({x}) < 120))"""
+
+
+def _listed(words) -> str:
+    return "(" + ",".join(f"'{w}'" for w in words) + ")"
+
+
+def _kind(x: str) -> str:
+    return rf"""case when {_strip(x)} = '' then 'DESCRIPTION' when regexp_matches({x}, '{R.CONDITIONAL}') or regexp_matches({x}, '{R.UNLESS}') then 'CONDITIONAL'
+      when regexp_matches({x}, '{R.CLS_NUMBERED}') then 'INSTRUCTION' when regexp_matches({x}, '{R.CLS_DESC_PREFIX}') or regexp_matches({x}, '{R.CLS_COMPARISON}') then 'DESCRIPTION'
+      when regexp_extract(lower({x}), '^\W*(\w+)', 1) in {_listed(R.IMPERATIVES)} and not regexp_matches(lower({x}), '^\s*record all\b') then 'INSTRUCTION'
+      when length({x}) > 120 then 'DESCRIPTION' else 'INSTRUCTION' end"""
+
+
+CHUNKS = rf"""chunk_rows as (select chunk_id, document_id, order_index, {_strip('text')} as text, page, section, paragraph,
+  coalesce(nullif(regexp_replace(lower(trim(unit_type)), '[\s\-]+', '_', 'g'), ''), 'paragraph') as unit_type
+  from (select distinct chunk_id, document_id, order_index, text, page, section, paragraph, unit_type from chunks where text is not null) where {_strip('text')} <> '')"""
+SENTENCES = rf"""sentence_rows as (select chunk_id, document_id, order_index, page, section, unit_type, s.s as sentence, s.i as sent_index from chunk_rows,
+  lateral (select unnest(x) as s, generate_subscripts(x, 1) - 1 as i from (select list_filter(list_transform(string_split(
+    regexp_replace(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)), lambda p: {_strip('p')}), lambda p: p <> '') as x)) s)"""
+NODES = r"""node_rows as (select *, trim(regexp_replace(regexp_replace(regexp_replace(lower(label), '\b(the|a|an)\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'), ' +', ' ', 'g')) as normal
+  from (select distinct workflow_id, node_id, ord, action, object, actor, page, section, trim(concat_ws(' ', action, nullif(object, ''))) as label from nodes where node_id is not null and workflow_id is not null))"""
+EDGES = """edge_rows as (select workflow_id, i as seq, e.source as source, e.target as target, e.relation as relation, e.weight as weight, e.evidence as evidence
+  from (select workflow_id, unnest(edges) as e, generate_subscripts(edges, 1) - 1 as i from (select distinct workflow_id, edges from workflows where edges is not null)))"""
+
+
+def _descriptive(x: str) -> str:
+    return f"({_strip(f'''coalesce({x}, '')''')} = '' or regexp_matches({x}, '{R.LIGHT_DESC}'))"
+
+
+SPURIOUS = rf"""coalesce(regexp_matches(lower(label), '^perform\s+\d+\.?$') or regexp_matches(label, '^\d+\.?$') or {_descriptive('label')}
+  or (regexp_matches(label, '{R.ALLCAPS}') and length(label) > 20)
+  or (lower(trim(coalesce(action, ''))) = 'perform' and (regexp_matches(lower(trim(coalesce(object, ''))), '^\d+\.?$') or contains(lower(trim(coalesce(object, ''))), 'testing passes')))
+  or lower(trim(coalesce(action, ''))) = 'aircraft' or (lower(trim(coalesce(action, ''))) = 'complete' and contains(lower(trim(coalesce(object, ''))), 'procedure below')), true)"""
+
+
+def _chunks(spark, d) -> DataFrame:
+    return units.chunk_rows(table(spark, d, "chunks"))
+
+
+def _sentences(spark, d) -> DataFrame:
+    rows = _chunks(spark, d).select("*", F.posexplode(X.sentences(F.col("text"))).alias("sent_index", "sentence"))
+    return rows.drop("text")
+
+
+def _nodes(spark, d) -> DataFrame:
+    return graphs.node_rows(table(spark, d, "nodes"))
+
+
+def _edges(spark, d) -> DataFrame:
+    return graphs.edge_rows(table(spark, d, "workflows"))
+
+
+# --- scans, units, chunks -----------------------------------------------------------
+
+LINES = rf"""line_rows as (select doc_id, unit_no, text, case when {_heading('text')} then 'heading' else {_class('text')} end as unit_type
+  from (select doc_id, unit_no, {_strip('line')} as text from (select doc_id, unnest(l) as line, generate_subscripts(l, 1) - 1 as unit_no
+    from (select doc_id, string_split_regex(text, '\r\n|\n|\r') as l from documents where text is not null))) where text <> '')"""
+
+
+@query(
+    rf"""with {LINES} select doc_id, unit_no, text, unit_type,
+  last_value(case when unit_type = 'heading' then text end ignore nulls) over w as section,
+  sum(case when unit_type = 'heading' then 0 else 1 end) over w as paragraph,
+  greatest(sum(case when regexp_matches(text, '{R.MAJOR_SECTION}') then 1 else 0 end) over w, 1) as page
+  from line_rows window w as (partition by doc_id order by unit_no rows between unbounded preceding and current row)"""
+)
+def unit_scan(spark, d):
+    return units.text_units(table(spark, d, "documents"), "doc_id")
+
+
+@query(f"with {LINES} select unit_type, count(*) as n, count(distinct doc_id) as docs from line_rows group by unit_type")
+def line_classify(spark, d):
+    u = units.scan_lines(table(spark, d, "documents"), "doc_id").withColumn("unit_type", X.unit_class(F.col("text")))
+    return u.groupBy("unit_type").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+
+
+@query(
+    rf"""with {CHUNKS}, marked as (select *, string_split(regexp_replace(text, '{R.CHUNK_STEP}', chr(1) || '\0', 'g'), chr(1)) as m from chunk_rows),
+  parts as (select *, case when unit_type in ('heading', 'table', 'step', 'list_item') then [text] when len(m) <= 2 and not contains(text, chr(10)) then [text]
+    when len(m) > 2 or (len(m) = 2 and m[1] = '') then m[2:] else string_split_regex(text, '\n\s*\n') end as p from marked),
+  flat as (select chunk_id, unit_type, q as p from (select chunk_id, unit_type, case when unit_type in ('heading', 'table') then p else list_filter(list_transform(p, lambda x: {_strip('x')}), lambda x: x <> '') end as q from parts))
+  select chunk_id, piece_no, piece, case when unit_type in ('heading', 'table') then unit_type else {_class('piece')} end as piece_type
+  from (select chunk_id, unit_type, unnest(p) as piece, generate_subscripts(p, 1) - 1 as piece_no from flat)"""
+)
+def chunk_split(spark, d):
+    return units.split_chunks(_chunks(spark, d))
+
+
+@query()
+def unit_chunks(spark, d):
+    return units.chunk_units(units.doc_units(table(spark, d, "docs")))
+
+
+@query(f"with {CHUNKS}, {SENTENCES} select chunk_id, sent_index, sentence from sentence_rows")
+def sentence_split(spark, d):
+    return _sentences(spark, d).select("chunk_id", "sent_index", "sentence")
+
+
+@query(
+    rf"""with {CHUNKS}, cut as (select chunk_id, text, string_split_regex(text, '{R.LIST_SEP}') as p from chunk_rows),
+  parts as (select chunk_id, case when len(p) > 3 then list_filter(list_transform(p, lambda s: regexp_replace(s, '^[ \t.,;:]+|[ \t.,;:]+$', '', 'g')), lambda s: s <> '') else [text] end as p from cut)
+  select chunk_id, unnest(p) as item, generate_subscripts(p, 1) - 1 as item_no from parts"""
+)
+def list_separator_split(spark, d):
+    return _chunks(spark, d).select("chunk_id", F.posexplode(X.list_parts(F.col("text"))).alias("item_no", "item"))
+
+
+# --- sentence and label rules -------------------------------------------------------
+
+
+@query(f"with {CHUNKS}, {SENTENCES} select chunk_id, sent_index, {_noise('sentence')} as noise, {_kind('sentence')} as kind from sentence_rows")
+def sentence_classify(spark, d):
+    s = F.col("sentence")
+    return _sentences(spark, d).select("chunk_id", "sent_index", X.is_noise(s).alias("noise"), X.sentence_class(s).alias("kind"))
+
+
+@query(
+    rf"""with {CHUNKS}, {SENTENCES}, c as (select chunk_id, sent_index, sentence, try_cast(regexp_extract(sentence, '{R.TARGET_RANGE}', 1) as int) as lo, try_cast(regexp_extract(sentence, '{R.TARGET_RANGE}', 2) as int) as hi
+    from sentence_rows where regexp_matches(sentence, '{R.CONDITIONAL}') or regexp_matches(sentence, '{R.UNLESS}'))
+  select chunk_id, sent_index, {_strip(r"regexp_replace(regexp_extract(sentence, '^([^,]*)', 1), '(?i)^\s*(?:if|unless)\s+', '', 'g')")} as condition,
+  lower(regexp_extract(sentence, '{R.CONDITIONAL}', 1)) as rework,
+  array_to_string(case when lo is not null and hi is not null and lo <= hi and hi - lo < 1000 then range(lo, hi + 1)
+    else list_transform(regexp_extract_all(sentence, '{R.TARGET_ONE}', 1), lambda x: try_cast(x as bigint)) end, ',') as targets from c"""
+)
+def conditional_parse(spark, d):
+    rows = A.conditions(_sentences(spark, d))
+    return rows.select("chunk_id", "sent_index", "condition", "rework", F.array_join(F.transform("target_steps", lambda x: x.cast("string")), ",").alias("targets"))
+
+
+@query(f"with {CHUNKS} select chunk_id, try_cast(regexp_extract(text, '{R.STEP_NUM}', 1) as int) as step_number from chunk_rows where try_cast(regexp_extract(text, '{R.STEP_NUM}', 1) as int) is not null")
+def step_number(spark, d):
+    return _chunks(spark, d).withColumn("step_number", X.step_number(F.col("text"))).where("step_number is not null").select("chunk_id", "step_number")
+
+
+_HEAD = "|".join(m.replace(" ", r"\s+") for m, _ in R.all_markers())
+_BARE = rf"regexp_replace({_strip(rf'''regexp_replace(regexp_replace(sentence, '{R.STEP_NUM}', '', 'g'), '(?i)^\s*(?:{_HEAD})\s+[^,]+,\s*', '', 'g')''')}, '[.!?;:]+$', '', 'g')"
+
+
+@query(
+    rf"""with {CHUNKS}, {SENTENCES}, x as (select chunk_id, sent_index, {_BARE} as x from sentence_rows where {_kind('sentence')} = 'INSTRUCTION'),
+  y as (select *, regexp_extract(x, '^(\S+)', 1) as first, {_strip(r"regexp_replace(x, '^\S+\s*', '', 'g')")} as rest from x),
+  z as (select *, regexp_matches(first, '^[A-Za-z]+$') and lower(first) not in {_listed(R.STOP_VERBS)} as word from y)
+  select chunk_id, sent_index, case when word then lower(first) else 'perform' end as action, case when word then nullif(rest, '') else x end as object
+  from z where word or (x <> '' and len(string_split_regex(x, '\s+')) <= 6)"""
+)
+def imperative_extract(spark, d):
+    s = F.col("sentence")
+    rows = _sentences(spark, d).where(X.sentence_class(s) == "INSTRUCTION").withColumn("a", A.imperative(s)).where("a is not null")
+    return rows.select("chunk_id", "sent_index", F.col("a.action").alias("action"), F.col("a.object").alias("object"))
+
+
+@query(
+    rf"""with {CHUNKS}, {SENTENCES} select chunk_id, sent_index, lower(regexp_extract(sentence, '{R.CAUSATIVE}', 3)) as action, regexp_extract(sentence, '{R.CAUSATIVE}', 2) as object,
+  nullif(regexp_extract(sentence, '{R.DURATION}', 1), '') as duration from sentence_rows where regexp_extract(sentence, '{R.CAUSATIVE}', 3) <> ''"""
+)
+def causative_extract(spark, d):
+    rows = _sentences(spark, d).withColumn("a", A.causative(F.col("sentence"))).where("a is not null")
+    return rows.select("chunk_id", "sent_index", "a.action", "a.object", "a.duration")
+
+
+@query()
+def action_extraction(spark, d):
+    rows = A.extract(_chunks(spark, d))
+    return rows.select("chunk_id", "unit_index", "sent_index", "kind", "action", "object", "label", "step_number")
+
+
+@query(f"with {CHUNKS}, {SENTENCES} select chunk_id, sent_index from sentence_rows where {_descriptive('sentence')}")
+def description_filter(spark, d):
+    return _sentences(spark, d).where(X.looks_descriptive(F.col("sentence"))).select("chunk_id", "sent_index")
+
+
+@query(f"with {NODES} select workflow_id, node_id, {SPURIOUS} as spurious from node_rows")
+def spurious_filter(spark, d):
+    s = F.coalesce(X.is_spurious_node(F.col("action"), F.col("object"), F.lit(None).cast("string")), F.lit(True))
+    return _nodes(spark, d).select("workflow_id", "node_id", s.alias("spurious"))
+
+
+@query()
+def coreference(spark, d):
+    rows = _chunks(spark, d).where(F.col("unit_type") == "paragraph")
+    return rows.select("chunk_id", coref.resolve(F.col("text")).alias("resolved"))
+
+
+# --- discourse markers --------------------------------------------------------------
+
+_REL = "case " + " ".join(f"when marker in {_listed(ms)} then '{r}'" for r, ms in R.MARKERS.items()) + " end"
+
+
+def _phrase(x: str) -> str:
+    return rf"regexp_replace(regexp_replace(regexp_replace({x}, '\s+', ' ', 'g'), '^[ ,;:.\-]+|[ ,;:.\-]+$', '', 'g'), '(?i)^(?:and|or|but)\s+', '', 'g')"
+
+
+def _edge_sql(pattern: str, places: tuple[int, int, int], where: str) -> str:
+    a, m, b = places
+    return rf"""with {CHUNKS}, {SENTENCES}, x as (select chunk_id, sent_index, regexp_replace(lower(regexp_extract(sentence, '{pattern}', {m})), '\s+', ' ', 'g') as marker,
+    {_phrase(f"regexp_extract(sentence, '{pattern}', {a})")} as a, {_phrase(f"regexp_extract(sentence, '{pattern}', {b})")} as b from sentence_rows where {where}),
+  y as (select chunk_id, sent_index, marker, {_REL} as relation, a, b from x where marker <> '')
+  select chunk_id, sent_index, marker, relation, case when relation = 'BEFORE' then b else a end as source, case when relation = 'BEFORE' then a else b end as target
+  from y where a <> '' and b <> '' and lower(a) <> lower(b)"""
+
+
+@query(_edge_sql(markers.COMMA, (2, 1, 3), "true"))
+def marker_comma_edges(spark, d):
+    return markers.comma_edges(_sentences(spark, d)).select("chunk_id", "sent_index", "marker", "relation", "source", "target")
+
+
+@query(_edge_sql(markers.INFIX, (1, 2, 3), f"not regexp_matches(sentence, '{markers.COMMA}')"))
+def marker_infix_edges(spark, d):
+    return markers.infix_edges(_sentences(spark, d)).select("chunk_id", "sent_index", "marker", "relation", "source", "target")
+
+
+@query(
+    rf"""with {NODES}, p as (select distinct workflow_id, {_phrase('e.sentence')} as phrase from (select workflow_id, unnest(evidence_sources) as e from workflows)),
+  s as (select p.workflow_id, phrase, node_id, ord,
+    case when coalesce(action, '') <> '' and contains(lower(phrase), lower(action)) then 2 else 0 end + case when coalesce(object, '') <> '' and contains(lower(phrase), lower(object)) then 2 else 0 end
+    + case when label <> '' and phrase <> '' and (contains(lower(phrase), lower(label)) or contains(lower(label), lower(phrase))) then 3 else 0 end as score
+    from p join node_rows n on p.workflow_id = n.workflow_id where phrase is not null)
+  select workflow_id, phrase, node_id, score from (select *, row_number() over (partition by workflow_id, phrase order by score desc, ord, node_id) as r from s where score >= 1) where r = 1"""
+)
+def phrase_action_match(spark, d):
+    e = table(spark, d, "workflows").select("workflow_id", F.explode("evidence_sources").alias("e")).select("workflow_id", X.clean_phrase(F.col("e.sentence")).alias("phrase"))
+    return markers.match_phrases(e.where("phrase is not null"), _nodes(spark, d), "workflow_id")
+
+
+STEPS = f"""steps as (select *, try_cast(regexp_extract(text, '{R.STEP_NUM}', 1) as int) as step_number from chunk_rows)"""
+
+
+@query(
+    f"""with {CHUNKS}, {STEPS}, o as (select document_id, chunk_id as target, section, step_number, lag(chunk_id) over w as source, lag(section) over w as s0, lag(step_number) over w as n0 from steps where step_number is not null
+    window w as (partition by document_id order by coalesce(page, 0), coalesce(section, ''), step_number, order_index, chunk_id))
+  select document_id, source, target, n0, step_number from o where source is not null and s0 is not distinct from section and step_number > n0"""
+)
+def numbered_step_edges(spark, d):
+    rows = _chunks(spark, d).withColumn("step_number", X.step_number(F.col("text")))
+    return markers.numbered_edges(rows).select("document_id", "source", "target", "n0", "step_number")
+
+
+# --- segmentation -------------------------------------------------------------------
+
+DENSITY = rf"""marks as (select chunk_id, count(*) as n from sentence_rows where regexp_matches(sentence, '{markers.COMMA}') group by chunk_id),
+  density as (select document_id, chunk_id, case when max(n) over (partition by document_id) > 0 then n / max(n) over (partition by document_id) else 0 end as density
+    from (select distinct c.document_id, c.chunk_id, coalesce(m.n, 0)::double as n from chunk_rows c left join marks m using (chunk_id)))"""
+_HIT = "({})".format(" or ".join(f"regexp_matches(text, '{p}')" for p in R.LEXICAL))
+_TITLE = "({})".format(" or ".join(f"regexp_matches(coalesce(section, ''), '{p}')" for p in R.LEXICAL))
+GAPS = rf"""acts as (select c.*, density, try_cast(regexp_extract(text, '{R.STEP_NUM}', 1) as int) as step_number from chunk_rows c join density using (chunk_id, document_id) where unit_type <> 'heading'),
+  ordered as (select *, row_number() over w - 1 as idx, lag(section) over w as s0, lag(page) over w as p0 from acts window w as (partition by document_id order by coalesce(page, 0), order_index, chunk_id)),
+  scored as (select *, idx > 0 and section is distinct from s0 as changed, max((step_number is not null)::int) over (partition by document_id, section) as numbered,
+    avg(density) over (partition by document_id order by idx rows between 5 preceding and 4 following) as mean from ordered),
+  parts as (select *, case when idx = 0 then 0.0 when changed then 1.0 when coalesce(abs(page - p0) >= 2, false) then 0.6 else 0.0 end as structural,
+    case when {_HIT} then 1.0 when changed then case when {_TITLE} then 1.0 else 0.35 end else 0.0 end as lexical,
+    case when numbered = 1 then 0.0 else greatest(0.0, least(1.0, 1 - mean)) end as continuity from scored),
+  gaps as (select *, case when idx = 0 then 1.0 else 0.35 * structural + 0.40 * lexical + 0.25 * continuity end as confidence from parts)"""
+
+
+def _gaps(spark, d) -> DataFrame:
+    rows = _chunks(spark, d)
+    s = _sentences(spark, d)
+    density = segment.marker_density(rows, s.where(F.col("sentence").rlike(markers.COMMA)))
+    acts = rows.where(F.col("unit_type") != "heading").join(density, ["document_id", "chunk_id"]).withColumn("step_number", X.step_number(F.col("text")))
+    return segment.gap_scores(acts.withColumnRenamed("text", "sentence"))
+
+
+@query(f"with {CHUNKS}, {SENTENCES}, {DENSITY} select document_id, chunk_id, round(density, 6) as density from density")
+def marker_density(spark, d):
+    s = _sentences(spark, d)
+    out = segment.marker_density(_chunks(spark, d), s.where(F.col("sentence").rlike(markers.COMMA)))
+    return out.withColumn("density", F.round("density", 6))
+
+
+@query(f"with {CHUNKS}, {SENTENCES}, {DENSITY}, {GAPS} select document_id, chunk_id, idx, round(structural::double, 6) as structural, round(lexical::double, 6) as lexical, round(continuity::double, 6) as continuity, round(confidence::double, 6) as confidence, idx > 0 and confidence >= 0.45 as is_boundary from gaps")
+def boundary_scores(spark, d):
+    r = {c: F.round(c, 6) for c in ("structural", "lexical", "continuity", "confidence")}
+    return _gaps(spark, d).withColumns(r).select("document_id", "chunk_id", "idx", *r, "is_boundary")
+
+
+@query(
+    f"""with {CHUNKS}, {SENTENCES}, {DENSITY}, {GAPS}, numbered as (select *, sum((idx > 0 and confidence >= 0.45)::int) over (partition by document_id order by idx rows between unbounded preceding and current row) as group_no from gaps)
+  select document_id, group_no, count(*) as actions, min(page) as page_start, max(page) as page_end, arg_min(section, idx) filter (coalesce(section, '') <> '') as title_hint,
+  round(arg_min(confidence, idx)::double, 6) as boundary_confidence from numbered group by document_id, group_no"""
+)
+def boundary_segments(spark, d):
+    return segment.group_rows(segment.assign_groups(_gaps(spark, d))).withColumn("boundary_confidence", F.round("boundary_confidence", 6))
+
+
+@query()
+def weak_boundary_filter(spark, d):
+    return segment.drop_weak(_gaps(spark, d)).withColumn("confidence", F.round("confidence", 6))
+
+
+@query()
+def small_group_merge(spark, d):
+    return segment.merge_small(segment.group_rows(segment.assign_groups(_gaps(spark, d))))
+
+
+# --- graphs -------------------------------------------------------------------------
+
+
+@query(f"with {NODES} select workflow_id, node_id, label, normal from (select *, row_number() over (partition by workflow_id, normal order by ord, node_id) as r from node_rows) where r = 1")
+def node_dedupe(spark, d):
+    return graphs.first_labels(_nodes(spark, d)).select("workflow_id", "node_id", "label", "normal")
+
+
+@query()
+def node_subsumption(spark, d):
+    return graphs.drop_subsumed(_nodes(spark, d))
+
+
+@query(f"with {NODES} select workflow_id, source, target from (select workflow_id, node_id as source, lead(node_id) over (partition by workflow_id order by ord, node_id) as target from node_rows) where target is not null")
+def document_order_edges(spark, d):
+    return graphs.document_edges(_nodes(spark, d))
+
+
+@query(f"with {EDGES} select workflow_id, source, target, relation, weight from (select *, row_number() over (partition by workflow_id, source, target, relation order by weight desc nulls last, seq) as r from edge_rows) where r = 1")
+def edge_dedupe(spark, d):
+    return graphs.dedupe_edges(_edges(spark, d)).select("workflow_id", "source", "target", "relation", "weight")
+
+
+@query(f"with {EDGES} select workflow_id, source, target, arg_max(relation, seq) as relation from edge_rows group by workflow_id, source, target")
+def adjacency(spark, d):
+    return graphs.adjacency(_edges(spark, d))
+
+
+DEGREES = """degrees as (select workflow_id, node_id, count(*) as degree from (select workflow_id, unnest([source, target]) as node_id from (select distinct workflow_id, source, target from edge_rows where source <> target)) group by workflow_id, node_id)"""
+
+
+@query(f"with {EDGES}, {DEGREES} select workflow_id, degree, count(*) / sum(count(*)) over (partition by workflow_id) as share from degrees group by workflow_id, degree")
+def degree_histogram(spark, d):
+    return similarity.degree_histograms(graphs.degrees(_edges(spark, d)))
+
+
+@query()
+def stable_toposort(spark, d):
+    return graphs.topological_order(_nodes(spark, d), _edges(spark, d))
+
+
+@query()
+def graph_dot(spark, d):
+    return graphs.to_dot(_nodes(spark, d), _edges(spark, d))
+
+
+# --- workflows ----------------------------------------------------------------------
+
+ACTORS = """actors as (select workflow_id, actor from (select workflow_id, actor, row_number() over (partition by workflow_id order by count(*) desc, min(ord), min(node_id)) as r from node_rows where trim(coalesce(actor, '')) <> '' group by workflow_id, actor) where r = 1)"""
+
+
+@query(f"with {NODES}, {ACTORS} select n.workflow_id, coalesce(a.actor, 'Operator') as actor from (select distinct workflow_id from node_rows) n left join actors a using (workflow_id)")
+def modal_actor(spark, d):
+    return workflows.modal_actor(_nodes(spark, d))
+
+
+@query(f"with {NODES}, {ACTORS} select n.workflow_id, coalesce(max(a.actor), 'Operator') || ' performs: ' || string_agg(label, ' → ' order by ord, node_id) as summary from node_rows n left join actors a using (workflow_id) group by n.workflow_id")
+def workflow_summary(spark, d):
+    return workflows.summaries(_nodes(spark, d))
+
+
+@query(f"with {NODES}, sane as (select * from node_rows where not {SPURIOUS}) select workflow_id, node_id, row_number() over (partition by workflow_id order by ord, node_id) - 1 as position from sane")
+def sanitize_nodes(spark, d):
+    return workflows.sane_nodes(_nodes(spark, d)).select("workflow_id", "node_id", "position")
+
+
+@query(
+    f"""with {NODES}, {EDGES}, sane as (select workflow_id, node_id from node_rows where not {SPURIOUS})
+  select workflow_id, seq, source, target from edge_rows where (workflow_id, source) in (select (workflow_id, node_id) from sane) and (workflow_id, target) in (select (workflow_id, node_id) from sane)"""
+)
+def sanitize_edges(spark, d):
+    return workflows.sane_edges(_edges(spark, d), workflows.sane_nodes(_nodes(spark, d))).select("workflow_id", "seq", "source", "target")
+
+
+@query("select document_id, array_to_string(list_sort(list(distinct p)), ',') as pages from (select document_id, unnest(pages) as p from workflows where document_id is not null) where p is not null group by document_id")
+def merge_pages(spark, d):
+    out = workflows.merged_pages(table(spark, d, "workflows").where("document_id is not null"), "document_id")
+    return out.withColumn("pages", F.array_join(F.transform("pages", lambda p: p.cast("string")), ","))
+
+
+@query(
+    """with rows as (select distinct document_id, workflow_id, i - 1 as pos, e.sentence as sentence from (select document_id, workflow_id, unnest(evidence_sources) as e, generate_subscripts(evidence_sources, 1) as i from workflows where document_id is not null))
+  select document_id, sentence, workflow_id, pos from (select *, row_number() over (partition by document_id, sentence order by workflow_id, pos) as r from rows where trim(coalesce(sentence, '')) <> '') where r = 1"""
+)
+def merge_evidence(spark, d):
+    return workflows.merged_evidence(table(spark, d, "workflows").where("document_id is not null"), "document_id")
+
+
+@query(
+    """with one as (select distinct workflow_id, document_id, coalesce(len(nodes), 0) as n, try_cast(metadata['boundary_confidence'] as double) as c from workflows)
+  select count(distinct document_id) as documents_processed, count(*) as workflows_found, sum(n)::bigint as actions_extracted, round(avg(c), 4) as avg_confidence from one"""
+)
+def corpus_stats(spark, d):
+    return workflows.corpus_stats(table(spark, d, "workflows"))
+
+
+@query(
+    """with one as (select distinct workflow_id, document_id, title_hint, list_sort(list_distinct(coalesce(pages, []))) as p, coalesce(len(nodes), 0) as node_count, coalesce(len(edges), 0) as edge_count from workflows)
+  select workflow_id, document_id, title_hint, node_count, edge_count, case len(p) when 0 then '' when 1 then p[1]::varchar else p[1]::varchar || '–' || p[-1]::varchar end as page_range from one"""
+)
+def meta_index(spark, d):
+    return workflows.meta_index(table(spark, d, "workflows"))
+
+
+@query(
+    """with one as (select distinct workflow_id, summary, nodes from workflows), n as (select workflow_id, unnest(nodes) as n from one)
+  select workflow_id, 'summary' as kind, null::varchar as node_id, case when trim(coalesce(summary, '')) = '' then workflow_id else summary end as text from one
+  union all select workflow_id, 'node', n.node_id, trim(concat_ws(' ', n.action, nullif(n.object, ''))) from n
+  union all select workflow_id, 'action', n.node_id, n.sentence from n where coalesce(n.sentence, '') <> ''"""
+)
+def index_payload(spark, d):
+    return workflows.index_payload(table(spark, d, "workflows"))
+
+
+# --- embeddings and search ----------------------------------------------------------
+
+
+def _embed_sql(source: str, key: str, text: str) -> str:
+    return rf"""(with w as (select {key}, unnest(regexp_extract_all(lower({text}), '([a-z]+)', 1)) as w from {source}),
+    c as (select {key}, ('0x' || substr(md5(w), 1, 7))::bigint % {R.EMBED_DIM} as bucket, count(*) as n from w group by 1, 2)
+    select {key}, bucket, n / sqrt(sum(n * n) over (partition by {key})) as weight from c)"""
+
+
+_SUMMARIES = "(select workflow_id, min(summary) as summary from workflows where trim(coalesce(summary, '')) <> '' group by workflow_id)"
+
+
+def _summaries(spark, d) -> DataFrame:
+    return table(spark, d, "workflows").where("trim(coalesce(summary, '')) <> ''").groupBy("workflow_id").agg(F.min("summary").alias("summary"))
+
+
+@query(f"select workflow_id, bucket, round(weight, 6) as weight from {_embed_sql(_SUMMARIES, 'workflow_id', 'summary')}")
+def hash_embed(spark, d):
+    return V.hash_embedding(_summaries(spark, d), "workflow_id", "summary").withColumn("weight", F.round("weight", 6))
+
+
+QUESTIONS = "(select workflow_id as question_id, 'Where is the ' || min(title_hint) || ' procedure?' as question from workflows where title_hint is not null group by workflow_id)"
+
+
+def _questions(spark, d) -> DataFrame:
+    q = table(spark, d, "workflows").where("title_hint is not null").groupBy(F.col("workflow_id").alias("question_id")).agg(F.min("title_hint").alias("t"))
+    return q.select("question_id", F.concat(F.lit("Where is the "), "t", F.lit(" procedure?")).alias("question"))
+
+
+_HITS = f"""hits as (select question_id, workflow_id, score, row_number() over (partition by question_id order by score desc, workflow_id) as rank
+  from (select q.question_id, e.workflow_id, round(sum(q.weight * e.weight), 6) as score from {_embed_sql(QUESTIONS, 'question_id', 'question')} q join {_embed_sql(_SUMMARIES, 'workflow_id', 'summary')} e using (bucket) group by 1, 2) qualify rank <= 5)"""
+
+
+def _hits(spark, d) -> DataFrame:
+    q = V.hash_embedding(_questions(spark, d), "question_id", "question")
+    e = V.hash_embedding(_summaries(spark, d), "workflow_id", "summary").withColumn("vector_id", F.col("workflow_id"))
+    return retrieval.search(q, e, 5)
+
+
+@query()
+def vector_topk_per_workflow(spark, d):
+    return _hits(spark, d).select("question_id", "workflow_id", "score", "rank")
+
+
+_Q = "(select vec_id as query_id, embedding as q from embeddings where vec_id % 20 = 0)"
+
+
+@query(
+    f"""select query_id, vec_id, score, rank from (select query_id, vec_id, score, row_number() over (partition by query_id order by score desc, vec_id) as rank
+  from (select query_id, vec_id, round(list_dot_product(embedding::double[], q::double[]), 4) as score from embeddings, {_Q} where vec_id <> query_id)) where rank <= 5"""
+)
+def vector_topk(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("vec").alias("query_vec"))
+    return retrieval.nearest_entries(q, e, 5)
+
+
+@query(
+    """select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 4) as cosine from embeddings a join embeddings b on a.label = b.label and a.vec_id % 20 = 0 and (b.vec_id % 20 <> 0 or a.vec_id < b.vec_id) and a.vec_id <> b.vec_id
+  where list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.3"""
+)
+def near_duplicate_pairs(spark, d):
+    e = table(spark, d, "embeddings")
+    a, b = (e.select(F.col("vec_id").alias(x), "label", F.col("embedding").alias(f"v{x}")) for x in "ab")
+    pairs = a.where("a % 20 = 0").join(b, "label").where("a <> b and (b % 20 <> 0 or a < b)").withColumn("cosine", V.cosine(F.col("va"), F.col("vb")))
+    return pairs.where("cosine >= 0.3").select("a", "b", F.round("cosine", 4).alias("cosine"))
+
+
+@query()
+def greedy_cluster(spark, d):
+    e = table(spark, d, "embeddings").select("label", F.col("vec_id").alias("id"), F.col("vec_id").alias("pos"), F.col("embedding").alias("vec"))
+    return similarity.greedy_clusters(e, "label", 0.3)
+
+
+@query()
+def leader_dedup(spark, d):
+    pairs = near_duplicate_pairs(spark, d).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(table(spark, d, "embeddings").select(F.col("vec_id").alias("a"), F.col("label").alias("comp")), "a")
+    return similarity.leader_dedup(table(spark, d, "embeddings").select(F.col("vec_id").alias("id")), pairs)
+
+
+# --- sets, sequences, graphs of workflow pairs --------------------------------------
+
+PAIRS = """seqs as (select workflow_id, list(normal order by ord, node_id) as s from node_rows group by workflow_id),
+  owner as (select workflow_id, min(document_id) as document_id from workflows group by workflow_id),
+  next as (select workflow_id as left_id, lead(workflow_id) over (partition by document_id order by workflow_id) as right_id from owner),
+  pairs as (select left_id, right_id, a.s as x, b.s as y from next join seqs a on a.workflow_id = left_id join seqs b on b.workflow_id = right_id)"""
+
+
+def _pairs(spark, d) -> DataFrame:
+    """Each workflow with the next one of its document: pairs grow as the workflows do."""
+    s = _nodes(spark, d).groupBy("workflow_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "node_id", "normal"))), lambda x: x["normal"]).alias("s"))
+    owner = table(spark, d, "workflows").groupBy(F.col("workflow_id").alias("left_id")).agg(F.min("document_id").alias("document_id"))
+    after = F.lead("left_id").over(Window.partitionBy("document_id").orderBy("left_id"))
+    pairs = owner.select("left_id", after.alias("right_id"))
+    pairs = pairs.join(s.select(F.col("workflow_id").alias("left_id"), F.col("s").alias("x")), "left_id")
+    return pairs.join(s.select(F.col("workflow_id").alias("right_id"), F.col("s").alias("y")), "right_id")
+
+
+@query(
+    f"""with {NODES}, {PAIRS} select left_id, right_id, round(len(list_intersect(list_distinct(x), list_distinct(y))) / len(list_distinct(list_concat(x, y))), 6) as jaccard,
+  round(len(list_intersect(list_distinct(x), list_distinct(y))) / len(list_distinct(x)), 6) as soft from pairs"""
+)
+def jaccard_actions(spark, d):
+    x, y = F.col("x"), F.col("y")
+    return _pairs(spark, d).select("left_id", "right_id", F.round(similarity.jaccard(x, y), 6).alias("jaccard"), F.round(similarity.containment(x, y), 6).alias("soft"))
+
+
+@query()
+def needleman_wunsch(spark, d):
+    return _pairs(spark, d).select("left_id", "right_id", F.round(similarity.align("x", "y"), 6).alias("alignment"))
+
+
+@query(
+    f"""with {NODES}, {EDGES}, {DEGREES}, {PAIRS}, h as (select workflow_id, degree, count(*) / sum(count(*)) over (partition by workflow_id) as share from degrees group by workflow_id, degree),
+  d as (select left_id, right_id, degree, sum(v) as v from (select left_id, right_id, degree, share as v from pairs join h on workflow_id = left_id union all select left_id, right_id, degree, -share from pairs join h on workflow_id = right_id) group by 1, 2, 3)
+  select left_id, right_id, round(1 - 0.5 * sum(abs(v)), 6) as similarity from d group by 1, 2"""
+)
+def degree_histogram_similarity(spark, d):
+    h = similarity.degree_histograms(graphs.degrees(_edges(spark, d)))
+    return similarity.histogram_similarity(h, _pairs(spark, d).select("left_id", "right_id"))
+
+
+@query()
+def graph_edit_distance(spark, d):
+    return similarity.structural(_pairs(spark, d).select("left_id", "right_id"), _nodes(spark, d), _edges(spark, d))
+
+
+@query()
+def blended_w2w(spark, d):
+    x, y = F.col("x"), F.col("y")
+    scored = _pairs(spark, d).select("left_id", "right_id", similarity.set_overlap(similarity.jaccard(x, y), similarity.containment(x, y)).alias("set_overlap"), similarity.align("x", "y").alias("sequence_alignment"))
+    s = similarity.structural(scored.select("left_id", "right_id"), _nodes(spark, d), _edges(spark, d))
+    return similarity.blend_pairs(scored.join(s, ["left_id", "right_id"])).select("left_id", "right_id", "blended")
+
+
+# --- questions ----------------------------------------------------------------------
+
+_TOKENS = "regexp_extract_all(lower(question), '([a-z]+)', 1)"
+_REST = f"list_filter({_TOKENS}, lambda t: t not in {_listed(R.QUERY_STOPS)})"
+
+
+@query(
+    rf"""select question_id, regexp_matches(lower(trim(question)), '{R.LOOKUP}') or (contains(lower(trim(question)), 'where is') and contains(lower(trim(question)), 'procedure')) as lookup,
+  case when regexp_matches(question, '{R.DOMAIN_PHRASE}') then lower(regexp_extract(question, '{R.DOMAIN_PHRASE}', 0)) when len({_REST}[1:3]) >= 2 then array_to_string({_REST}[1:3], ' ') end as phrase,
+  len(list_filter(list_distinct({_TOKENS}), lambda t: t in {_listed(R.HINTS)})) as hints, array_to_string(list_filter({_TOKENS}, lambda t: t not in {_listed([*R.QUERY_STOPS, "major"])})[1:12], ' ') as keywords from {QUESTIONS}"""
+)
+def question_nodes(spark, d):
+    q = retrieval.question_nodes(_questions(spark, d))
+    return q.select("question_id", "lookup", "phrase", F.size("hints").alias("hints"), F.array_join("keywords", " ").alias("keywords"))
+
+
+PROOFS = rf"""proofs as (select workflow_id, sentence, pos from (select workflow_id, sentence, row_number() over (partition by workflow_id order by min(i), sentence) as pos
+  from (select workflow_id, i, {_strip('e.sentence')} as sentence from (select workflow_id, unnest(evidence_sources) as e, generate_subscripts(evidence_sources, 1) as i from workflows)) where sentence is not null and not {_descriptive('sentence')} group by workflow_id, sentence) where pos <= 8)"""
+
+
+@query(f"with {PROOFS} select workflow_id, pos, sentence from proofs")
+def evidence_topn(spark, d):
+    return retrieval.evidence(table(spark, d, "workflows"))
+
+
+@query()
+def answer_explain(spark, d):
+    w = table(spark, d, "workflows").groupBy("workflow_id").agg(F.min("title_hint").alias("title_hint"), F.max(F.size("nodes")).alias("node_count"))
+    return retrieval.answers(_hits(spark, d), w, retrieval.evidence(table(spark, d, "workflows")))
+
+
+@query("select time_bucket(interval '1 hour', ts) as start, event_type, count(*) as n from events group by 1, 2")
+def event_counts(spark, d):
+    return event_windows(table(spark, d, "events"), "ts")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Questions answered from the workflow corpus, with proofs."""
+    return answer_explain(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
