@@ -19,7 +19,7 @@ class Store:
 
     def _pointer(self):
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(os.path.join(self.root, "_current"))
+        path = jvm.org.apache.hadoop.fs.Path(os.path.join(self.root, "current"))
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
     def _current(self) -> str | None:
