@@ -43,12 +43,13 @@ def causative(sentence: Column) -> Column:
 
 def extract(chunks: DataFrame) -> DataFrame:
     """(chunk_id, unit_index, sent_index, kind, action, object, label, step_number) of instructions; descriptions and conditions keep their kind only."""
-    rows = sentence_rows(chunks).where(~X.is_noise(F.col("sentence"))).withColumn("kind", X.sentence_class(F.col("sentence")))
+    rows = sentence_rows(chunks).where(~X.is_noise(F.col("sentence"))).withColumn("kind", F.explode(F.array(X.sentence_class(F.col("sentence")))))
     found = F.coalesce(
         causative(F.col("sentence")).dropFields("duration"),
         imperative(F.col("sentence")),
     )
-    rows = rows.withColumn("a", F.when(F.col("kind") == "INSTRUCTION", found))
+    # A generator keeps the optimiser from copying the extraction into each later use of its result.
+    rows = rows.withColumn("a", F.explode(F.array(F.when(F.col("kind") == "INSTRUCTION", found))))
     out = rows.select("*", F.col("a.action").alias("action"), F.col("a.object").alias("object")).drop("a")
     spurious = X.is_spurious_node(F.col("action"), F.col("object"), F.col("sentence")) | F.lower("object").isin(*R.NOISE_OBJECTS)
     return out.where((F.col("kind") != "INSTRUCTION") | (F.col("action").isNotNull() & ~F.coalesce(spurious, F.lit(False)))).withColumn("label", X.label(F.col("action"), F.col("object")))

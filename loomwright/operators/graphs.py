@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,34 +77,43 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def topological_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(workflow_id, node_id, position): Kahn's order with the smallest (ord, node_id) first; what a cycle holds follows in that order."""
-    n = nodes.select("workflow_id", "node_id", "ord", F.lit(None).cast("string").alias("target"))
-    e = edges.select("workflow_id", F.col("source").alias("node_id"), F.lit(None).cast("int").alias("ord"), "target")
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf[pdf["target"].isna()].drop_duplicates("node_id")
-        rank = {v: (o, v) for v, o in zip(own["node_id"], own["ord"])}
-        waits = dict.fromkeys(rank, 0)
-        after: dict[str, set] = {v: set() for v in rank}
-        for s, t in pdf[pdf["target"].notna()][["node_id", "target"]].itertuples(index=False):
-            if s in rank and t in rank and s != t and t not in after[s]:
-                after[s].add(t)
-                waits[t] += 1
-        ready = [rank[v] for v, w in waits.items() if not w]
-        heapq.heapify(ready)
-        order = []
-        while ready:
-            _, v = heapq.heappop(ready)
-            order.append(v)
-            for t in after[v]:
-                waits[t] -= 1
-                if not waits[t]:
-                    heapq.heappush(ready, rank[t])
-        done = set(order)
-        order += [v for _, v in sorted(rank[v] for v in rank if v not in done)]
-        return pd.DataFrame({"workflow_id": pdf["workflow_id"].iloc[0], "node_id": order, "position": range(len(order))}, columns=["workflow_id", "node_id", "position"])
-
-    return n.unionByName(e).groupBy("workflow_id").applyInPandas(walk, "workflow_id string, node_id string, position int")
+    """(workflow_id, node_id, position): Kahn's order with the smallest (ord, node_id) first; what a cycle holds follows in that order.
+
+    A graph travels as one row of two lists, so that Python sees batches of graphs.
+    """
+    n = nodes.groupBy("workflow_id").agg(F.array_sort(F.collect_set(F.struct(F.col("ord").cast("int").alias("ord"), "node_id"))).alias("n"))
+    e = edges.groupBy("workflow_id").agg(F.collect_set(F.struct("source", "target")).alias("e"))
+
+    def walk(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows: list[tuple[str, str, int]] = []
+        for workflow, own, links in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            rank = {x["node_id"]: i for i, x in enumerate(own)}
+            names = list(rank)
+            after: list[set[int]] = [set() for _ in names]
+            for x in links or ():
+                s, t = rank.get(x["source"]), rank.get(x["target"])
+                if s is not None and t is not None and s != t:
+                    after[s].add(t)
+            waits = [0] * len(names)
+            for ts in after:
+                for t in ts:
+                    waits[t] += 1
+            ready = [i for i, w in enumerate(waits) if not w]
+            order = []
+            while ready:
+                i = heapq.heappop(ready)
+                order.append(i)
+                for t in after[i]:
+                    waits[t] -= 1
+                    if not waits[t]:
+                        heapq.heappush(ready, t)
+            order += sorted(set(range(len(names))) - set(order))
+            rows += [(workflow, names[i], k) for k, i in enumerate(order)]
+        cols = list(zip(*rows)) or [[], [], []]
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32())], names=["workflow_id", "node_id", "position"])
+
+    both = n.join(e, "workflow_id", "left").select("workflow_id", "n", "e")
+    return both.mapInArrow(lambda batches: map(walk, batches), "workflow_id string, node_id string, position int")
 
 
 def to_dot(nodes: DataFrame, edges: DataFrame) -> DataFrame:

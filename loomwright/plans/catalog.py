@@ -491,12 +491,13 @@ def _questions(spark, d) -> DataFrame:
     return q.select("question_id", F.concat(F.lit("Where is the "), "t", F.lit(" procedure?")).alias("question"))
 
 
-_HITS = f"""hits as (select question_id, workflow_id, score, row_number() over (partition by question_id order by score desc, workflow_id) as rank
-  from (select q.question_id, e.workflow_id, round(sum(q.weight * e.weight), 6) as score from {_embed_sql(QUESTIONS, 'question_id', 'question')} q join {_embed_sql(_SUMMARIES, 'workflow_id', 'summary')} e using (bucket) group by 1, 2) qualify rank <= 5)"""
+def _asked(spark, d) -> DataFrame:
+    """The stated query set of searches: ids whose number is divisible by 20."""
+    return _questions(spark, d).where(F.conv(F.substring("question_id", 4, 12), 16, 10).cast("bigint") % 20 == 0)
 
 
 def _hits(spark, d) -> DataFrame:
-    q = V.hash_embedding(_questions(spark, d), "question_id", "question")
+    q = V.hash_embedding(_asked(spark, d), "question_id", "question")
     e = V.hash_embedding(_summaries(spark, d), "workflow_id", "summary").withColumn("vector_id", F.col("workflow_id"))
     return retrieval.search(q, e, 5)
 
