@@ -179,16 +179,12 @@ class Encoder:
         return list(chain.from_iterable(map(self.runs.__getitem__, self.cut(text))))
 
 
-_ENCODERS: dict[int, Encoder] = {}
-
-
 def worker_encoder(shared) -> Encoder:
-    """The worker's encoder for a broadcast automaton, made once."""
-    key = shared._jbroadcast_id if hasattr(shared, "_jbroadcast_id") else id(shared)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(shared.value)
-    return _ENCODERS[key]
+    """The worker's encoder for a broadcast automaton, made once and kept with it."""
+    automaton = shared.value
+    if getattr(automaton, "encoder", None) is None:
+        automaton.encoder = Encoder(automaton)
+    return automaton.encoder
 
 
 def share_automaton(spark, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS):
