@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwright.functions import rules as R
+from loomwright.session import cut
+
+#: Rows of a block of vectors; pairs that one task folds.
+BLOCK, FEW = 1024, 1_000_000
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -168,23 +172,62 @@ def blend_pairs(scores: DataFrame) -> DataFrame:
     return scores.withColumn("blended", F.round(0.4 * F.col("set_overlap") + 0.4 * F.col("sequence_alignment") + 0.2 * F.col("structural"), 4))
 
 
-def leader_dedup(records: DataFrame, pairs: DataFrame) -> DataFrame:
+def similar_pairs(vectors: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """(a, b, cosine) of all pairs a < b of (id, vec) with a cosine of ``least`` or more.
+
+    A block matrix join: rows are dealt to blocks, every two blocks meet in one
+    tile of bounded size, so that every pair is compared, and only once.
+    """
+    blocks = max(1, -(-vectors.count() // block))
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    dealt = vectors.where("vec is not null").select("id", F.col("vec").cast("array<double>").alias("vec"), own.alias("own")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    tiles = dealt.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "vec")
+
+    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.array(pdf["vec"].tolist(), dtype=np.float64)
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        ids, left = pdf["id"].to_numpy(), (pdf["own"] == pdf["i"]).to_numpy()
+        right = left if left.all() else ~left
+        cosine = x[left] @ x[right].T
+        r, c = np.nonzero(cosine >= least)
+        found = pd.DataFrame({"a": ids[left][r], "b": ids[right][c], "cosine": cosine[r, c]})
+        if left.all():
+            return found[found["a"] < found["b"]]
+        low, high = found[["a", "b"]].min(axis=1), found[["a", "b"]].max(axis=1)
+        return found.assign(a=low, b=high)[low < high]
+
+    kind = vectors.schema["id"].dataType.simpleString()
+    return tiles.groupBy("i", "j").applyInPandas(tile, f"a {kind}, b {kind}, cosine double")
+
+
+def leader_dedup(records: DataFrame, pairs: DataFrame, few: int = FEW) -> DataFrame:
     """(id, leader): in order of id, each record joins its smallest-id leader it is paired with, or leads.
 
-    ``pairs`` (a < b) are the similar ones only; they are folded per component, the
-    component key is given in ``comp``.
+    ``pairs`` (a < b) are the similar ones only. A record none of whose smaller
+    partners is left leads and takes its partners out, all such at once in a round;
+    the last ``few`` pairs are folded in order.
     """
+    pairs = cut(pairs.select("a", "b").distinct())
+    live, led = pairs, pairs.select(F.col("b").alias("id")).limit(0)
+    while live.count() > few:
+        first = live.select("a").distinct().join(live.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        out = cut(live.join(first, "a", "left_semi").select(F.col("b").alias("id")).distinct())
+        led = led.unionByName(out)
+        live = live.join(first, "a", "left_anti").join(out.withColumnRenamed("id", "a"), "a", "left_anti")
+        live = cut(live.join(out.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         before: dict = {}
         for a, b in pdf[["a", "b"]].itertuples(index=False):
             before.setdefault(b, []).append(a)
-        leader: dict = {}
-        for v in sorted({*pdf["a"], *pdf["b"]}):
-            own = [a for a in before.get(v, ()) if leader.get(a) == a]
-            leader[v] = min(own) if own else v
-        return pd.DataFrame({"id": list(leader), "leader": list(leader.values())})
+        out: set = set()
+        for v in sorted(before):
+            if any(a not in out for a in before[v]):
+                out.add(v)
+        return pd.DataFrame({"id": sorted(out)})
 
     kind = pairs.schema["a"].dataType.simpleString()
-    led = pairs.groupBy("comp").applyInPandas(fold, f"id {kind}, leader {kind}")
-    return records.select("id").join(led, "id", "left").withColumn("leader", F.coalesce("leader", "id"))
+    led = led.unionByName(live.groupBy().applyInPandas(fold, f"id {kind}"))
+    own = pairs.join(led.withColumnRenamed("id", "b"), "b", "left_semi").join(led.withColumnRenamed("id", "a"), "a", "left_anti")
+    own = own.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("leader"))
+    return records.select("id").join(own, "id", "left").withColumn("leader", F.coalesce("leader", "id"))

@@ -537,10 +537,18 @@ def greedy_cluster(spark, d):
     return similarity.greedy_clusters(e, "label", 0.3)
 
 
+@query(
+    """select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 4) as cosine from embeddings a join embeddings b on a.vec_id < b.vec_id
+  where list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.3"""
+)
+def near_duplicates(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return similarity.similar_pairs(e, 0.3).select("a", "b", F.round("cosine", 4).alias("cosine"))
+
+
 @query()
 def leader_dedup(spark, d):
-    pairs = near_duplicate_pairs(spark, d).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(table(spark, d, "embeddings").select(F.col("vec_id").alias("a"), F.col("label").alias("comp")), "a")
-    return similarity.leader_dedup(table(spark, d, "embeddings").select(F.col("vec_id").alias("id")), pairs)
+    return similarity.leader_dedup(table(spark, d, "embeddings").select(F.col("vec_id").alias("id")), near_duplicates(spark, d))
 
 
 # --- sets, sequences, graphs of workflow pairs --------------------------------------
