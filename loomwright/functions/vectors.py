@@ -24,6 +24,21 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n > 0, dot(a, b) / n).otherwise(0.0)
 
 
+def buckets(text: Column, dim: int = R.EMBED_DIM) -> Column:
+    """The buckets of a text's words, one a word: what ``hash_embedding`` counts, as an array."""
+    return F.transform(X.tokens(text), lambda t: (F.conv(F.substring(F.md5(t), 1, 7), 16, 10).cast("bigint") % dim).cast("int"))
+
+
+def bucket_cosine(a: Column, b: Column) -> Column:
+    """Cosine of two texts' embeddings, from their buckets; 0 if either has no words."""
+
+    def common(x: Column, y: Column) -> Column:
+        return F.aggregate(x, F.lit(0), lambda n, i: n + F.size(F.filter(y, lambda j: i == j)))
+
+    n = F.sqrt(common(a, a).cast("double") * common(b, b))
+    return F.when(n > 0, common(a, b) / n).otherwise(0.0)
+
+
 def hash_embedding(texts: DataFrame, id_col: str, text_col: str = "text", dim: int = R.EMBED_DIM) -> DataFrame:
     """(id, bucket, weight): the words of each text, hashed to ``dim`` buckets, counted, of length 1. Sparse rows, joined by bucket."""
     words = texts.select(id_col, F.explode(X.tokens(F.col(text_col))).alias("w"))

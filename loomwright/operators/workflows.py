@@ -74,3 +74,9 @@ def index_payload(workflows: DataFrame) -> DataFrame:
     node = n.select("workflow_id", F.lit("node").alias("kind"), "node_id", X.label(F.col("action"), F.col("object")).alias("text"))
     said = n.where("coalesce(sentence, '') <> ''").select("workflow_id", F.lit("action").alias("kind"), "node_id", F.col("sentence").alias("text"))
     return head.unionByName(node).unionByName(said)
+
+
+def index_entries(workflows: DataFrame) -> DataFrame:
+    """(workflow_id, vector_id, text): the rows of the index with an id each, from workflow, node and kind."""
+    rows = index_payload(workflows).where("workflow_id is not null").withColumn("text", F.coalesce("text", F.lit("")))
+    return rows.select("workflow_id", F.concat_ws("/", "workflow_id", F.coalesce("node_id", F.lit("")), "kind", F.hex(F.xxhash64("text"))).alias("vector_id"), "text").distinct()

@@ -497,9 +497,7 @@ def _asked(spark, d) -> DataFrame:
 
 
 def _hits(spark, d) -> DataFrame:
-    q = V.hash_embedding(_asked(spark, d), "question_id", "question")
-    e = V.hash_embedding(_summaries(spark, d), "workflow_id", "summary").withColumn("vector_id", F.col("workflow_id"))
-    return retrieval.search(q, e, 5)
+    return retrieval.search(_asked(spark, d), workflows.index_entries(table(spark, d, "workflows")), 5)
 
 
 @query()
@@ -633,8 +631,7 @@ def evidence_topn(spark, d):
 
 @query()
 def answer_explain(spark, d):
-    w = table(spark, d, "workflows").groupBy("workflow_id").agg(F.min("title_hint").alias("title_hint"), F.max(F.size("nodes")).alias("node_count"))
-    return retrieval.answers(_hits(spark, d), w, retrieval.evidence(table(spark, d, "workflows")))
+    return retrieval.answers(_asked(spark, d), _hits(spark, d), table(spark, d, "workflows"))
 
 
 @query("select time_bucket(interval '1 hour', ts) as start, event_type, count(*) as n from events group by 1, 2")

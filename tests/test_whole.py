@@ -5,7 +5,8 @@ import os
 import numpy as np
 import pytest
 
-from loomwright.operators import similarity
+from loomwright import config
+from loomwright.operators import retrieval, similarity, workflows
 from loomwright.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
@@ -42,3 +43,46 @@ def test_pairs_and_leaders_do_not_depend_on_blocks_and_rounds(spark):
     assert len(got) == len(wanted) and set(got) == wanted
     for few in (0, 10**6):
         assert {r.id: r.leader for r in similarity.leader_dedup(vectors, pairs, few).collect()} == leaders(wanted, range(60))
+
+
+KIND = """workflow_id string, summary string, title_hint string, sections array<string>,
+nodes array<struct<node_id:string,actor:string,action:string,object:string,ord:int,page:int,section:string,sentence:string,action_id:string>>,
+evidence_sources array<struct<document:string,page:int,section:string,sentence:string,chunk_id:string,action_id:string>>"""
+
+
+def flow(name, summary, title, steps, said=()):
+    return (name, summary, title, [], [(f"{name}{i}", None, a, o, i, 1, None, s, None) for i, (a, o, s) in enumerate(steps)], [("d", 1, None, s, None, None) for s in said])
+
+
+FLOWS = [
+    flow("wf_a", "Crew performs: polish mirror", "Polish", [("polish", "mirror", "Polish the mirror with felt.")], ["Wipe felt dry.", "Polish the mirror with felt."]),
+    flow("wf_b", None, None, [("torque", "gearbox flange", "Torque the gearbox flange to value.")]),
+    flow("wf_c", "Crew performs: polish lens", "Lens", [("polish", "lens", None), ("rinse", "lens", None)]),
+]
+
+
+def test_search_reads_steps_and_sentences(spark):
+    w = spark.createDataFrame(FLOWS, KIND)
+    q = spark.createDataFrame([("q1", "torque gearbox flange"), ("q2", "polish the mirror")], "question_id string, question string")
+    hits = retrieval.search(q, workflows.index_entries(w), 2).collect()
+    assert {(h.question_id, h.workflow_id, h.score) for h in hits if h.rank == 1} == {("q1", "wf_b", 1.0), ("q2", "wf_a", 0.816497)}
+    assert len({(h.question_id, h.workflow_id) for h in hits}) == len(hits)
+
+
+def test_answers_rank_candidates_and_score_all_without_hits(spark):
+    w = spark.createDataFrame(FLOWS, KIND)
+    q = spark.createDataFrame([("q1", "torque gearbox flange"), ("q2", "polish the mirror")], "question_id string, question string")
+    # The first hit of q2 has the lower blended score; q1 has no hit that reaches the least score.
+    hits = spark.createDataFrame([("q2", "wf_c", "", 0.9, 1), ("q2", "wf_a", "", 0.8, 2), ("q1", "wf_c", "", 0.1, 1)], "question_id string, workflow_id string, vector_id string, score double, rank int")
+    got = {r.question_id: r for r in retrieval.answers(q, hits, w).collect()}
+    assert {k: r.workflow_id for k, r in got.items()} == {"q1": "wf_b", "q2": "wf_a"}
+    assert got["q1"].confidence == 100
+    assert got["q2"].explanation.endswith("Polish the mirror with felt. / Wipe felt dry.")
+
+
+def test_query_weights_are_read(spark):
+    w = spark.createDataFrame(FLOWS, KIND)
+    q = spark.createDataFrame([("q2", "polish the mirror")], "question_id string, question string")
+    hits = spark.createDataFrame([("q2", "wf_a", "", 0.8, 1)], "question_id string, workflow_id string, vector_id string, score double, rank int")
+    settings = config.load(values={"similarity": {"query_weights": [0.0, 0.0]}})
+    assert [r.confidence for r in retrieval.answers(q, hits, w, settings).collect()] == [0]
