@@ -9,9 +9,10 @@ value closest to it survives.
 
 Values are pre-aggregated to the distinct ones before they meet, with the best
 record of each. A group of very many distinct values is first split into parts of
-bounded size, each of which gives up the values that are only part of others or
-spoilt; what is left of the parts meets in the next round. A value that is part
-of another is part of whatever holds that one, so nothing is lost on the way.
+bounded size, each of which gives up the values that are only part of others;
+what is left of the parts, spoilt values included, meets in the next round, where
+the spoilt ones go last. A value that is part of another is part of whatever holds
+that one, so nothing is lost on the way.
 """
 
 from __future__ import annotations
@@ -169,9 +170,14 @@ def _pick(field: str, rows: list) -> int | None:
     return min(sound, key=lambda x: (_distance(agreed, x[1]), tuple(-w for w in _weight(x[0]))))[0].record_id
 
 
-def _sound(field: str, rows: list) -> list:
+def _whole(field: str, rows: list) -> list:
+    """Rows whose value is no part of another row's, spoilt or not."""
     tokens = [(_tokens(field, r.value), r.value) for r in rows]
-    return [r for i, r in enumerate(rows) if not _spoilt(field, r.value) and not _only_part(field, tokens[i][0], r.value, tokens[:i] + tokens[i + 1 :])]
+    return [r for i, r in enumerate(rows) if not _only_part(field, tokens[i][0], r.value, tokens[:i] + tokens[i + 1 :])]
+
+
+def _sound(field: str, rows: list) -> list:
+    return [r for r in _whole(field, rows) if not _spoilt(field, r.value)]
 
 
 def survivors(records: DataFrame, group_col: str = "workflow_id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
@@ -217,7 +223,7 @@ def _field(values: DataFrame, field: str, kind: T.DataType) -> DataFrame:
     arrow = to_arrow_schema(schema)
 
     def thin(table: pa.Table) -> pa.Table:
-        keep = {r.record_id for r in _sound(field, rows_of(table))}
+        keep = {r.record_id for r in _whole(field, rows_of(table))}
         mask = pa.array([r in keep for r in table.column("record_id").to_pylist()], pa.bool_())
         return table.filter(mask).select(arrow.names).cast(arrow)
 

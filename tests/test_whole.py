@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from loomwright import config
+from loomwright.llm import consensus
 from loomwright.operators import retrieval, similarity, workflows
 from loomwright.plans import catalog
 
@@ -86,3 +87,13 @@ def test_query_weights_are_read(spark):
     hits = spark.createDataFrame([("q2", "wf_a", "", 0.8, 1)], "question_id string, workflow_id string, vector_id string, score double, rank int")
     settings = config.load(values={"similarity": {"query_weights": [0.0, 0.0]}})
     assert [r.confidence for r in retrieval.answers(q, hits, w, settings).collect()] == [0]
+
+
+@pytest.mark.parametrize("part", [1, 256])
+def test_part_of_a_spoilt_value_does_not_survive_in_large_groups(spark, monkeypatch, part):
+    monkeypatch.setattr(consensus, "PART", part)
+    kind = "record_id bigint, workflow_id string, trust int, recorded_at timestamp_ntz, pages array<int>, sections array<string>"
+    rows = [(1, "w", 1, None, [1, 2, 0], ["A", "tbd"]), (2, "w", 1, None, [7], ["B"])]
+    df = spark.createDataFrame(rows, kind).unionByName(spark.sql("select 3L as record_id, 'w' as workflow_id, 1 as trust, timestamp_ntz'2031-01-01' as recorded_at, array(1, 2) as pages, array('A') as sections"))
+    got = {r.field: r.record_id for r in consensus.survivors(df, fields=("pages", "sections")).collect()}
+    assert got == {"pages": 2, "sections": 2}
