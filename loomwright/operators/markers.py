@@ -44,6 +44,36 @@ def infix_edges(sentences: DataFrame, col: str = "sentence") -> DataFrame:
     return rest.where("source <> '' and target <> '' and lower(source) <> lower(target)").drop("l", "r")
 
 
+def filled_edges(sentences: DataFrame, actions: DataFrame, col: str = "sentence") -> DataFrame:
+    """Edges of every clause of a sentence without the comma form, a missing side filled.
+
+    ``sentences`` have chunk_id and sent_index, ``actions`` chunk_id, unit_index,
+    sent_index, label. A clause gives the edge of its longest marker that makes
+    one. A missing right side is the chunk's last action, or the sentence without
+    its marker if the chunk has none; a missing left side too, unless the right
+    one splits at a comma; where both are missing they are the chunk's first and
+    last action.
+    """
+    at = F.struct("unit_index", "sent_index", "label")
+    known = actions.where("label <> ''").groupBy("chunk_id").agg(F.min_by("label", at).alias("first"), F.max_by("label", at).alias("last"), F.count("*").alias("n"))
+    marks = F.array(*[F.struct(F.lit(k).alias("place"), F.lit(m).alias("marker"), F.lit(r).alias("relation"), F.lit(_spaced(m)).alias("p")) for k, (m, r) in enumerate(R.all_markers())])
+    rows = sentences.where(~F.col(col).rlike(COMMA)).where(F.col(col).rlike(rf"(?i)\b({ANY})\b"))
+    rows = rows.select("chunk_id", "sent_index", F.col(col).alias("s"), F.posexplode(F.split(col, "[.。;]")).alias("clause", "c")).withColumn("m", F.explode(marks))
+    pattern = F.concat(F.lit(r"(?is)^(.*?)\b"), "m.p", F.lit(r"\b(.*)$"))
+    rows = rows.where(F.regexp_like("c", pattern)).join(known, "chunk_id", "left")
+    left, right = (F.nullif(X.clean_phrase(F.call_function("regexp_extract", F.col("c"), pattern, F.lit(k))), F.lit("")) for k in (1, 2))
+    back = (F.col("m.relation") == "BEFORE") & right.isNotNull()
+    rows = rows.withColumns({"source0": F.when(back, right).otherwise(left), "target0": F.when(back, left).when(F.col("m.relation") != "BEFORE", right)})
+    bare = X.clean_phrase(F.regexp_replace("s", F.concat(F.lit(r"(?i)^\s*"), "m.p", F.lit(r"\b[,:]?\s*")), F.lit("")))
+    s0, t0, main = F.col("source0"), F.col("target0"), F.coalesce("last", bare)
+    none, several, comma = s0.isNull() & t0.isNull(), F.col("n") >= 2, t0.contains(",")
+    source = F.when(none, F.when(several, F.col("first"))).when(s0.isNull(), F.when(comma, F.trim(F.regexp_extract("target0", r"^([^,]*),", 1))).otherwise(main)).otherwise(s0)
+    target = F.when(none, F.when(several, F.col("last"))).when(t0.isNull(), main).when(s0.isNull() & comma, F.trim(F.regexp_extract("target0", r"(?s)^[^,]*,(.*)$", 1))).otherwise(t0)
+    made = rows.select("chunk_id", "sent_index", "clause", "m.place", "m.marker", "m.relation", source.alias("source"), target.alias("target")).where("source <> '' and target <> '' and lower(source) <> lower(target)")
+    best = F.row_number().over(Window.partitionBy("chunk_id", "sent_index", "clause").orderBy("place"))
+    return made.withColumn("r", best).where("r = 1").drop("r", "place")
+
+
 def match_score(phrase: Column, action: Column, obj: Column, label: Column) -> Column:
     """+2 if the action stands in the phrase, +2 for the object, +3 if label or phrase holds the other."""
     p, a, o, n = (F.lower(F.coalesce(c, F.lit(""))) for c in (phrase, action, obj, label))

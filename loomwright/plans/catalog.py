@@ -265,6 +265,12 @@ def marker_infix_edges(spark, d):
     return markers.infix_edges(_sentences(spark, d)).select("chunk_id", "sent_index", "marker", "relation", "source", "target")
 
 
+@query()
+def marker_filled_edges(spark, d):
+    found = A.extract(_chunks(spark, d)).where("kind = 'INSTRUCTION'")
+    return markers.filled_edges(_sentences(spark, d), found).select("chunk_id", "sent_index", "clause", "marker", "relation", "source", "target")
+
+
 @query(
     rf"""with {NODES}, p as (select distinct workflow_id, {_phrase('e.sentence')} as phrase from (select workflow_id, unnest(evidence_sources) as e from workflows)),
   s as (select p.workflow_id, phrase, node_id, ord,
