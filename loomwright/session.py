@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,6 +45,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """A copy of the rows as a compressed table in the shared checkpoint folder: cuts lineage as ``cut`` does, for rows that are large."""
+    spark = df.sparkSession
+    path = os.path.join(ensure_checkpoint_dir(spark), f"table-{uuid.uuid4().hex}")
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, with the columns as they are stored."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
