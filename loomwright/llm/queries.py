@@ -26,7 +26,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_fields(table(spark, sf_dir, "nodes"), table(spark, sf_dir, "terms"))
 
 
-def _p3(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _p3(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     chunks, docs = table(spark, sf_dir, "chunks"), table(spark, sf_dir, "docs")
     return split_items(long_items(chunks, docs), all_texts(chunks, docs))
 
@@ -35,10 +35,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p3(spark, sf_dir)[0].select("item_id", "cut_at").distinct()
 
 
-def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+def p3_valleys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p3(spark, sf_dir)[1].distinct()
 
 
+def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p3(spark, sf_dir)[2].distinct()
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "workflows"), table(spark, sf_dir, "terms"))
 
@@ -68,7 +72,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_valleys": p3_valleys, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -71,7 +71,7 @@ def test_pieces(spark):
     table = "\n".join(f"valve {i} | {i} | ok" for i in range(120))
     rows = spark.createDataFrame([("t", text, "paragraph", 1), ("r", table, "Table", 1), ("x", "y" * 5000, None, 1), ("s", "short", "step", 1), ("n", None, "step", 1)], "item_id string, text string, unit_type string, piece int")
     corpus = spark.createDataFrame([(x,) for x in text.replace(". ", ".\n").split("\n")], "text string")
-    cuts, parts = splitting.split_items(rows, rows.select("text").unionByName(corpus))
+    cuts, valleys, parts = splitting.split_items(rows, rows.select("text").unionByName(corpus))
     by = {}
     for r in cuts.collect():
         by.setdefault(r.item_id, []).append(r.cut_at)
@@ -82,4 +82,48 @@ def test_pieces(spark):
         assert all(len(r.text) <= 800 and r.overlap <= 80 and r.text == whole[r.start_at : r.end_at] for r in found)
         assert name == "x" or all(r.start_at + r.overlap in {0, *by[name]} for r in found)
     assert {r.item_id for r in parts.collect()} == {"t", "r", "x"}
-    assert [d.where(F.lit(False)).count() for d in (cuts, parts)] == [0, 0]
+    assert [d.where(F.lit(False)).count() for d in (cuts, valleys, parts)] == [0, 0, 0]
+    depth = {(r.item_id, r.cut_at): r.depth for r in valleys.collect()}
+    assert set(depth) == {(i, c) for i, cs in by.items() for c in cs}
+    for r in parts.where("depth is not null").collect():
+        begin = r.start_at + r.overlap
+        room = r.start_at + splitting.LIMIT
+        window = [d for (i, c), d in depth.items() if i == r.item_id and begin + max(1, int((room - begin) * (1 - splitting.WINDOW))) <= c <= room]
+        assert r.depth == depth[r.item_id, r.end_at] and (not window or r.depth == max(window))
+
+
+def test_peaks_and_long_lists():
+    text = "valve seat. valve seat. valve seat. pump oil. pump oil. pump oil. "
+    starts = [i for i in range(1, len(text)) if text[i - 1 : i] == " " and text[i - 2 : i - 1] == "."]
+    valley = splitting.depths(text, starts)
+    assert starts[valley.index(max(valley))] == text.index("pump")
+    rng = random.Random(2)
+    c = [rng.random() for _ in range(60)]
+    for i, peak in enumerate(splitting._peaks(c)):
+        want = c[i]
+        for x in reversed(c[:i]):
+            if x < want:
+                break
+            want = x
+        assert peak == want
+    many = "\n".join("word" for _ in range(20_000))
+    assert len(splitting.unit_starts(many, "list")[0]) == 19_999
+
+
+def test_verdicts_as_in_memory(spark, small):
+    """The joined verdicts are those of a lexicon in memory, own language before all, longer keys before shorter."""
+    scanned = sentences.scan(small, "doc_id", "text", "lang")
+    cases, learned = sentences.learned_cases(scanned)
+    lexicon = sentences.Lexicon([tuple(r) for r in learned.select("lang", "kind", "key", "score").collect()])
+    more = spark.createDataFrame([("xx", ".", "5 h", "Use\tUse approx"), ("en", "!", "", "never"), ("", ".", "Fig", "# for the")], "lang string, mark string, word string, key string")
+    got = sentences.verdicts(cases.select(*sentences.CASE).unionByName(more).distinct(), learned).collect()
+    assert len(got) >= 10 and all(r.boundary == lexicon.boundary(r.lang, r.mark, r.word, r.key) for r in got)
+
+
+def test_ratios(spark):
+    import math
+
+    row = spark.range(1).select(sentences.association_ratio(*[F.lit(float(x)) for x in (30, 40, 50, 1000)]).alias("a"), sentences.likelihood_ratio(F.lit(9.0), F.lit(1.0)).alias("b")).first()
+    cells = ((30, 40 * 50), (10, 40 * 950), (20, 960 * 50), (940, 960 * 950))
+    assert row.a == pytest.approx(2 * sum(o * math.log(o * 1000 / e) for o, e in cells))
+    assert row.b == pytest.approx(2 * (9 * math.log(1.8) + math.log(0.2)))
