@@ -1,104 +1,112 @@
 """Best representative of each group of records, field by field, by token consensus.
 
-For each group and field, the distinct values on file are turned into tokens and
-aligned one after the other, longest first, against the profile built so far.
-Every column of the profile holds its tokens with the weight of the strongest
-vote; votes of spoilt values weigh nothing, the others weigh as recent as they
-are, then as trusted. The consensus is read column by column, and the existing
-value closest to it survives.
-
-Values are pre-aggregated to the distinct ones before they meet, with the best
-record of each. A group of very many distinct values is first split into parts of
-bounded size, each of which gives up the values that are only part of others;
-what is left of the parts, spoilt values included, meets in the next round, where
-the spoilt ones go last. A value that is part of another is part of whatever holds
-that one, so nothing is lost on the way.
+The distinct values of a field on file are turned into tokens. Which of the values
+are sound is settled first: rules find what is missing, a stand-in, cut off or
+wrongly decoded; a value that is part of another goes; and the values of a group
+vote, token by token. A candidate is aligned with every other value, and where one
+of its tokens holds a character that may be damage, each value that is sound puts
+its weight (its records, the more trusted the more) to the token it has in that
+column: to the same one, or to the one the candidate's would be without the
+damage. A value with an outvoted token is garbled, though no list names how. Of
+the values that are left, the order of the records decides, newest first.
+
+Values are pre-aggregated to the distinct ones. The newest PART sound values of a
+group are candidates; they meet the values of their group in parts of about PART
+each, wherever the parts are, and votes of the parts are added up. If none of them
+is left, the next PART are candidates. So no task holds a group, whatever its size,
+and the size changes no result.
 """
 
 from __future__ import annotations
 
 import re
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-#: Distinct values of one group and field that meet in one part.
+from loomwright.session import written
+
+#: Distinct values of one group and field that meet in one part, and candidates of a round.
 PART = 256
 FIELDS = ("pages", "sections", "evidence_sources", "summary")
 # Stand-ins for a value, lower case, without what is no letter or digit.
-STAND_INS = frozenset(
-    "na none null nil nan unknown unspecified untitled tbd tba todo pending missing empty notitle "
-    "summarypending summarytbd nosummary workflowuntitled titlepending sectionpending placeholder "
-    "notavailable notapplicable seeabove seebelow xxx x default undefined".split()
-)
-#: What a wrong decoding leaves behind.
-GARBLED = re.compile("[�\x00-\x08\x0b\x0c\x0e-\x1f]|Ã[\x80-¿]|â€|Â[\x80-¿]|ï»¿|Ð[\x80-¿]|Ñ[\x80-¿]")
-CUT = re.compile(r"(?:\.\.\.|…|\[(?:truncated|cut|more|continued)\]|\((?:truncated|cut|continued)\)|→|->|=>|[,;:(\[&/]|\b(?:and|or))\s*$", re.I)
-
-
-def spoilt_text(s: str | None) -> bool:
+STAND_INS = (
+    "na", "none", "null", "nil", "nan", "unknown", "unspecified", "untitled", "tbd", "tba", "todo", "pending", "missing", "empty", "notitle",
+    "summarypending", "summarytbd", "nosummary", "workflowuntitled", "titlepending", "sectionpending", "placeholder",
+    "notavailable", "notapplicable", "seeabove", "seebelow", "xxx", "x", "default", "undefined",
+)
+#: What a wrong decoding leaves behind, what a cut leaves at the end, what an omission does.
+GARBLED = "[\ufffd\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]|Ã[\x80-¿]|â€|Â[\x80-¿]|ï»¿|Ð[\x80-¿]|Ñ[\x80-¿]"
+CUT = r"(?i)(?:\.\.\.|…|\[(?:truncated|cut|more|continued)\]|\((?:truncated|cut|continued)\)|→|->|=>|[,;:(\[&/]|\b(?:and|or))\s*$"
+OMITTED = r"(?:…|\.\.\.|\])\s*$"
+#: A character that may be damage: no letter, digit, blank or common sign, or a question mark within a word.
+DAMAGE = re.compile(r"[^\w\s!-~→–—°µ±×÷≤≥…•’‘“”„«»§·Ω]|(?<=\w)\?(?=\w)")
+#: Letters that damage may have taken, at most.
+TAKEN = 3
+
+
+def _bare(c: Column) -> Column:
+    return F.regexp_replace(F.lower(c), r"(?U)[\W_]+", "")
+
+
+def spoilt_text(c: Column) -> Column:
     """Missing, void, a stand-in, garbled or visibly cut off."""
-    if s is None or not s.strip():
-        return True
-    bare = re.sub(r"[\W_]+", "", s.lower())
-    return not bare or bare in STAND_INS or bool(GARBLED.search(s)) or bool(CUT.search(s))
+    bare = _bare(c)
+    return F.coalesce((bare == "") | bare.isin(*STAND_INS) | c.rlike(GARBLED) | c.rlike(CUT), F.lit(True))
 
 
-def _spoilt(field: str, value) -> bool:
+def _spoilt(field: str, value: Column) -> Column:
     if field == "summary":
         return spoilt_text(value)
-    if not value:
-        return True
     if field == "pages":
-        return any(p is None or p <= 0 for p in value)
-    if field == "sections":
-        return any(spoilt_text(s) for s in value)
-    return any(
-        e is None
-        or spoilt_text(e["sentence"]) and not _ends_open(e["sentence"])
-        or (e["page"] is not None and e["page"] <= 0)
-        or any(e[k] is not None and GARBLED.search(e[k]) for k in ("document", "section"))
-        for e in value
-    )
+        broken = F.exists(value, lambda p: F.coalesce(p <= 0, F.lit(True)))
+    elif field == "sections":
+        broken = F.exists(value, spoilt_text)
+    else:
 
+        def bad(e: Column) -> Column:
+            # A sentence of a source may end in a comma or an arrow of its own; a mark of omission may not.
+            s = e["sentence"]
+            bare = _bare(s)
+            open_end = ~((bare == "") | bare.isin(*STAND_INS) | s.rlike(GARBLED) | s.rlike(OMITTED))
+            kept = [F.coalesce(e[k].rlike(GARBLED), F.lit(False)) for k in ("document", "section")]
+            return F.coalesce(spoilt_text(s) & ~F.coalesce(open_end, F.lit(False)), F.lit(True)) | F.coalesce(e["page"] <= 0, F.lit(False)) | kept[0] | kept[1] | e.isNull()
 
-def _ends_open(s: str | None) -> bool:
-    """A sentence of a source may end in a comma or an arrow of its own; a mark of omission may not."""
-    return bool(s) and bool(re.search(r"\w", s)) and not GARBLED.search(s) and not re.search(r"(?:…|\.\.\.|\])\s*$", s) and re.sub(r"[\W_]+", "", s.lower()) not in STAND_INS
+        broken = F.exists(value, bad)
+    return F.coalesce((F.size(value) == 0) | broken, F.lit(True))
 
 
-def _tokens(field: str, value) -> list[str]:
-    if value is None:
-        return []
+def _tokens(field: str, value: Column) -> Column:
     if field == "summary":
-        return value.split()
+        return F.array(value)  # cut into words where they are aligned
     if field == "evidence_sources":
-        return [repr(tuple(sorted((k, v) for k, v in e.items() if v is not None))) if e else "" for e in value]
-    return [str(x) for x in value]
+        return F.transform(value, lambda e: F.coalesce(F.to_json(e), F.lit("")))
+    return F.transform(value, lambda x: F.coalesce(x.cast("string"), F.lit("")))
 
 
-def _only_part(field: str, tokens: list[str], value, others: list[tuple[list[str], object]]) -> bool:
-    """Whether a value is strictly part of another one of its group."""
+def part_of(field: str, own, other) -> bool:
+    """Whether a value is strictly part of another one: as prepared by ``prepared``."""
     if field != "summary":
-        own = frozenset(tokens)
-        return any(own < frozenset(t) for t, _ in others)
-    text = value.strip()
-    head, sep, tail = text.partition(": ")
-    for _, other in others:
-        if other is None or other == value:
-            continue
-        o = other.strip()
-        if len(o) > len(text) and text in o:
-            return True
-        if sep and len(tail) >= 8:  # under another title the text goes on
-            at = o.find(tail)
-            if at >= 0 and at + len(tail) < len(o):
-                return True
+        return own[1] < other[1]
+    text, tail = own[1]
+    o = other[1][0]
+    if len(o) > len(text) and text in o:
+        return True
+    if len(tail) >= 8 and o != text:  # under another title the text goes on
+        at = o.find(tail)
+        return at >= 0 and at + len(tail) < len(o)
     return False
 
 
+def prepared(field: str, tokens: list[str]) -> tuple:
+    """(tokens to align, what part_of compares)."""
+    if field != "summary":
+        return tokens, frozenset(tokens)
+    text = tokens[0].strip()
+    return text.split(), (text, text.partition(": ")[2])
+
+
 def align(profile: list[str], tokens: list[str]) -> list[tuple[int, int]]:
     """Columns (index in profile or -1, index in tokens or -1) of a longest common subsequence."""
     lo, n, m = 0, len(profile), len(tokens)
@@ -131,53 +139,79 @@ def align(profile: list[str], tokens: list[str]) -> list[tuple[int, int]]:
     return [(x, x) for x in range(lo)] + middle + [(n - hi + x, m - hi + x) for x in range(hi)]
 
 
-def consensus(values: list[tuple[list[str], tuple]]) -> list[str]:
-    """Tokens of the weighted vote over the columns; ``values`` are (tokens, weight), a higher weight outvotes any number of lower ones."""
-    columns: list[dict[str, tuple]] = []
-    seen: list[tuple] = []
-    for tokens, weight in sorted(values, key=lambda v: (-len(v[0]), v[1], v[0])):
-        now = [max(c, key=lambda t, c=c: c[t]) for c in columns]
-        merged, strongest = [], max(seen, default=None)
-        for i, j in align(now, tokens):
-            votes = dict(columns[i]) if i >= 0 else ({"": strongest} if strongest is not None else {})
-            token = tokens[j] if j >= 0 else ""
-            if token not in votes or votes[token] < weight:
-                votes[token] = weight
-            merged.append(votes)
-        columns = merged
-        seen.append(weight)
-    return [t for c in columns if (t := max(c, key=lambda t, c=c: c[t]))]
-
-
-def _distance(a: list[str], b: list[str]) -> int:
-    return sum(i < 0 or j < 0 or a[i] != b[j] for i, j in align(a, b))
-
-
-_FOUND = "group_key string, field string, record_id bigint"
-
-
-def _weight(row) -> tuple:
-    # Newest first, then the smaller trust number, then the smaller record id; nulls weigh least.
-    return (row.at, -row.trust, -row.record_id)
-
-
-def _pick(field: str, rows: list) -> int | None:
-    """The record whose value is closest to the consensus of the sound values."""
-    sound = [(r, _tokens(field, r.value)) for r in rows]
-    if not sound:
-        return None
-    agreed = consensus([(t, _weight(r)) for r, t in sound])
-    return min(sound, key=lambda x: (_distance(agreed, x[1]), tuple(-w for w in _weight(x[0]))))[0].record_id
-
-
-def _whole(field: str, rows: list) -> list:
-    """Rows whose value is no part of another row's, spoilt or not."""
-    tokens = [(_tokens(field, r.value), r.value) for r in rows]
-    return [r for i, r in enumerate(rows) if not _only_part(field, tokens[i][0], r.value, tokens[:i] + tokens[i + 1 :])]
-
-
-def _sound(field: str, rows: list) -> list:
-    return [r for r in _whole(field, rows) if not _spoilt(field, r.value)]
+def damaged_form(token: str, other: str) -> bool:
+    """Whether ``token`` is ``other`` with some of its letters turned to damage: outside of it, both are the same."""
+    lo, n, m = 0, len(token), len(other)
+    while lo < min(n, m) and token[lo] == other[lo]:
+        lo += 1
+    hi = 0
+    while hi < min(n, m) - lo and token[n - 1 - hi] == other[m - 1 - hi]:
+        hi += 1
+    x, y = token[lo : n - hi], other[lo : m - hi]
+    return bool(y) and len(x) <= TAKEN and len(y) <= TAKEN and not DAMAGE.sub("", x.replace("?", "")) and DAMAGE.search(token) is not None and not DAMAGE.search(y)
+
+
+def votes(candidate: list[str], values: list[tuple[list[str], float]]) -> dict[int, tuple[float, float]]:
+    """Per token of the candidate that may be damaged: weight against it and for it, of values (tokens, weight)."""
+    open_tokens = {i for i, t in enumerate(candidate) if DAMAGE.search(t)}
+    if not open_tokens:
+        return {}
+    out = {i: [0.0, 0.0] for i in open_tokens}
+    for tokens, weight in values:
+        own, other = [], []  # a stretch without a common token
+        for i, j in [*align(candidate, tokens), (None, None)]:
+            if i is not None and not (i >= 0 and j >= 0 and candidate[i] == tokens[j]):
+                own += [i] if i in out else []
+                other += [tokens[j]] if j >= 0 else []
+                continue
+            for x in own:
+                if any(damaged_form(candidate[x], t) for t in other):
+                    out[x][0] += weight
+            own, other = [], []
+            if i in out:
+                out[i][1] += weight
+    return {i: (a, b) for i, (a, b) in out.items()}
+
+
+JUDGED = "group_key string, field string, record_id bigint, rank int, held boolean, token int, against double, agreed double"
+_NAMES = ("group_key", "field", "part", "value_no", "tokens", "spoilt", "weight", "rank", "record_id", "asks")
+
+
+def _judge(batches):
+    """What the values of each part say of the candidates sent to it. Rows come sorted by group, field and part."""
+    key, rows = None, []
+    names = [x.split()[0] for x in JUDGED.split(", ")]
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.float64(), pa.float64())
+
+    def said(key, rows):
+        field = key[1]
+        seen = [(prepared(field, r[4]), r) for r in rows]
+        values = [(p, r) for p, r in seen if not r[9]]
+        sound = [(p, r) for p, r in values if not r[5]]
+        for p, r in seen:
+            if not r[9]:
+                continue
+            held = any(part_of(field, p, q) for q, v in values if v[4] != r[4])
+            found = {} if held else votes(p[0], [(q[0], v[6]) for q, v in sound if v[4] != r[4]])
+            if not found:
+                yield key[0], field, r[8], r[7], held, None, 0.0, 0.0
+            for token, (against, agreed) in found.items():
+                yield key[0], field, r[8], r[7], held, token, against, agreed
+
+    def table(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [[]] * 8, kinds)], names=names)
+
+    for batch in batches:
+        out = []
+        for row in zip(*(batch.column(i).to_pylist() for i in range(len(_NAMES)))):
+            if row[:3] != key:
+                if rows:
+                    out += said(key, rows)
+                key, rows = row[:3], []
+            rows.append(row)
+        yield table(out)
+    if rows:
+        yield table(list(said(key, rows)))
 
 
 def survivors(records: DataFrame, group_col: str = "workflow_id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
@@ -197,45 +231,44 @@ def survivors(records: DataFrame, group_col: str = "workflow_id", fields: tuple[
     base = records.where(F.col(group_col).isNotNull() & F.col("record_id").isNotNull()).select(
         F.col(group_col).alias("group_key"), "record_id", micros.alias("at"), F.coalesce("trust", F.lit(2**31 - 1)).cast("bigint").alias("trust"), *fields
     )
-    found = []
-    for field in fields:
-        kind = records.schema[field].dataType
-        best = F.max(F.struct("at", (-F.col("trust")).alias("trusted"), (-F.col("record_id")).alias("id"))).alias("best")
-        one = base.select("group_key", "record_id", "at", "trust", F.col(field).alias("value")).where("value is not null")
-        one = one.groupBy("group_key", "value").agg(best)
-        one = one.select("group_key", "value", F.col("best.at").alias("at"), (-F.col("best.trusted")).alias("trust"), (-F.col("best.id")).alias("record_id"))
-        found.append(_field(one, field, kind))
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.withColumnRenamed("group_key", group_col)
-
-
-def _field(values: DataFrame, field: str, kind: T.DataType) -> DataFrame:
-    schema = T.StructType([T.StructField("group_key", T.StringType()), T.StructField("part", T.LongType()), T.StructField("value", kind), T.StructField("at", T.LongType()), T.StructField("trust", T.LongType()), T.StructField("record_id", T.LongType())])
-
-    def rows_of(table) -> list:
-        return list(pd.DataFrame({"value": table.column("value").to_pylist(), **{k: table.column(k).to_pylist() for k in ("at", "trust", "record_id")}}).itertuples(index=False))
-
-    import pyarrow as pa
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(schema)
-
-    def thin(table: pa.Table) -> pa.Table:
-        keep = {r.record_id for r in _whole(field, rows_of(table))}
-        mask = pa.array([r in keep for r in table.column("record_id").to_pylist()], pa.bool_())
-        return table.filter(mask).select(arrow.names).cast(arrow)
-
-    def pick(table: pa.Table) -> pa.Table:
-        chosen = _pick(field, _sound(field, rows_of(table)))
-        ids = [] if chosen is None else [chosen]
-        return pa.table({"group_key": table.column("group_key").to_pylist()[:1] * len(ids), "field": [field] * len(ids), "record_id": pa.array(ids, pa.int64())}, schema=pa.schema([("group_key", pa.string()), ("field", pa.string()), ("record_id", pa.int64())]))
-
-    sizes = values.groupBy("group_key").agg(F.count("*").alias("n"))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / PART)).cast("long")
-    split = values.join(sizes, "group_key").withColumn("part", F.pmod(F.xxhash64("record_id"), parts))
-    big = split.where(f"n > {PART}").drop("n").select(*schema.names)
-    thinned = big.groupBy("group_key", "part").applyInArrow(thin, schema)
-    small = split.where(f"n <= {PART}").select(*schema.names)
-    return small.unionByName(thinned).groupBy("group_key").applyInArrow(pick, _FOUND)
+    # One row a record and field, then one a distinct value, with its best record and the records' weight.
+    long = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), _tokens(f, F.col(f)).alias("tokens"), _spoilt(f, F.col(f)).alias("spoilt")) for f in fields])).alias("v")
+    values = base.distinct().select("group_key", "record_id", "at", "trust", long).select("group_key", "v.*", "record_id", "at", "trust").where("size(tokens) > 0 and tokens[0] is not null")
+    best = F.max(F.struct("at", (-F.col("trust")).alias("trusted"), (-F.col("record_id")).alias("id"))).alias("best")
+    weight = F.sum(1 / (1 + F.greatest(F.col("trust"), F.lit(0))))
+    values = values.groupBy("group_key", "field", "tokens", "spoilt").agg(best, weight.alias("weight"))
+    values = written(values.withColumn("record_id", -F.col("best.id")))
+
+    big = values.groupBy("group_key", "field").agg(F.count("*").alias("n")).where(f"n > {PART}")
+    some = not big.isEmpty()
+    parts = F.expr(f"cast(ceil(coalesce(n, 1) / {PART}) as int)")
+    if some:
+        values = values.join(big, ["group_key", "field"], "left").withColumn("parts", parts).drop("n")
+    else:
+        values = values.withColumn("parts", F.lit(1))
+    held = values.withColumn("part", F.pmod(F.xxhash64("record_id"), F.col("parts")).cast("int"))
+
+    newest = Window.partitionBy("group_key", "field").orderBy(F.desc("best.at"), F.desc("best.trusted"), F.desc("best.id"))
+    rest, found = values.where("not spoilt"), None
+    while True:
+        ranked = rest.withColumn("rank", F.row_number().over(newest)).where(f"rank <= {PART}")
+        asked = ranked.withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))
+        shape = [F.lit(0).alias("value_no"), "tokens", "spoilt", "weight"]
+        rows = held.select("group_key", "field", "part", *shape, F.lit(0).alias("rank"), "record_id", F.lit(False).alias("asks"))
+        if found is not None:
+            rows = rows.join(asked.select("group_key", "field").distinct(), ["group_key", "field"], "left_semi").select(*_NAMES)
+        rows = rows.unionByName(asked.select("group_key", "field", "part", *shape, "rank", "record_id", F.lit(True).alias("asks")))
+        rows = rows.repartition("group_key", "field", "part").sortWithinPartitions("group_key", "field", "part", "asks", "rank", "record_id")
+        judged = rows.select(*_NAMES).mapInArrow(_judge, JUDGED)
+        one = judged.groupBy("group_key", "field", "record_id", "rank", "token").agg(F.max("held").alias("held"), (F.sum("against") > F.sum("agreed")).alias("outvoted"))
+        left = one.groupBy("group_key", "field", "record_id", "rank").agg(F.max("held").alias("held"), F.max("outvoted").alias("outvoted")).where("not held and not outvoted")
+        winners = left.groupBy("group_key", "field").agg(F.min(F.struct("rank", "record_id"))["record_id"].alias("record_id"))
+        if not some:
+            return winners.withColumnRenamed("group_key", group_col)
+        winners = written(winners)
+        found = winners if found is None else found.unionByName(winners)
+        seen = ranked.select("group_key", "field", "record_id")
+        rest = rest.join(big, ["group_key", "field"], "left_semi").join(winners, ["group_key", "field"], "left_anti").join(seen, ["group_key", "field", "record_id"], "left_anti")
+        rest = written(rest)
+        if rest.isEmpty():
+            return found.withColumnRenamed("group_key", group_col)

@@ -20,10 +20,12 @@ def test_alignment_is_a_longest_common_subsequence(a, b):
     assert sum(i >= 0 and j >= 0 and a[i] == b[j] for i, j in columns) == best[-1][-1]
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(T, min_size=1, max_size=5))
-def test_the_strongest_vote_wins_every_column(values):
-    assert consensus.consensus([(v, (i,)) for i, v in enumerate(values)]) == values[-1]
+def test_votes():
+    good = "Repair the valve seat now".split()
+    assert consensus.votes("Rep¤ir the valve seat now".split(), [(good, 0.5), (good, 0.25)]) == {0: (0.75, 0.0)}
+    assert consensus.votes("Repair the va?ve seat".split(), [(good, 1.0), ("Repair the va?ve".split(), 3.0)]) == {2: (1.0, 3.0)}
+    assert consensus.votes("Is the valve dry? Repair it.".split(), [(good, 1.0)]) == {}
+    assert not consensus.damaged_form("Rep¤¤¤¤ir", "Repair") and not consensus.damaged_form("Repaid", "Repair") and consensus.damaged_form("Re¤ir", "Repair")
 
 
 def run(spark, rows, part=None):
@@ -61,3 +63,26 @@ def test_survivors(spark):
     assert run(spark, ROWS) == wanted
     assert run(spark, ROWS, part=2) == wanted  # split groups
     assert run(spark, []) == {}
+
+
+def test_a_spoilt_value_is_a_witness_whatever_the_parts(spark):
+    rows = [(1, "w", 1, "2031-01-01", [1, 2], None, None, None), (2, "w", 1, "2031-01-02", [0, 1, 2], None, None, None), (3, "v", 1, "2031-01-01", [1], None, None, None), (4, "v", 1, "2031-01-02", [1, 2, 0], None, None, None), (5, "v", 1, "2030-01-01", [7], None, None, None)]
+    for part in (256, 2, 1):
+        assert run(spark, rows, part) == {("v", "pages"): 5}
+
+
+def test_the_vote_decides(spark):
+    """The newest summary is garbled in a way no list names; the others outvote it, and where they do not, it stays."""
+    texts = ["Operator performs: grind valve", "Operator performs: grind valve → weld cover", "Operator performs: grind va¤ve → weld cover → tag hose"]
+    rows = [(i, "w", 1, f"2031-01-0{i + 1}", None, None, None, t) for i, t in enumerate(texts)]
+    alone = [(9, "u", 1, "2031-01-01", None, None, None, texts[2])]
+    split = [(20 + i, "x", 1, f"2031-01-0{i + 1}", None, None, None, t) for i, t in enumerate([texts[1], texts[2], texts[2].replace("tag", "lock"), texts[2].replace("tag", "clean") + "s"])]
+    for part in (256, 1):
+        assert run(spark, rows + alone + split, part) == {("w", "summary"): 1, ("u", "summary"): 9, ("x", "summary"): 23}
+
+
+def test_large_groups(spark):
+    rows = [(i, "w", 1, "2031-01-01", list(range(1, 2 + i)), None, None, f"Operator performs: step {i} of many") for i in range(40)]
+    assert run(spark, rows, 3) == run(spark, rows) == {("w", "pages"): 39, ("w", "summary"): 0}
+    hidden = [(100 + i, "w", 1, "2032-01-01", None, None, None, f"Operator performs: no. {i}") for i in range(9)] + [(200 + i, "w", 1, "2030-01-01", None, None, None, f"Operator performs: no. {i} and more") for i in range(9)]
+    assert run(spark, rows + hidden, 3)["w", "summary"] == run(spark, rows + hidden)["w", "summary"] == 0
