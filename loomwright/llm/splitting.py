@@ -177,7 +177,7 @@ def split_items(items: DataFrame, corpus: DataFrame, limit: int = LIMIT, overlap
                     starts += found
                     places += open_places
                     rows.append(i), texts.append(text), langs.append(S.language(None, text)), at.append(len(starts)), of.append(len(places))
-            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(starts, pa.int32())), pa.ListArray.from_arrays(pa.array(of, pa.int32()), S.place_columns(places))
+            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(starts, pa.int32())), pa.ListArray.from_arrays(pa.array(of, pa.int32()), S.place_columns(*(zip(*places) if places else ())))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())).cast(pa.string()), pa.array(texts, pa.string()), pa.array(langs, pa.string()), *lists], names=["item_id", "text", "lang", "starts", "places"])
 
     marked = items.select("item_id", "text", "unit_type").mapInArrow(mark, f"item_id string, text string, lang string, starts array<int>, places array<{S.PLACE}>")
