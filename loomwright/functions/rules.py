@@ -24,6 +24,12 @@ COREF_NOUN = r"\b((?:the|a|an)\s+(?:[A-Za-z-]+\s+){0,3}[A-Za-z-]+|[A-Z][a-z]+(?:
 COREF_PRON = r"(?i)\b(it|its|they|them|their|this|that)\b"
 CAUSATIVE = r"(?i)\b(allow|cause|permit|let|make|enable|force|require)(?:s|d|ed)?\s+(?:(?:the|a|an)\s+)?(.+?)\s+to\s+(\w+)"
 DURATION = r"(?i)\bfor\s+(\d+\s+\w+)"
+ACTOR = r"(?i)^\s*(?:\d+[\.\)]\s*)?(?:the|a|an)\s+(technician|operator|engineer|worker|user)\s+((?:shall|must|should|will|may|can)\s+)?([A-Za-z]+)\s*(.*)$"
+BARE_NUMBER = r"^\d+\.\s*$"
+ASKS = r"(?i)^(?:where|what|which|how|when|why)\b.*\?"
+LEADS = r"(?i)^(?:after|before|once|following|upon|then)\b"
+NOISE_LOWER = r"^(?:this section describes|#*\s*(?:sample|synthetic|example)\b)"
+PERFORM_NUMBER = r"(?i)^perform \d+$"
 LEXICAL = (
     r"(?im)^\d+\.\d+\s+.*Procedure",
     r"(?im)^\d+\.\d+\s+.*Process",
@@ -41,19 +47,27 @@ MARKERS = {
     "THEN": ("then", "next", "afterward", "afterwards", "subsequently"),
     "IF": ("if", "when", "whenever", "provided that"),
 }
-IMPERATIVES = "apply remove inspect grind preheat perform clean install replace extract verify check use do ensure allow record".split()
-STOP_VERBS = (
-    "be am is are was were been being have has had do does did can could should would may might shall will "
-    "seem appear describe include contain follow follows"
-).split()
-NOISE_OBJECTS = "inspection preheating welding grinding testing removal".split()
-HINTS = (
-    "inspect remove grind preheat apply weld repair perform test testing clean extract install replace validate "
-    "validation role context objective input tasks constraints output format"
-).split()
-QUERY_STOPS = (
-    "where is the a an of for to in on and or procedure process workflow how what which find locate show me about does do are"
-).split()
+IMPERATIVES = [
+    "apply", "remove", "inspect", "grind", "preheat", "perform", "clean", "install", "replace", "extract",
+    "verify", "check", "use", "do", "ensure", "allow", "record",
+]
+STOP_VERBS = [
+    "be", "am", "is", "are", "was", "were", "been", "being", "have", "has", "had", "do", "does", "did", "can",
+    "could", "should", "would", "may", "might", "shall", "will", "seem", "appear", "describe", "include",
+    "contain", "follow", "follows",
+]
+NOISE_OBJECTS = [
+    "inspection", "preheating", "welding", "grinding", "testing", "removal",
+]
+HINTS = [
+    "inspect", "remove", "grind", "preheat", "apply", "weld", "repair", "perform", "test", "testing", "clean",
+    "extract", "install", "replace", "validate", "validation", "role", "context", "objective", "input", "tasks",
+    "constraints", "output", "format",
+]
+QUERY_STOPS = [
+    "where", "is", "the", "a", "an", "of", "for", "to", "in", "on", "and", "or", "procedure", "process",
+    "workflow", "how", "what", "which", "find", "locate", "show", "me", "about", "does", "do", "are",
+]
 # Weights and thresholds.
 SEGMENT_WEIGHTS, SEGMENT_THRESHOLD, WEAK, WEAK_GAP = (0.35, 0.40, 0.25), 0.45, 0.55, 2
 ALIGN_GAP, CLUSTER_THRESHOLD = 0.35, 0.7

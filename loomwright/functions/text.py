@@ -34,11 +34,10 @@ def is_noise(c: Column) -> Column:
     n, low = F.char_length(c), F.lower(c)
     return (
         (n < 2)
-        | c.rlike(r"^\d+\.\s*$")
+        | c.rlike(R.BARE_NUMBER)
         | (c.rlike(R.ALLCAPS) & (n > 20))
         | (c.contains("—") & ~c.rlike(R.CLS_NUMBERED) & (n > 40))
-        | low.rlike(r"^this section describes")
-        | low.rlike(r"^#*\s*(sample|synthetic|example)\b")
+        | low.rlike(R.NOISE_LOWER)
         | (low.contains("regression tests") & (n < 120))
     )
 
@@ -84,16 +83,38 @@ def label(action: Column, obj: Column) -> Column:
 def is_spurious_node(action: Column, obj: Column, sentence: Column) -> Column:
     """Nodes that name no step: bare numbers, descriptions, shouting headings and leftovers."""
     a, o = F.lower(F.trim(F.coalesce(action, F.lit("")))), F.lower(F.trim(F.coalesce(obj, F.lit(""))))
-    name = label(action, obj)
-    shown = F.when(strip(F.coalesce(sentence, F.lit(""))) != "", sentence).otherwise(name)
+    name, said = label(action, obj), strip(F.coalesce(sentence, F.lit("")))
+    shown = F.when(said != "", said).otherwise(name)
     return (
-        F.lower(name).rlike(r"^perform\s+\d+\.?$")
-        | name.rlike(r"^\d+\.?$")
+        name.rlike(R.PERFORM_NUMBER)
+        | said.rlike(R.BARE_NUMBER)
         | looks_descriptive(shown)
-        | (shown.rlike(R.ALLCAPS) & (F.char_length(shown) > 20))
-        | ((a == "perform") & (o.rlike(r"^\d+\.?$") | o.contains("testing passes")))
+        | (said.rlike(R.ALLCAPS) & (F.char_length(said) > 20))
+        | ((a == "perform") & (o.rlike(r"^\d+$") | (o == "testing passes")))
         | (a == "aircraft")
-        | ((a == "complete") & o.contains("procedure below"))
+        | ((a == "complete") & F.lower(name).contains("procedure below"))
+    )
+
+
+def is_spurious_action(action: Column, obj: Column, actor: Column, sentence: Column, step: Column) -> Column:
+    """Extracted actions that name nothing to do: descriptions, questions, headings, talk about the procedure itself."""
+    a, o = F.lower(action), F.lower(F.trim(F.coalesce(obj, F.lit(""))))
+    said, name = strip(F.coalesce(sentence, F.lit(""))), F.lower(label(action, obj))
+    low = F.lower(said)
+    applies = low.startswith("this procedure applies") | low.contains("hairline cracks found") | name.contains("during borescope inspection")
+    return (
+        (sentence_class(said) == "DESCRIPTION")
+        | said.rlike(R.BARE_NUMBER)
+        | ((a == "perform") & (o.rlike(r"^\d+$") | (o == "testing passes")))
+        | said.rlike(R.ASKS)
+        | (said.rlike(R.ALLCAPS) & (F.char_length(said) > 20))
+        | low.startswith("the procedure below")
+        | (o.isin(*R.NOISE_OBJECTS) & said.rlike(R.LEADS))
+        | name.contains("process for")
+        | a.isin("follow", "follows", "differ")
+        | ((a == "apply") & (applies | low.contains("differs from")))
+        | F.lower(F.coalesce(actor, F.lit(""))).isin("this procedure", "this section", "this document")
+        | ((F.char_length(name) > 80) & step.isNull())
     )
 
 
@@ -144,10 +165,11 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"([a-z]+)"), 1)
 
 
-def query_phrase(question: Column) -> Column:
-    domain = F.lower(F.regexp_extract(question, R.DOMAIN_PHRASE, 0))
+def query_phrases(question: Column) -> Column:
+    """All domain phrases, each once; without any the first three telling words as one phrase, if there are two."""
+    domain = F.array_distinct(F.transform(F.regexp_extract_all(question, F.lit(R.DOMAIN_PHRASE), 0), lambda p: F.regexp_replace(F.lower(p), r"\s+", " ")))
     rest = F.slice(F.filter(tokens(question), lambda t: ~t.isin(*R.QUERY_STOPS)), 1, 3)
-    return F.when(domain != "", domain).when(F.size(rest) >= 2, F.array_join(rest, " "))
+    return F.when(F.size(domain) > 0, domain).when(F.size(rest) >= 2, F.array(F.array_join(rest, " "))).otherwise(F.array().cast("array<string>"))
 
 
 def query_hints(question: Column) -> Column:

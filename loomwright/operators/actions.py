@@ -10,14 +10,22 @@ from loomwright.functions import text as X
 
 
 def sentence_rows(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, unit_index, sent_index, sentence, step_number, unit_count) of chunks that are no headings or noise."""
+    """Sentences of chunks that are no headings or noise, by atomic unit, each with its step number.
+
+    A unit is a line, or an item of a chain. Its number is the one it starts with;
+    else, where the chunk has several units, its place among them. The number stays
+    with the unit's first sentence.
+    """
     body = chunks.where((F.col("unit_type") != "heading") & ~X.is_noise(F.col("text")))
     lines = F.filter(F.transform(F.split("text", r"[\r\n]+"), X.strip), lambda s: s != "")
-    units = body.select("chunk_id", "document_id", "order_index", "section", "page", "text", F.posexplode(F.flatten(F.transform(lines, X.list_parts))).alias("unit_index", "unit"))
-    bare = F.regexp_replace("unit", R.STEP_NUM, "")
-    number = F.coalesce(X.step_number(F.col("unit")), X.step_number(F.col("text")))
-    rows = units.withColumn("step_number", number).select("*", F.posexplode(X.sentences(bare)).alias("sent_index", "sentence"))
-    return rows.select("chunk_id", "document_id", "order_index", "section", "page", "unit_index", "sent_index", "sentence", "step_number")
+    body = body.withColumn("units", F.flatten(F.transform(lines, lambda line: X.list_parts(line))))
+    kept = [c for c in ("chunk_id", "document_id", "order_index", "section", "page", "paragraph") if c in chunks.columns]
+    units = body.select(*kept, F.size("units").alias("unit_count"), F.posexplode("units").alias("unit_index", "unit")).where(~X.is_noise(F.col("unit")))
+    number = F.coalesce(X.step_number(F.col("unit")), F.when(F.col("unit_count") > 1, F.col("unit_index") + 1))
+    mark = F.regexp_extract("unit", R.STEP_NUM, 0)
+    said = F.transform(X.sentences(F.regexp_replace("unit", R.STEP_NUM, "")), lambda s, i: F.when(i == 0, F.concat(X.strip(mark), F.when(X.strip(mark) != "", F.lit(" ")).otherwise(F.lit("")), s)).otherwise(s))
+    rows = units.withColumn("step_number", number).select("*", F.posexplode(said).alias("sent_index", "sentence"))
+    return rows.drop("unit", "unit_count")
 
 
 def imperative(sentence: Column) -> Column:
@@ -41,20 +49,58 @@ def causative(sentence: Column) -> Column:
     return F.when(act != "", F.struct(F.lower(act).alias("action"), obj.alias("object"), F.when(held != "", held).alias("duration")))
 
 
+def agent(sentence: Column) -> Column:
+    """struct(actor, action, object) of "The technician shall drain the sensor" and "The operator closes the valve"."""
+    who, modal, verb, rest = (F.regexp_extract(sentence, R.ACTOR, k) for k in (1, 2, 3, 4))
+    stem = F.lower(F.when(modal != "", verb).otherwise(F.regexp_replace(verb, r"(?<=[^s])s$", "")))
+    obj = F.regexp_replace(X.strip(rest), r"[.!?;:]+$", "")
+    held = F.struct(F.lower(who).alias("actor"), stem.alias("action"), F.when(obj != "", obj).alias("object"))
+    return F.when((who != "") & ~stem.isin(*R.STOP_VERBS), held)
+
+
+def list_item(sentence: Column) -> Column:
+    """struct(action) of a short item of a chain: the whole phrase."""
+    x = F.lower(F.regexp_replace(sentence, r"^[ .,;:]+|[ .,;:]+$", ""))
+    return F.when((x != "") & (F.char_length(x) <= 80) & (F.size(F.split(x, r"\s+")) <= 6), F.struct(x.alias("action")))
+
+
 def extract(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, unit_index, sent_index, kind, action, object, label, step_number) of instructions; descriptions and conditions keep their kind only."""
-    rows = sentence_rows(chunks).where(~X.is_noise(F.col("sentence"))).withColumn("kind", F.explode(F.array(X.sentence_class(F.col("sentence")))))
-    found = F.coalesce(
-        causative(F.col("sentence")).dropFields("duration"),
-        imperative(F.col("sentence")),
+    """Sentences with kind and, for instructions, actor, action, object, label, duration and the rule that found them.
+
+    Causatives first, then sentences with an agent, then imperatives, then items of
+    chains. Descriptions and conditions keep their kind only; instructions that
+    name no action, or none to do, are left out.
+    """
+    s = F.col("sentence")
+    # A generator keeps the optimiser from copying an extraction into each later use of its result.
+    rows = sentence_rows(chunks).where(~X.is_noise(s)).withColumn("kind", F.explode(F.array(X.sentence_class(s))))
+    none = F.lit(None).cast("string")
+
+    def found(x: Column, rule: str, **named: Column) -> Column:
+        parts = {"actor": none, "action": x["action"], "object": none, "duration": none, **named}
+        return F.when(x.isNotNull(), F.struct(*[v.alias(k) for k, v in parts.items()], F.lit(rule).alias("extraction")))
+
+    c, g, i, t = causative(s), agent(s), imperative(s), list_item(s)
+    best = F.coalesce(
+        found(c, "causative", object=c["object"], duration=c["duration"]),
+        found(g, "agent", actor=g["actor"], object=g["object"]),
+        found(i, "imperative", object=i["object"]),
+        found(t, "list_item"),
     )
-    # A generator keeps the optimiser from copying the extraction into each later use of its result.
-    rows = rows.withColumn("a", F.explode(F.array(F.when(F.col("kind") == "INSTRUCTION", found))))
-    out = rows.select("*", F.col("a.action").alias("action"), F.col("a.object").alias("object")).drop("a")
-    spurious = X.is_spurious_node(F.col("action"), F.col("object"), F.col("sentence")) | F.lower("object").isin(*R.NOISE_OBJECTS)
+    rows = rows.withColumn("a", F.explode(F.array(F.when(F.col("kind") == "INSTRUCTION", best))))
+    out = rows.select("*", *[F.col(f"a.{c}").alias(c) for c in ("actor", "action", "object", "duration", "extraction")]).drop("a")
+    spurious = X.is_spurious_action(F.col("action"), F.col("object"), F.col("actor"), s, F.col("step_number"))
     return out.where((F.col("kind") != "INSTRUCTION") | (F.col("action").isNotNull() & ~F.coalesce(spurious, F.lit(False)))).withColumn("label", X.label(F.col("action"), F.col("object")))
 
 
+def action_rows(extracted: DataFrame) -> DataFrame:
+    """Instructions as actions: action_id from their place, ``ord`` in reading order within the document."""
+    place = F.concat_ws("/", "document_id", "chunk_id", F.col("unit_index").cast("string"), F.col("sent_index").cast("string"))
+    ord_ = F.col("order_index").cast("bigint") * 1_000_000_000 + F.col("unit_index") * 10_000 + F.col("sent_index")
+    rows = extracted.where("kind = 'INSTRUCTION'").withColumns({"action_id": F.concat(F.lit("act_"), F.substring(F.sha2(place, 256), 1, 12)), "ord": ord_})
+    return rows.drop("kind", "unit_index", "sent_index", "order_index")
+
+
 def conditions(sentences: DataFrame, col: str = "sentence") -> DataFrame:
     """Adds condition, rework verb and target steps of conditional sentences."""
     s = F.col(col)

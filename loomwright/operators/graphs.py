@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import heapq
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwright.functions import rules as R
 from loomwright.functions import text as X
 
 
@@ -20,6 +20,13 @@ def node_rows(nodes: DataFrame) -> DataFrame:
     return named.withColumn("normal", X.normal_label(F.col("label")))
 
 
+def workflow_nodes(workflows: DataFrame) -> DataFrame:
+    """The nodes in the workflows' lists, once each, with their sentences, label and normal label."""
+    one = workflows.where("workflow_id is not null").select("workflow_id", F.explode("nodes").alias("n")).select("workflow_id", "n.*").where("node_id is not null").distinct()
+    named = one.withColumn("label", X.label(F.col("action"), F.col("object")))
+    return named.withColumn("normal", X.normal_label(F.col("label")))
+
+
 def edge_rows(workflows: DataFrame) -> DataFrame:
     """(workflow_id, seq, source, target, relation, weight, evidence) of the workflows' edge lists."""
     one = workflows.select("workflow_id", "edges").where("edges is not null").distinct()
@@ -32,25 +39,68 @@ def first_labels(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("rank", F.row_number().over(order)).where("rank = 1").drop("rank")
 
 
+def subsumes(a: str, b: str) -> bool:
+    """Whether label a holds all words of label b, or b as a part of it; they differ, and their lengths by less than 24."""
+    return bool(b) and a != b and abs(len(a) - len(b)) < 24 and (b in a or set(b.split()) <= set(a.split()))
+
+
+def overlaps(a: str, b: str) -> bool:
+    """Whether one label's words are all among the other's, or one is part of the other."""
+    if not a or not b:
+        return False
+    x, y = set(a.split()), set(b.split())
+    return a in b or b in a or x <= y or y <= x
+
+
+def _kept(labels: list[str]) -> list[int]:
+    """Positions kept when, in order, a label goes that an equal or wider one precedes, and takes narrower ones with it."""
+    kept: list[int] = []
+    for i, label in enumerate(labels):
+        if not any(label == labels[k] or subsumes(labels[k], label) for k in kept):
+            kept = [k for k in kept if not subsumes(label, labels[k])] + [i]
+    return kept
+
+
 def drop_subsumed(nodes: DataFrame) -> DataFrame:
-    """(workflow_id, node_id) kept when, in order, a node is dropped that an earlier one subsumes and drops the earlier ones it subsumes.
+    """(workflow_id, node_id) kept when, in order, a node is dropped that an earlier one subsumes and drops the earlier ones it subsumes."""
+    lists = nodes.groupBy("workflow_id").agg(F.array_sort(F.collect_list(F.struct("ord", "node_id", "normal"))).alias("n"))
+
+    def run(batches):
+        for batch in batches:
+            found = [(w, n[k]["node_id"]) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for k in _kept([x["normal"] or "" for x in n])]
+            cols = list(zip(*found)) or [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["workflow_id", "node_id"])
+
+    return lists.mapInArrow(run, "workflow_id string, node_id string")
+
+
+def pick_nodes(actions: DataFrame) -> DataFrame:
+    """(workflow_id, action_id, ord): the actions of each workflow that become its nodes, in order.
 
-    One label subsumes another if the other's words are among its own, or it holds
-    it as a substring, they differ and their lengths by less than 24.
+    Numbered steps go first, by page and number. Descriptions go, and unnumbered
+    actions that say what a numbered one does; of the rest, equal and subsumed
+    labels as of ``drop_subsumed``. The order is by number, then by place.
     """
+    plain = ~(X.looks_descriptive(F.col("label")) | ((X.strip(F.coalesce("sentence", F.lit(""))) != "") & F.coalesce(F.col("sentence").rlike(R.LIGHT_DESC), F.lit(False))))
+    step = F.col("step_number")
+    first = F.struct(step.isNull().alias("bare"), F.coalesce("page", F.lit(0)).alias("page"), F.coalesce(step.cast("bigint"), F.col("ord")).alias("by"), "ord", "action_id", X.normal_label(F.col("label")).alias("normal"), "step_number", plain.alias("plain"))
+    lists = actions.groupBy("workflow_id").agg(F.array_sort(F.collect_list(first)).alias("a"))
 
-    def subsumes(a: str, b: str) -> bool:
-        return a != b and abs(len(a) - len(b)) < 24 and (set(b.split()) <= set(a.split()) or b in a)
+    def nodes_of(own: list[dict]) -> list[str]:
+        numbered = [x["normal"] for x in own if not x["bare"]]
+        open_ = [x for x in own if x["plain"] and x["normal"] and not (x["bare"] and any(overlaps(x["normal"], n) for n in numbered))]
+        kept = [open_[k] for k in _kept([x["normal"] for x in open_])]
+        place = {x["action_id"]: i for i, x in enumerate(kept)}
+        by_number = sorted(kept, key=lambda x: (x["bare"], place[x["action_id"]] if x["bare"] else x["step_number"], x["page"]))
+        return [x["action_id"] for x in by_number]
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple[str, str]] = []
-        for node, label in pdf.sort_values(["ord", "node_id"])[["node_id", "normal"]].itertuples(index=False):
-            if any(label == old or subsumes(old, label) for _, old in kept):
-                continue
-            kept = [k for k in kept if not subsumes(label, k[1])] + [(node, label)]
-        return pd.DataFrame({"workflow_id": pdf["workflow_id"].iloc[0], "node_id": [k[0] for k in kept]}, columns=["workflow_id", "node_id"])
+    def run(batches):
+        for batch in batches:
+            found = [(w, a, i) for w, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i, a in enumerate(nodes_of(own))]
+            cols = list(zip(*found)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.int32()))], names=["workflow_id", "action_id", "ord"])
 
-    return nodes.select("workflow_id", "node_id", "ord", "normal").groupBy("workflow_id").applyInPandas(fold, "workflow_id string, node_id string")
+    return lists.mapInArrow(run, "workflow_id string, action_id string, ord int")
 
 
 def document_edges(nodes: DataFrame) -> DataFrame:
@@ -76,12 +126,12 @@ def degrees(edges: DataFrame) -> DataFrame:
     return pairs.select("workflow_id", F.explode(F.array("source", "target")).alias("node_id")).groupBy("workflow_id", "node_id").agg(F.count("*").alias("degree"))
 
 
-def topological_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(workflow_id, node_id, position): Kahn's order with the smallest (ord, node_id) first; what a cycle holds follows in that order.
+def topological_order(nodes: DataFrame, edges: DataFrame, *keys: str) -> DataFrame:
+    """(workflow_id, node_id, position): Kahn's order with the smallest by ``keys`` (ord) and node_id first; what a cycle holds follows in that order.
 
     A graph travels as one row of two lists, so that Python sees batches of graphs.
     """
-    n = nodes.groupBy("workflow_id").agg(F.array_sort(F.collect_set(F.struct(F.col("ord").cast("int").alias("ord"), "node_id"))).alias("n"))
+    n = nodes.groupBy("workflow_id").agg(F.array_sort(F.collect_set(F.struct(*(keys or ("ord",)), "node_id"))).alias("n"))
     e = edges.groupBy("workflow_id").agg(F.collect_set(F.struct("source", "target")).alias("e"))
 
     def walk(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,44 +36,70 @@ def comma_edges(sentences: DataFrame, col: str = "sentence") -> DataFrame:
     return found.where("source <> '' and target <> '' and lower(source) <> lower(target)").drop("a", "b")
 
 
-def infix_edges(sentences: DataFrame, col: str = "sentence") -> DataFrame:
-    """Edges of "left marker right" in a sentence without the comma form: before leads right to left, the others left to right."""
+def clauses(sentences: DataFrame, col: str = "sentence") -> DataFrame:
+    """The clauses (clause, c) of sentences without the comma form that hold a marker."""
     s = F.col(col)
-    rest = sentences.where(~s.rlike(COMMA)).withColumn("marker", F.regexp_replace(F.lower(F.regexp_extract(s, INFIX, 2)), r"\s+", " ")).where("marker <> ''")
-    left, right = X.clean_phrase(F.regexp_extract(s, INFIX, 1)), X.clean_phrase(F.regexp_extract(s, INFIX, 3))
-    rest = rest.withColumns({"relation": _relation(F.col("marker")), "l": left, "r": right})
-    rest = rest.withColumns({"source": F.when(F.col("relation") == "BEFORE", F.col("r")).otherwise(F.col("l")), "target": F.when(F.col("relation") == "BEFORE", F.col("l")).otherwise(F.col("r"))})
-    return rest.where("source <> '' and target <> '' and lower(source) <> lower(target)").drop("l", "r")
+    rows = sentences.where(~s.rlike(COMMA) & s.rlike(rf"(?i)\b({ANY})\b")).select("*", F.posexplode(F.split(s, "[.。;]")).alias("clause", "c"))
+    return rows.where(F.col("c").rlike(rf"(?i)\b({ANY})\b"))
+
+
+def _first_edge(rows: DataFrame, ends: Callable[[Column], tuple[Column, Column]]) -> DataFrame:
+    """Of each clause the edge of its longest marker that makes one; ``ends`` gives source and target of a struct (marker, relation, p, left, right).
+
+    All within the row: both sides there, and different.
+    """
+    marks = F.array(*[F.struct(F.lit(m).alias("marker"), F.lit(r).alias("relation"), F.lit(_spaced(m)).alias("p")) for m, r in R.all_markers()])
+
+    def pattern(m: Column) -> Column:
+        return F.concat(F.lit(r"(?is)^(.*?)\b"), m["p"], F.lit(r"\b(.*)$"))
+
+    def split(m: Column) -> Column:
+        left, right = (F.nullif(X.clean_phrase(F.call_function("regexp_extract", F.col("c"), pattern(m), F.lit(k))), F.lit("")) for k in (1, 2))
+        return F.struct(m["marker"].alias("marker"), m["relation"].alias("relation"), m["p"].alias("p"), left.alias("left"), right.alias("right"))
+
+    def edge(x: Column) -> Column:
+        source, target = ends(x)
+        return F.struct(x["marker"].alias("marker"), x["relation"].alias("relation"), source.alias("source"), target.alias("target"))
+
+    met = F.transform(F.filter(marks, lambda m: F.regexp_like(F.col("c"), pattern(m))), split)
+    made = F.filter(F.transform(met, edge), lambda x: F.coalesce((x["source"] != "") & (x["target"] != "") & (F.lower(x["source"]) != F.lower(x["target"])), F.lit(False)))
+    # A generator keeps the optimiser from copying the search into each use of its result.
+    return rows.select("*", F.explode(F.slice(made, 1, 1)).alias("e")).select(*rows.columns, "e.*").drop("c")
+
+
+def infix_edges(sentences: DataFrame, col: str = "sentence") -> DataFrame:
+    """Edges of "left marker right", one a clause: before leads right to left, the others left to right. No shuffle."""
+
+    def ends(x: Column) -> tuple[Column, Column]:
+        back = x["relation"] == "BEFORE"
+        return F.when(back, x["right"]).otherwise(x["left"]), F.when(back, x["left"]).otherwise(x["right"])
+
+    return _first_edge(clauses(sentences, col), ends)
 
 
 def filled_edges(sentences: DataFrame, actions: DataFrame, col: str = "sentence") -> DataFrame:
-    """Edges of every clause of a sentence without the comma form, a missing side filled.
-
-    ``sentences`` have chunk_id and sent_index, ``actions`` chunk_id, unit_index,
-    sent_index, label. A clause gives the edge of its longest marker that makes
-    one. A missing right side is the chunk's last action, or the sentence without
-    its marker if the chunk has none; a missing left side too, unless the right
-    one splits at a comma; where both are missing they are the chunk's first and
-    last action.
+    """Edges as of ``infix_edges``, a missing side filled.
+
+    ``sentences`` have chunk_id and sent_index, ``actions`` chunk_id, ord, label. A
+    missing right side is the chunk's last action, or the sentence without its
+    marker if the chunk has none; a missing left side too, unless the right one
+    splits at a comma; where both are missing they are the chunk's first and last
+    action.
     """
-    at = F.struct("unit_index", "sent_index", "label")
-    known = actions.where("label <> ''").groupBy("chunk_id").agg(F.min_by("label", at).alias("first"), F.max_by("label", at).alias("last"), F.count("*").alias("n"))
-    marks = F.array(*[F.struct(F.lit(k).alias("place"), F.lit(m).alias("marker"), F.lit(r).alias("relation"), F.lit(_spaced(m)).alias("p")) for k, (m, r) in enumerate(R.all_markers())])
-    rows = sentences.where(~F.col(col).rlike(COMMA)).where(F.col(col).rlike(rf"(?i)\b({ANY})\b"))
-    rows = rows.select("chunk_id", "sent_index", F.col(col).alias("s"), F.posexplode(F.split(col, "[.。;]")).alias("clause", "c")).withColumn("m", F.explode(marks))
-    pattern = F.concat(F.lit(r"(?is)^(.*?)\b"), "m.p", F.lit(r"\b(.*)$"))
-    rows = rows.where(F.regexp_like("c", pattern)).join(known, "chunk_id", "left")
-    left, right = (F.nullif(X.clean_phrase(F.call_function("regexp_extract", F.col("c"), pattern, F.lit(k))), F.lit("")) for k in (1, 2))
-    back = (F.col("m.relation") == "BEFORE") & right.isNotNull()
-    rows = rows.withColumns({"source0": F.when(back, right).otherwise(left), "target0": F.when(back, left).when(F.col("m.relation") != "BEFORE", right)})
-    bare = X.clean_phrase(F.regexp_replace("s", F.concat(F.lit(r"(?i)^\s*"), "m.p", F.lit(r"\b[,:]?\s*")), F.lit("")))
-    s0, t0, main = F.col("source0"), F.col("target0"), F.coalesce("last", bare)
-    none, several, comma = s0.isNull() & t0.isNull(), F.col("n") >= 2, t0.contains(",")
-    source = F.when(none, F.when(several, F.col("first"))).when(s0.isNull(), F.when(comma, F.trim(F.regexp_extract("target0", r"^([^,]*),", 1))).otherwise(main)).otherwise(s0)
-    target = F.when(none, F.when(several, F.col("last"))).when(t0.isNull(), main).when(s0.isNull() & comma, F.trim(F.regexp_extract("target0", r"(?s)^[^,]*,(.*)$", 1))).otherwise(t0)
-    made = rows.select("chunk_id", "sent_index", "clause", "m.place", "m.marker", "m.relation", source.alias("source"), target.alias("target")).where("source <> '' and target <> '' and lower(source) <> lower(target)")
-    best = F.row_number().over(Window.partitionBy("chunk_id", "sent_index", "clause").orderBy("place"))
-    return made.withColumn("r", best).where("r = 1").drop("r", "place")
+    known = actions.where("label <> ''").groupBy("chunk_id").agg(F.min_by("label", "ord").alias("first"), F.max_by("label", "ord").alias("last"), F.count("*").alias("n"))
+    rows = clauses(sentences, col).join(known, "chunk_id", "left")
+
+    def ends(x: Column) -> tuple[Column, Column]:
+        left, right = x["left"], x["right"]
+        back = (x["relation"] == "BEFORE") & right.isNotNull()
+        s0, t0 = F.when(back, right).otherwise(left), F.when(back, left).when(x["relation"] != "BEFORE", right)
+        bare = X.clean_phrase(F.regexp_replace(F.col(col), F.concat(F.lit(r"(?i)^\s*"), x["p"], F.lit(r"\b[,:]?\s*")), F.lit("")))
+        main, none, several, comma = F.coalesce("last", bare), s0.isNull() & t0.isNull(), F.col("n") >= 2, t0.contains(",")
+        source = F.when(none, F.when(several, F.col("first"))).when(s0.isNull(), F.when(comma, F.trim(F.regexp_extract(t0, r"^([^,]*),", 1))).otherwise(main)).otherwise(s0)
+        target = F.when(none, F.when(several, F.col("last"))).when(t0.isNull(), main).when(s0.isNull() & comma, F.trim(F.regexp_extract(t0, r"(?s)^[^,]*,(.*)$", 1))).otherwise(t0)
+        return source, target
+
+    return _first_edge(rows, ends).drop("first", "last", "n")
 
 
 def match_score(phrase: Column, action: Column, obj: Column, label: Column) -> Column:
@@ -93,9 +121,31 @@ def match_phrases(phrases: DataFrame, actions: DataFrame, key: str, least: int =
     return pairs.withColumn("rank", F.row_number().over(best)).where("rank = 1").select(key, "phrase", "node_id", "score")
 
 
-def numbered_edges(steps: DataFrame, id_col: str = "document_id") -> DataFrame:
-    """(id, source, target): consecutive numbered steps of a section whose numbers rise."""
-    order = Window.partitionBy(id_col).orderBy(F.coalesce("page", F.lit(0)), F.coalesce("section", F.lit("")), "step_number", "order_index", "chunk_id")
-    before = steps.where("step_number is not null").withColumns({"source": F.lag("chunk_id").over(order), "s0": F.lag("section").over(order), "n0": F.lag("step_number").over(order)})
+def numbered_edges(steps: DataFrame, id_col: str = "document_id", name: str = "chunk_id", order: str = "order_index") -> DataFrame:
+    """(id, source, target, section, n0, step_number): consecutive numbered steps of a section whose numbers rise; ``name`` says what is linked."""
+    by = Window.partitionBy(id_col).orderBy(F.coalesce("page", F.lit(0)), F.coalesce("section", F.lit("")), "step_number", order, name)
+    before = steps.where("step_number is not null").withColumns({"source": F.lag(name).over(by), "s0": F.lag("section").over(by), "n0": F.lag("step_number").over(by)})
     kept = before.where(F.col("source").isNotNull() & F.col("s0").eqNullSafe(F.col("section")) & (F.col("step_number") > F.col("n0")))
-    return kept.select(id_col, "source", F.col("chunk_id").alias("target"), "section", "n0", "step_number")
+    return kept.withColumn("target", F.col(name))
+
+
+def discourse_edges(sentences: DataFrame, actions: DataFrame) -> DataFrame:
+    """All edges of a document's chunks, with the actions they name: of sentences, by markers, and of numbered steps.
+
+    ``sentences`` have chunk_id, document_id, page, section, sent_index, sentence;
+    ``actions`` come from ``action_rows``. A phrase names the action of its chunk
+    that it matches best, the first on ties, or none.
+    """
+    own = ("document_id", "chunk_id", "section", "sent_index", "sentence")
+    said = [*own, "marker", "relation", "source", "target"]
+    clause = F.lit(0).alias("clause")
+    phrases = comma_edges(sentences).select(*said, clause).unionByName(filled_edges(sentences, actions).select(*said, "clause"))
+    sides = phrases.select("chunk_id", F.explode(F.array("source", "target")).alias("phrase"))
+    named = match_phrases(sides, actions.select("chunk_id", F.col("action_id").alias("node_id"), "ord", "action", "object", "label"), "chunk_id")
+    for side in ("source", "target"):
+        held = named.select("chunk_id", F.col("phrase").alias(side), F.col("node_id").alias(f"{side}_action_id"))
+        phrases = phrases.join(held, ["chunk_id", side], "left")
+    steps = numbered_edges(actions, name="action_id", order="ord")
+    numbered = steps.select("document_id", "chunk_id", "section", F.lit(None).cast("int").alias("sent_index"), "sentence", F.lit("numbered_step").alias("marker"), F.lit("THEN").alias("relation"), F.col("source").alias("source_action_id"), F.col("label").alias("target"), F.col("target").alias("target_action_id"), F.lit(0).alias("clause"))
+    numbered = numbered.join(actions.select(F.col("action_id").alias("source_action_id"), F.col("label").alias("source")), "source_action_id")
+    return phrases.unionByName(numbered.select(*phrases.columns))

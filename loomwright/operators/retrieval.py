@@ -82,15 +82,15 @@ def evidence(workflows: DataFrame, limit: int = 8) -> DataFrame:
 
 
 def question_nodes(questions: DataFrame) -> DataFrame:
-    """Adds lookup, phrase, hints, keywords to questions (question_id, question)."""
+    """Adds lookup, phrases, hints, keywords to questions (question_id, question)."""
     q = F.col("question")
-    return questions.withColumns({"lookup": X.is_lookup(q), "phrase": X.query_phrase(q), "hints": X.query_hints(q), "keywords": X.query_keywords(q)})
+    return questions.withColumns({"lookup": X.is_lookup(q), "phrases": X.query_phrases(q), "hints": X.query_hints(q), "keywords": X.query_keywords(q)})
 
 
 def query_labels(question: Column) -> Column:
     """Labels of the steps a question names: its phrase, its hints unless it is a lookup, else its keywords."""
     none = F.array().cast("array<string>")
-    named = F.coalesce(F.array_distinct(F.concat(F.coalesce(F.array(X.query_phrase(question)), none), F.when(X.is_lookup(question), none).otherwise(X.query_hints(question)))), none)
+    named = F.coalesce(F.array_distinct(F.concat(X.query_phrases(question), F.when(X.is_lookup(question), none).otherwise(X.query_hints(question)))), none)
     named = F.filter(named, lambda x: x.isNotNull())
     return F.when(F.size(named) > 0, named).otherwise(X.query_keywords(question))
 

@@ -2,25 +2,28 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterable
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwright.functions import rules as R
 
 
-def gap_scores(actions: DataFrame, id_col: str = "document_id") -> DataFrame:
+def gap_scores(actions: DataFrame, id_col: str = "document_id", last: str = "chunk_id") -> DataFrame:
     """Adds idx, structural, lexical, continuity, confidence, is_boundary to actions (id, order_index, section, page, sentence, step_number, density).
 
     Structural: 1 where the section changes, 0.6 at a jump of two pages. Lexical: 1
-    for a heading pattern in the sentence; at a new section 1 for one in its title,
-    else 0.35. Continuity: 0 in sections with numbered steps, else 1 less the mean
-    marker density around the gap. The first action of a document is no gap.
+    for a heading pattern in the sentence; at a new section with a title 1 for one in
+    it, else 0.35. Continuity: 0 in titled sections with numbered steps, else 1 less
+    the mean marker density around the gap. The first action of a document is no
+    gap; a section without a title is as one that is missing.
     """
-    order = Window.partitionBy(id_col).orderBy(F.coalesce("page", F.lit(0)), "order_index", "chunk_id")
-    x = actions.withColumns({"idx": F.row_number().over(order) - 1, "s0": F.lag("section").over(order), "p0": F.lag("page").over(order)})
+    order = Window.partitionBy(id_col).orderBy(F.coalesce("page", F.lit(0)), "order_index", last)
+    x = actions.withColumns({"idx": F.row_number().over(order) - 1, "s0": F.lag(_title()).over(order), "p0": F.lag("page").over(order)})
     first = F.col("idx") == 0
-    changed = ~F.col("section").eqNullSafe(F.col("s0"))
+    changed = ~first & (_title() != F.col("s0"))
     jump = F.coalesce(F.abs(F.col("page") - F.col("p0")) >= 2, F.lit(False))
     hit = F.greatest(*[F.col("sentence").rlike(p).cast("int") for p in R.LEXICAL])
     title = F.greatest(*[F.coalesce(F.col("section"), F.lit("")).rlike(p).cast("int") for p in R.LEXICAL])
@@ -31,14 +34,18 @@ def gap_scores(actions: DataFrame, id_col: str = "document_id") -> DataFrame:
     x = x.withColumns(
         {
             "structural": F.when(first, 0.0).when(changed, 1.0).when(jump, 0.6).otherwise(0.0),
-            "lexical": F.when(hit == 1, 1.0).when(changed & ~first, F.when(title == 1, 1.0).otherwise(0.35)).otherwise(0.0),
-            "continuity": F.when(numbered == 1, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - mean))),
+            "lexical": F.when(hit == 1, 1.0).when(changed & (_title() != ""), F.when(title == 1, 1.0).otherwise(0.35)).otherwise(0.0),
+            "continuity": F.when((numbered == 1) & (_title() != ""), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - mean))),
         }
     )
     x = x.withColumn("confidence", F.when(first, 1.0).otherwise(a * F.col("structural") + b * F.col("lexical") + c * F.col("continuity")))
     return x.withColumn("is_boundary", ~first & (F.col("confidence") >= R.SEGMENT_THRESHOLD)).drop("s0", "p0")
 
 
+def _title():
+    return F.coalesce(F.col("section"), F.lit(""))
+
+
 def marker_density(chunks: DataFrame, edges: DataFrame, id_col: str = "document_id") -> DataFrame:
     """(id, chunk_id, density): edges of each chunk by the most a chunk of its document has."""
     n = edges.groupBy("chunk_id").agg(F.count("*").alias("n"))
@@ -47,18 +54,43 @@ def marker_density(chunks: DataFrame, edges: DataFrame, id_col: str = "document_
     return counted.withColumn("density", F.when(most > 0, F.col("n") / most).otherwise(0.0)).select(id_col, "chunk_id", "density")
 
 
+def _per_document(rows: DataFrame, id_col: str, fold: Callable[[list[dict]], Iterable[tuple]], columns: str) -> DataFrame:
+    """``fold`` over each document's sorted rows; a document is one row of a list, so Python sees batches of documents."""
+    lists = rows.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(*[c for c in rows.columns if c != id_col]))).alias("rows"))
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}
+    names = [c.split() for c in columns.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            ids, found = [], []
+            for i, own in enumerate(batch.column(1).to_pylist()):
+                for row in fold(own):
+                    ids.append(i)
+                    found.append(row)
+            cols = list(zip(*found)) or [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), *[pa.array(c, kinds[k]) for c, (_, k) in zip(cols, names)]], names=[id_col, *[n for n, _ in names]])
+
+    return lists.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, {columns}")
+
+
 def drop_weak(gaps: DataFrame, id_col: str = "document_id") -> DataFrame:
     """(id, idx, confidence) of the boundaries kept: of two weak ones close together the stronger, none that is weak close behind a kept one."""
-    near, weak = R.WEAK_GAP, R.WEAK
-    marks = gaps.where("is_boundary").groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("idx", "confidence"))).alias("marks"))
-    fold = f"""
-        aggregate(marks, cast(array() as array<struct<idx:int,confidence:double>>), (kept, m) ->
-          case when size(kept) = 0 or m.idx - element_at(kept, -1).idx > {near} then concat(kept, array(m))
-               when m.confidence <= {weak} and element_at(kept, -1).confidence <= {weak}
-                 then if(m.confidence > element_at(kept, -1).confidence, concat(slice(kept, 1, size(kept) - 1), array(m)), kept)
-               when m.confidence <= {weak} then kept
-               else concat(kept, array(m)) end)"""
-    return marks.select(id_col, F.explode(F.expr(fold)).alias("m")).select(id_col, "m.idx", "m.confidence")
+
+    def fold(marks):
+        held = None
+        for m in marks:
+            i, c = m["idx"], m["confidence"]
+            if held and i - held[0] <= R.WEAK_GAP and c <= R.WEAK:
+                if held[1] <= R.WEAK and c > held[1]:
+                    held = (i, c)
+                continue
+            if held:
+                yield held
+            held = (i, c)
+        if held:
+            yield held
+
+    return _per_document(gaps.where("is_boundary").select(id_col, "idx", "confidence"), id_col, fold, "idx int, confidence double")
 
 
 def assign_groups(gaps: DataFrame, id_col: str = "document_id") -> DataFrame:
@@ -80,17 +112,23 @@ def group_rows(assigned: DataFrame, id_col: str = "document_id") -> DataFrame:
 
 
 def merge_small(groups: DataFrame, id_col: str = "document_id", least: int = 2) -> DataFrame:
-    """(id, group_no, merged_no): groups of fewer than ``least`` actions go to the one before, a small first one to the next."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("group_no")
-        merged, sizes, current = [], [], -1
-        for n in pdf["actions"]:
-            if current < 0 or (n >= least and sizes[current] >= least):
-                current += 1
-                sizes.append(0)
-            sizes[current] += n
-            merged.append(current)
-        return pd.DataFrame({id_col: pdf[id_col].to_numpy(), "group_no": pdf["group_no"].to_numpy(), "merged_no": merged})
-
-    return groups.select(id_col, "group_no", "actions").groupBy(id_col).applyInPandas(fold, f"{id_col} string, group_no bigint, merged_no bigint")
+    """(id, group_no, merged_no, host): groups of fewer than ``least`` actions go to the one before, a small first one to the next.
+
+    ``host`` is the group_no whose title, notes and confidence the merged group keeps.
+    """
+
+    def fold(rows):
+        held, size = [], 0  # groups of the merged one so far, and their actions
+        host, number = 0, 0
+        for row in rows:
+            no, n = row["group_no"], row["actions"]
+            if held and n >= least and size >= least:
+                yield from ((g, number, host) for g in held)
+                held, size, number = [], 0, number + 1
+            if not held or (n >= least and size < least):
+                host = no
+            held.append(no)
+            size += n
+        yield from ((g, number, host) for g in held)
+
+    return _per_document(groups.select(id_col, "group_no", "actions"), id_col, fold, "group_no bigint, merged_no bigint, host bigint")

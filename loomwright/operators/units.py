@@ -15,21 +15,23 @@ def scan_lines(texts: DataFrame, id_col: str, text_col: str = "text") -> DataFra
 
 
 def text_units(texts: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """Units with class, running section (the last heading), paragraph and page counters.
+    """Units with class, running section (the last heading), paragraph number, page and the text's page count.
 
     A heading names the section of what follows, itself included; the paragraph
-    number counts units that are no headings; the page counter grows with every
-    major section but the first. One window over each text.
+    number counts units that are no headings, which have none. A plain text has one
+    page; its page count grows with every major section but the first. One shuffle
+    by text.
     """
-    order = Window.partitionBy(id_col).orderBy("unit_no").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(id_col)
+    order = whole.orderBy("unit_no").rowsBetween(Window.unboundedPreceding, 0)
     units = scan_lines(texts, id_col, text_col).withColumn("unit_type", X.unit_class(F.col("text")))
     head = F.col("unit_type") == "heading"
-    majors = F.sum(F.when(X.is_major(F.col("text")), 1).otherwise(0)).over(order)
     return units.withColumns(
         {
             "section": F.last(F.when(head, F.col("text")), ignorenulls=True).over(order),
-            "paragraph": F.sum(F.when(head, 0).otherwise(1)).over(order).cast("int"),
-            "page": F.greatest(majors, F.lit(1)).cast("int"),
+            "paragraph": F.when(~head, F.sum(F.when(head, 0).otherwise(1)).over(order)).cast("int"),
+            "page": F.lit(1),
+            "page_count": F.greatest(F.sum(X.is_major(F.col("text")).cast("int")).over(whole), F.lit(1)).cast("int"),
         }
     )
 
@@ -48,14 +50,22 @@ def split_chunks(chunks: DataFrame) -> DataFrame:
     return out.select("chunk_id", "piece_no", "piece", F.when(kind.isin("heading", "table"), kind).otherwise(X.line_class(F.col("piece"))).alias("piece_type"))
 
 
-def chunk_units(units: DataFrame) -> DataFrame:
-    """(document_id, order_index, text, section, page, unit_type) of units: split, section filled, numbered through."""
+def chunk_units(units: DataFrame, preserve_tables: bool = True) -> DataFrame:
+    """(chunk_id, document_id, order_index, text, page, section, paragraph, unit_type) of units: split, section filled, numbered through.
+
+    Headings stay whole and name the section of what follows; tables stay whole
+    unless ``preserve_tables`` is off. chunk_id comes from document and place.
+    """
     seen = Window.partitionBy("document_id").orderBy("unit_no").rowsBetween(Window.unboundedPreceding, 0)
     filled = units.withColumn("current", F.last(F.when(F.col("unit_type") == "heading", F.col("text")), ignorenulls=True).over(seen))
-    parts = F.when(F.col("unit_type").isin("heading", "table"), F.array("text")).otherwise(X.split_at_steps(F.col("text"), F.col("unit_type")))
-    out = filled.select("document_id", "unit_no", "page", "unit_type", F.coalesce("current", "section").alias("section"), F.posexplode(parts).alias("piece_no", "text"))
+    whole = F.col("unit_type").isin("heading", "table") if preserve_tables else F.col("unit_type") == "heading"
+    parts = F.when(whole, F.array("text")).otherwise(X.split_at_steps(F.col("text"), F.col("unit_type")))
+    paragraph = F.col("paragraph") if "paragraph" in units.columns else F.lit(None).cast("int").alias("paragraph")
+    out = filled.select("document_id", "unit_no", "page", paragraph, "unit_type", F.coalesce("current", "section").alias("section"), F.posexplode(parts).alias("piece_no", "text"))
     number = F.row_number().over(Window.partitionBy("document_id").orderBy("unit_no", "piece_no")) - 1
-    return out.withColumn("order_index", number).select("document_id", "order_index", "text", "section", "page", "unit_type")
+    place = F.concat_ws("/", F.col("document_id").cast("string"), F.col("unit_no").cast("string"), F.col("piece_no").cast("string"))
+    out = out.withColumns({"order_index": number, "chunk_id": F.concat(F.lit("chunk_"), F.substring(F.sha2(place, 256), 1, 12))})
+    return out.select("chunk_id", "document_id", "order_index", "text", "page", "section", "paragraph", "unit_type")
 
 
 def doc_units(docs: DataFrame) -> DataFrame:

@@ -16,15 +16,22 @@ def modal_actor(nodes: DataFrame) -> DataFrame:
     return nodes.select("workflow_id").distinct().join(best, "workflow_id", "left").withColumn("actor", F.coalesce("actor", F.lit("Operator")))
 
 
-def summaries(nodes: DataFrame) -> DataFrame:
-    """(workflow_id, summary): "Actor performs: step → step"."""
+def summaries(nodes: DataFrame, titles: DataFrame) -> DataFrame:
+    """(workflow_id, summary) of all workflows in ``titles`` (workflow_id, title_hint): "Title: Actor performs: step → step".
+
+    Without a title the part before the actor is missing; without nodes it reads "Workflow: Title".
+    """
     steps = nodes.groupBy("workflow_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "node_id", "label"))), lambda s: s["label"]), " → ").alias("steps"))
-    return steps.join(modal_actor(nodes), "workflow_id").select("workflow_id", F.concat("actor", F.lit(" performs: "), "steps").alias("summary"))
+    told = steps.join(modal_actor(nodes), "workflow_id").select("workflow_id", F.concat("actor", F.lit(" performs: "), "steps").alias("told"))
+    title = F.when(F.col("title_hint") != "", F.col("title_hint"))
+    both = titles.select("workflow_id", title.alias("title")).join(told, "workflow_id", "left")
+    text = F.coalesce(F.concat("title", F.lit(": "), "told"), F.col("told"), F.concat(F.lit("Workflow: "), F.coalesce("title", F.lit("Untitled workflow"))))
+    return both.select("workflow_id", text.alias("summary"))
 
 
 def sane_nodes(nodes: DataFrame) -> DataFrame:
     """Nodes that name a step, numbered anew."""
-    kept = nodes.where(~F.coalesce(X.is_spurious_node(F.col("action"), F.col("object"), F.lit(None).cast("string")), F.lit(True)))
+    kept = nodes.where(~F.coalesce(X.is_spurious_node(F.col("action"), F.col("object"), F.col("sentence")), F.lit(True)))
     order = Window.partitionBy("workflow_id").orderBy("ord", "node_id")
     return kept.withColumn("position", F.row_number().over(order) - 1)
 

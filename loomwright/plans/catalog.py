@@ -11,7 +11,7 @@ from loomwright.functions import rules as R
 from loomwright.functions import text as X
 from loomwright.functions import vectors as V
 from loomwright.operators import actions as A
-from loomwright.operators import coref, graphs, markers, retrieval, segment, similarity, units, workflows
+from loomwright.operators import build, coref, graphs, markers, retrieval, segment, similarity, units, workflows
 from loomwright.session import table
 from loomwright.streaming.ingest import event_windows
 
@@ -50,9 +50,9 @@ def _heading(x: str) -> str:
 
 
 def _noise(x: str) -> str:
-    return rf"""(length({x}) < 2 or regexp_matches({x}, '^\d+\.\s*$') or (regexp_matches({x}, '{R.ALLCAPS}') and length({x}) > 20)
+    return rf"""(length({x}) < 2 or regexp_matches({x}, '{R.BARE_NUMBER}') or (regexp_matches({x}, '{R.ALLCAPS}') and length({x}) > 20)
       or (contains({x}, '—') and not regexp_matches({x}, '{R.CLS_NUMBERED}') and length({x}) > 40)
-      or regexp_matches(lower({x}), '^this section describes') or regexp_matches(lower({x}), '^#*\s*(sample|synthetic|example)\b')
+      or regexp_matches(lower({x}), '{R.NOISE_LOWER}')
       or (contains(lower({x}), 'regression tests') and length({x}) < 120))"""
 
 
@@ -83,10 +83,12 @@ def _descriptive(x: str) -> str:
     return f"({_strip(f'''coalesce({x}, '')''')} = '' or regexp_matches({x}, '{R.LIGHT_DESC}'))"
 
 
-SPURIOUS = rf"""coalesce(regexp_matches(lower(label), '^perform\s+\d+\.?$') or regexp_matches(label, '^\d+\.?$') or {_descriptive('label')}
-  or (regexp_matches(label, '{R.ALLCAPS}') and length(label) > 20)
-  or (lower(trim(coalesce(action, ''))) = 'perform' and (regexp_matches(lower(trim(coalesce(object, ''))), '^\d+\.?$') or contains(lower(trim(coalesce(object, ''))), 'testing passes')))
-  or lower(trim(coalesce(action, ''))) = 'aircraft' or (lower(trim(coalesce(action, ''))) = 'complete' and contains(lower(trim(coalesce(object, ''))), 'procedure below')), true)"""
+WNODES = r"""step_rows as (select *, trim(concat_ws(' ', action, nullif(object, ''))) as label, coalesce(regexp_replace(sentence, '^\s+|\s+$', '', 'g'), '') as said
+  from (select distinct workflow_id, n.node_id as node_id, n.ord as ord, n.action as action, n.object as object, n.actor as actor, n.sentence as sentence from (select workflow_id, unnest(nodes) as n from workflows where workflow_id is not null)) where node_id is not null)"""
+SPURIOUS = rf"""coalesce(regexp_matches(label, '{R.PERFORM_NUMBER}') or regexp_matches(said, '{R.BARE_NUMBER}') or {_descriptive("coalesce(nullif(said, ''), label)")}
+  or (regexp_matches(said, '{R.ALLCAPS}') and length(said) > 20)
+  or (lower(trim(coalesce(action, ''))) = 'perform' and (regexp_matches(trim(coalesce(object, '')), '^\d+$') or lower(trim(coalesce(object, ''))) = 'testing passes'))
+  or lower(trim(coalesce(action, ''))) = 'aircraft' or (lower(trim(coalesce(action, ''))) = 'complete' and contains(lower(label), 'procedure below')), true)"""
 
 
 def _chunks(spark, d) -> DataFrame:
@@ -102,6 +104,10 @@ def _nodes(spark, d) -> DataFrame:
     return graphs.node_rows(table(spark, d, "nodes"))
 
 
+def _steps(spark, d) -> DataFrame:
+    return graphs.workflow_nodes(table(spark, d, "workflows"))
+
+
 def _edges(spark, d) -> DataFrame:
     return graphs.edge_rows(table(spark, d, "workflows"))
 
@@ -116,8 +122,8 @@ LINES = rf"""line_rows as (select doc_id, unit_no, text, case when {_heading('te
 @query(
     rf"""with {LINES} select doc_id, unit_no, text, unit_type,
   last_value(case when unit_type = 'heading' then text end ignore nulls) over w as section,
-  sum(case when unit_type = 'heading' then 0 else 1 end) over w as paragraph,
-  greatest(sum(case when regexp_matches(text, '{R.MAJOR_SECTION}') then 1 else 0 end) over w, 1) as page
+  case when unit_type <> 'heading' then sum(case when unit_type = 'heading' then 0 else 1 end) over w end as paragraph, 1 as page,
+  greatest(sum(case when regexp_matches(text, '{R.MAJOR_SECTION}') then 1 else 0 end) over (partition by doc_id), 1)::int as page_count
   from line_rows window w as (partition by doc_id order by unit_no rows between unbounded preceding and current row)"""
 )
 def unit_scan(spark, d):
@@ -214,10 +220,50 @@ def causative_extract(spark, d):
     return rows.select("chunk_id", "sent_index", "a.action", "a.object", "a.duration")
 
 
-@query()
+def _units_sql() -> str:
+    """The sentences of atomic units with their step numbers, and what each rule finds in them."""
+    clean = r"regexp_replace({}, '^[ \t.,;:]+|[ \t.,;:]+$', '', 'g')"
+    bare = f"regexp_replace(unit, '{R.STEP_NUM}', '')"
+    agent = {k: f"regexp_extract(sentence, '{R.ACTOR}', {k})" for k in (1, 2, 3, 4)}
+    stem = f"lower(case when {agent[2]} <> '' then {agent[3]} else regexp_replace({agent[3]}, '([^s])s$', '\\1') end)"
+    item = r"lower(regexp_replace(sentence, '^[ .,;:]+|[ .,;:]+$', '', 'g'))"
+    return rf"""line_parts as (select c.*, case when len(string_split_regex(l.l, '{R.LIST_SEP}')) > 3
+      then list_filter(list_transform(string_split_regex(l.l, '{R.LIST_SEP}'), lambda s: {clean.format('s')}), lambda s: s <> '') else [l.l] end as p, l.i as line_no
+    from chunk_rows c, lateral (select unnest(x) as l, generate_subscripts(x, 1) as i from (select list_filter(list_transform(string_split_regex(c.text, '[\r\n]+'), lambda s: {_strip('s')}), lambda s: s <> '') as x)) l
+    where unit_type <> 'heading' and not {_noise('text')}),
+  unit_lists as (select chunk_id, flatten(list(p order by line_no)) as units from line_parts group by chunk_id),
+  unit_rows as (select chunk_id, len(units) as unit_count, unnest(units) as unit, generate_subscripts(units, 1) - 1 as unit_index from unit_lists),
+  unit_sents as (select u.chunk_id, unit_index, coalesce(try_cast(regexp_extract(unit, '{R.STEP_NUM}', 1) as int), case when unit_count > 1 then unit_index + 1 end) as step_number, s.i as sent_index,
+      case when s.i = 0 and regexp_extract(unit, '{R.STEP_NUM}', 0) <> '' then {_strip(f"regexp_extract(unit, '{R.STEP_NUM}', 0)")} || ' ' || s.s else s.s end as sentence
+    from unit_rows u, lateral (select unnest(x) as s, generate_subscripts(x, 1) - 1 as i from (select list_filter(list_transform(string_split(
+      regexp_replace(regexp_replace({bare}, '([.!?])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)), lambda p: {_strip('p')}), lambda p: p <> '') as x)) s where not {_noise('unit')}),
+  kinds as (select *, {_kind('sentence')} as kind, {_BARE} as x from unit_sents where not {_noise('sentence')}),
+  firsts as (select *, regexp_extract(x, '^(\S+)', 1) as first, {_strip(r"regexp_replace(x, '^\S+\s*', '', 'g')")} as rest from kinds),
+  rules as (select *, lower(regexp_extract(sentence, '{R.CAUSATIVE}', 3)) as c_action, regexp_extract(sentence, '{R.CAUSATIVE}', 2) as c_object,
+      {agent[1]} <> '' and {stem} not in {_listed(R.STOP_VERBS)} as g_found, lower({agent[1]}) as g_actor, {stem} as g_action, nullif(regexp_replace({_strip(agent[4])}, '[.!?;:]+$', '', 'g'), '') as g_object,
+      regexp_matches(first, '^[A-Za-z]+$') and lower(first) not in {_listed(R.STOP_VERBS)} as word, x <> '' and len(string_split_regex(x, '\s+')) <= 6 as few, {item} as item from firsts),
+  found as (select chunk_id, unit_index, sent_index, kind, step_number, sentence,
+      case when kind <> 'INSTRUCTION' then null when c_action <> '' then 'causative' when g_found then 'agent' when word or few then 'imperative' when item <> '' and length(item) <= 80 and len(string_split_regex(item, '\s+')) <= 6 then 'list_item' end as extraction,
+      case when g_found and c_action = '' and kind = 'INSTRUCTION' then g_actor end as actor,
+      case when kind <> 'INSTRUCTION' then null when c_action <> '' then c_action when g_found then g_action when word then lower(first) when few then 'perform' when item <> '' and length(item) <= 80 and len(string_split_regex(item, '\s+')) <= 6 then item end as action,
+      case when kind <> 'INSTRUCTION' then null when c_action <> '' then c_object when g_found then g_object when word then nullif(rest, '') when few then x end as object from rules),
+  named as (select *, regexp_replace(concat_ws(' ', action, nullif(object, '')), '^ +| +$', '', 'g') as label, lower(trim(coalesce(object, ''))) as o from found)"""
+
+
+_DOUBTFUL = rf"""({_kind('sentence')} = 'DESCRIPTION' or regexp_matches(sentence, '{R.BARE_NUMBER}') or (lower(action) = 'perform' and (regexp_matches(o, '^\d+$') or o = 'testing passes')) or regexp_matches(sentence, '{R.ASKS}')
+  or (regexp_matches(sentence, '{R.ALLCAPS}') and length(sentence) > 20) or starts_with(lower(sentence), 'the procedure below') or (o in {_listed(R.NOISE_OBJECTS)} and regexp_matches(sentence, '{R.LEADS}'))
+  or contains(lower(label), 'process for') or lower(action) in ('follow', 'follows', 'differ')
+  or (lower(action) = 'apply' and (starts_with(lower(sentence), 'this procedure applies') or contains(lower(sentence), 'hairline cracks found') or contains(lower(label), 'during borescope inspection') or contains(lower(sentence), 'differs from')))
+  or lower(coalesce(actor, '')) in ('this procedure', 'this section', 'this document') or (length(label) > 80 and step_number is null))"""
+
+
+@query(
+    f"""with {CHUNKS}, {_units_sql()} select chunk_id, unit_index, sent_index, kind, actor, action, object, label, step_number, extraction from named
+  where kind <> 'INSTRUCTION' or (action is not null and not coalesce({_DOUBTFUL}, false))"""
+)
 def action_extraction(spark, d):
     rows = A.extract(_chunks(spark, d))
-    return rows.select("chunk_id", "unit_index", "sent_index", "kind", "action", "object", "label", "step_number")
+    return rows.select("chunk_id", "unit_index", "sent_index", "kind", "actor", "action", "object", "label", "step_number", "extraction")
 
 
 @query(f"with {CHUNKS}, {SENTENCES} select chunk_id, sent_index from sentence_rows where {_descriptive('sentence')}")
@@ -225,16 +271,15 @@ def description_filter(spark, d):
     return _sentences(spark, d).where(X.looks_descriptive(F.col("sentence"))).select("chunk_id", "sent_index")
 
 
-@query(f"with {NODES} select workflow_id, node_id, {SPURIOUS} as spurious from node_rows")
+@query(f"with {WNODES} select workflow_id, node_id, {SPURIOUS} as spurious from step_rows")
 def spurious_filter(spark, d):
-    s = F.coalesce(X.is_spurious_node(F.col("action"), F.col("object"), F.lit(None).cast("string")), F.lit(True))
-    return _nodes(spark, d).select("workflow_id", "node_id", s.alias("spurious"))
+    s = F.coalesce(X.is_spurious_node(F.col("action"), F.col("object"), F.col("sentence")), F.lit(True))
+    return _steps(spark, d).select("workflow_id", "node_id", s.alias("spurious"))
 
 
 @query()
 def coreference(spark, d):
-    rows = _chunks(spark, d).where(F.col("unit_type") == "paragraph")
-    return rows.select("chunk_id", coref.resolve(F.col("text")).alias("resolved"))
+    return coref.resolve_chunks(_chunks(spark, d)).select("chunk_id", "resolved")
 
 
 # --- discourse markers --------------------------------------------------------------
@@ -260,14 +305,24 @@ def marker_comma_edges(spark, d):
     return markers.comma_edges(_sentences(spark, d)).select("chunk_id", "sent_index", "marker", "relation", "source", "target")
 
 
-@query(_edge_sql(markers.INFIX, (1, 2, 3), f"not regexp_matches(sentence, '{markers.COMMA}')"))
+_MARKS = "(values " + ",".join(f"({k}, '{m}', '{r}', '{m.replace(' ', r'\\s+')}')" for k, (m, r) in enumerate(R.all_markers())) + ") as m(place, marker, relation, p)"
+
+
+@query(
+    rf"""with {CHUNKS}, {SENTENCES}, cut as (select chunk_id, sent_index, string_split_regex(sentence, '[.。;]') as l from sentence_rows where not regexp_matches(sentence, '{markers.COMMA}')),
+  parts as (select chunk_id, sent_index, unnest(l) as c, generate_subscripts(l, 1) - 1 as clause from cut),
+  met as (select chunk_id, sent_index, clause, place, marker, relation, {_phrase(r"regexp_extract(c, '(?is)^(.*?)\b' || p || '\b(.*)$', 1)")} as l, {_phrase(r"regexp_extract(c, '(?is)^(.*?)\b' || p || '\b(.*)$', 2)")} as r
+    from parts, {_MARKS} where regexp_matches(c, '(?is)^(.*?)\b' || p || '\b(.*)$')),
+  made as (select *, case when relation = 'BEFORE' then r else l end as source, case when relation = 'BEFORE' then l else r end as target from met where l <> '' and r <> '' and lower(l) <> lower(r))
+  select chunk_id, sent_index, clause, marker, relation, source, target from (select *, row_number() over (partition by chunk_id, sent_index, clause order by place) as n from made) where n = 1"""
+)
 def marker_infix_edges(spark, d):
-    return markers.infix_edges(_sentences(spark, d)).select("chunk_id", "sent_index", "marker", "relation", "source", "target")
+    return markers.infix_edges(_sentences(spark, d)).select("chunk_id", "sent_index", "clause", "marker", "relation", "source", "target")
 
 
 @query()
 def marker_filled_edges(spark, d):
-    found = A.extract(_chunks(spark, d)).where("kind = 'INSTRUCTION'")
+    found = A.action_rows(A.extract(_chunks(spark, d)))
     return markers.filled_edges(_sentences(spark, d), found).select("chunk_id", "sent_index", "clause", "marker", "relation", "source", "target")
 
 
@@ -305,12 +360,12 @@ DENSITY = rf"""marks as (select chunk_id, count(*) as n from sentence_rows where
 _HIT = "({})".format(" or ".join(f"regexp_matches(text, '{p}')" for p in R.LEXICAL))
 _TITLE = "({})".format(" or ".join(f"regexp_matches(coalesce(section, ''), '{p}')" for p in R.LEXICAL))
 GAPS = rf"""acts as (select c.*, density, try_cast(regexp_extract(text, '{R.STEP_NUM}', 1) as int) as step_number from chunk_rows c join density using (chunk_id, document_id) where unit_type <> 'heading'),
-  ordered as (select *, row_number() over w - 1 as idx, lag(section) over w as s0, lag(page) over w as p0 from acts window w as (partition by document_id order by coalesce(page, 0), order_index, chunk_id)),
-  scored as (select *, idx > 0 and section is distinct from s0 as changed, max((step_number is not null)::int) over (partition by document_id, section) as numbered,
+  ordered as (select *, row_number() over w - 1 as idx, lag(coalesce(section, '')) over w as s0, lag(page) over w as p0 from acts window w as (partition by document_id order by coalesce(page, 0), order_index, chunk_id)),
+  scored as (select *, idx > 0 and coalesce(section, '') <> s0 as changed, max((step_number is not null)::int) over (partition by document_id, section) as numbered,
     avg(density) over (partition by document_id order by idx rows between 5 preceding and 4 following) as mean from ordered),
   parts as (select *, case when idx = 0 then 0.0 when changed then 1.0 when coalesce(abs(page - p0) >= 2, false) then 0.6 else 0.0 end as structural,
-    case when {_HIT} then 1.0 when changed then case when {_TITLE} then 1.0 else 0.35 end else 0.0 end as lexical,
-    case when numbered = 1 then 0.0 else greatest(0.0, least(1.0, 1 - mean)) end as continuity from scored),
+    case when {_HIT} then 1.0 when changed and coalesce(section, '') <> '' then case when {_TITLE} then 1.0 else 0.35 end else 0.0 end as lexical,
+    case when numbered = 1 and coalesce(section, '') <> '' then 0.0 else greatest(0.0, least(1.0, 1 - mean)) end as continuity from scored),
   gaps as (select *, case when idx = 0 then 1.0 else 0.35 * structural + 0.40 * lexical + 0.25 * continuity end as confidence from parts)"""
 
 
@@ -410,22 +465,29 @@ def modal_actor(spark, d):
     return workflows.modal_actor(_nodes(spark, d))
 
 
-@query(f"with {NODES}, {ACTORS} select n.workflow_id, coalesce(max(a.actor), 'Operator') || ' performs: ' || string_agg(label, ' → ' order by ord, node_id) as summary from node_rows n left join actors a using (workflow_id) group by n.workflow_id")
+TITLES = "titles as (select workflow_id, nullif(min(title_hint), '') as title from workflows group by workflow_id)"
+
+
+@query(
+    f"""with {NODES}, {ACTORS}, {TITLES}, told as (select n.workflow_id, coalesce(max(a.actor), 'Operator') || ' performs: ' || string_agg(label, ' → ' order by ord, node_id) as told from node_rows n left join actors a using (workflow_id) group by n.workflow_id)
+  select t.workflow_id, coalesce(title || ': ' || told, told, 'Workflow: ' || coalesce(title, 'Untitled workflow')) as summary from titles t left join told using (workflow_id)"""
+)
 def workflow_summary(spark, d):
-    return workflows.summaries(_nodes(spark, d))
+    titles = table(spark, d, "workflows").groupBy("workflow_id").agg(F.min("title_hint").alias("title_hint"))
+    return workflows.summaries(_nodes(spark, d), titles)
 
 
-@query(f"with {NODES}, sane as (select * from node_rows where not {SPURIOUS}) select workflow_id, node_id, row_number() over (partition by workflow_id order by ord, node_id) - 1 as position from sane")
+@query(f"with {WNODES}, sane as (select * from step_rows where not {SPURIOUS}) select workflow_id, node_id, row_number() over (partition by workflow_id order by ord, node_id) - 1 as position from sane")
 def sanitize_nodes(spark, d):
-    return workflows.sane_nodes(_nodes(spark, d)).select("workflow_id", "node_id", "position")
+    return workflows.sane_nodes(_steps(spark, d)).select("workflow_id", "node_id", "position")
 
 
 @query(
-    f"""with {NODES}, {EDGES}, sane as (select workflow_id, node_id from node_rows where not {SPURIOUS})
+    f"""with {WNODES}, {EDGES}, sane as (select workflow_id, node_id from step_rows where not {SPURIOUS})
   select workflow_id, seq, source, target from edge_rows where (workflow_id, source) in (select (workflow_id, node_id) from sane) and (workflow_id, target) in (select (workflow_id, node_id) from sane)"""
 )
 def sanitize_edges(spark, d):
-    return workflows.sane_edges(_edges(spark, d), workflows.sane_nodes(_nodes(spark, d))).select("workflow_id", "seq", "source", "target")
+    return workflows.sane_edges(_edges(spark, d), workflows.sane_nodes(_steps(spark, d))).select("workflow_id", "seq", "source", "target")
 
 
 @query("select document_id, array_to_string(list_sort(list(distinct p)), ',') as pages from (select document_id, unnest(pages) as p from workflows where document_id is not null) where p is not null group by document_id")
@@ -618,12 +680,12 @@ _REST = f"list_filter({_TOKENS}, lambda t: t not in {_listed(R.QUERY_STOPS)})"
 
 @query(
     rf"""select question_id, regexp_matches(lower(trim(question)), '{R.LOOKUP}') or (contains(lower(trim(question)), 'where is') and contains(lower(trim(question)), 'procedure')) as lookup,
-  case when regexp_matches(question, '{R.DOMAIN_PHRASE}') then lower(regexp_extract(question, '{R.DOMAIN_PHRASE}', 0)) when len({_REST}[1:3]) >= 2 then array_to_string({_REST}[1:3], ' ') end as phrase,
+  case when regexp_matches(question, '{R.DOMAIN_PHRASE}') then array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(question, '{R.DOMAIN_PHRASE}', 0), lambda p: regexp_replace(lower(p), '\s+', ' ', 'g')))), '|') when len({_REST}[1:3]) >= 2 then array_to_string({_REST}[1:3], ' ') else '' end as phrases,
   len(list_filter(list_distinct({_TOKENS}), lambda t: t in {_listed(R.HINTS)})) as hints, array_to_string(list_filter({_TOKENS}, lambda t: t not in {_listed([*R.QUERY_STOPS, "major"])})[1:12], ' ') as keywords from {QUESTIONS}"""
 )
 def question_nodes(spark, d):
     q = retrieval.question_nodes(_questions(spark, d))
-    return q.select("question_id", "lookup", "phrase", F.size("hints").alias("hints"), F.array_join("keywords", " ").alias("keywords"))
+    return q.select("question_id", "lookup", F.array_join(F.array_sort("phrases"), "|").alias("phrases"), F.size("hints").alias("hints"), F.array_join("keywords", " ").alias("keywords"))
 
 
 PROOFS = rf"""proofs as (select workflow_id, sentence, pos from (select workflow_id, sentence, row_number() over (partition by workflow_id order by min(i), sentence) as pos
@@ -645,6 +707,37 @@ def event_counts(spark, d):
     return event_windows(table(spark, d, "events"), "ts")
 
 
+# --- from chunks to workflows -------------------------------------------------------
+
+
+def _build(spark, d) -> build.Build:
+    names = table(spark, d, "docs").select("document_id", "source_name").where("document_id is not null")
+    return build.build_workflows(_chunks(spark, d).where("document_id is not null"), names)
+
+
+@query()
+def workflow_build(spark, d):
+    w = _build(spark, d).workflows
+    counts = [F.size(c).alias(f"{c}_count") for c in ("nodes", "edges", "evidence_sources", "context_notes", "conditional_branches")]
+    return w.select("workflow_id", "document_id", "document", "group_id", "title_hint", "summary", F.array_join(F.transform("pages", lambda p: p.cast("string")), ",").alias("pages"), F.array_join("sections", " | ").alias("sections"), *counts, F.col("metadata")["boundary_confidence"].alias("boundary_confidence"))
+
+
+@query()
+def workflow_build_nodes(spark, d):
+    return _build(spark, d).nodes.select("workflow_id", "node_id", "ord", "actor", "action", "object", "label", "page", "section", "sentence", "action_id")
+
+
+@query()
+def workflow_build_edges(spark, d):
+    return _build(spark, d).edges.select("workflow_id", "source", "target", "relation", "weight", "evidence")
+
+
+@query()
+def discourse_edges(spark, d):
+    chunks = _chunks(spark, d)
+    return markers.discourse_edges(_sentences(spark, d), A.action_rows(A.extract(chunks)))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions answered from the workflow corpus, with proofs."""
     return answer_explain(spark, sf_dir)

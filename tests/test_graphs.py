@@ -58,5 +58,5 @@ def test_weak_boundaries(spark):
 
 def test_small_groups(spark):
     groups = spark.createDataFrame([("d", i, n) for i, n in enumerate((1, 3, 1, 4, 1))], "document_id string, group_no long, actions long")
-    got = [r.merged_no for r in segment.merge_small(groups).orderBy("group_no").collect()]
-    assert got == [0, 0, 0, 1, 1]
+    got = [(r.merged_no, r.host) for r in segment.merge_small(groups).orderBy("group_no").collect()]
+    assert got == [(0, 1), (0, 1), (0, 1), (1, 3), (1, 3)]

@@ -56,13 +56,61 @@ def test_markers(spark):
     assert [(r.relation, r.source, r.target) for r in infix] == [("AFTER", "Grind it", "cooling")]
 
 
-@pytest.mark.parametrize(
-    ("given", "wanted"),
-    [(None, None), ("", ""), ("Clean it.", "Clean it."), ("Remove the cover. Clean it.", "Remove the cover. Clean Clean.")],
-)
-def test_coreference(given, wanted):
-    assert coref.resolve_text(given) == wanted
+COREFERENCE = [
+    (None, None), ("", ""), ("Clean it.", "Clean it."), ("Open the valve. it drains fast.", "Open the valve. the valve drains fast."), ("Remove the cover. Clean it.", "Remove the cover. Clean Clean."),
+    ("The pump is hot. Let it cool. Check its seal.", "The pump is hot. Let Let cool. Check Check's seal."), ("Lift the lid. that and this and it go.", "Lift the lid. the lid and the lid and it go."),
+]
 
 
-def test_coreference_of_sentences_before():
-    assert coref.resolve_text("Remove the cover. Clean it.", previous_only=True) == "Remove the cover. Clean the cover."
+def test_coreference(spark):
+    assert col(spark, [g for g, _ in COREFERENCE], coref.resolve) == [w for _, w in COREFERENCE]
+
+
+def test_coreference_of_sentences_before(spark):
+    assert col(spark, ["Remove the cover. Clean it."], lambda c: coref.resolve(c, previous_only=True)) == ["Remove the cover. Clean the cover."]
+
+
+def test_coreference_of_chunks(spark):
+    rows = spark.createDataFrame([("heading", "Lift the lid. Clean it."), ("paragraph", "Do it."), ("paragraph", "Lift the lid. it is hot.")], "unit_type string, text string")
+    assert [r.resolved for r in coref.resolve_chunks(rows).collect()] == ["Lift the lid. Clean it.", "Do it.", "Lift the lid. the lid is hot."]
+
+
+EXTRACTED = [
+    ("The technician shall drain the upper sensor.", "agent", "technician", "drain", "the upper sensor"),
+    ("2. The operator closes the valve.", "agent", "operator", "close", "the valve"),
+    ("Allow the joint to cool for 10 minutes.", "causative", None, "cool", "joint"),
+    ("After inspection, remove the cover.", "imperative", None, "remove", "the cover"),
+    ("3) Grind the surface.", "imperative", None, "grind", "the surface"),
+    ("12 V test", "imperative", None, "v", "test"),
+]
+
+
+def test_extraction(spark):
+    chunks = spark.createDataFrame([(str(i), "d", i, "step", None, 1, 1, x[0]) for i, x in enumerate(EXTRACTED)], "chunk_id string, document_id string, order_index int, unit_type string, section string, page int, paragraph int, text string")
+    got = {r.chunk_id: r for r in actions.extract(chunks).collect()}
+    for i, (_, rule, actor, action, obj) in enumerate(EXTRACTED):
+        r = got[str(i)]
+        assert (r.extraction, r.actor, r.action, r.object) == (rule, actor, action, obj)
+    assert got["2"].duration == "10 minutes" and got["4"].step_number == 3 and got["4"].sentence == "3) Grind the surface."
+
+
+SPURIOUS = [
+    ("perform", "7", None, "7", None), ("weld", "x", None, "Where is the weld?", None), ("follow", "steps", None, "Follow the steps.", 1), ("do", "inspection", None, "After that do inspection", 1),
+    ("use", "the process for welding", None, "Use the process for welding.", 1), ("go", "x" * 90, None, "Go " + "x" * 90, None), ("apply", "glue", None, "Glue differs from tape, apply it.", 1), ("do", "it", "This Section", "Do it.", 1),
+]
+
+
+def test_spurious_actions(spark):
+    rows = spark.createDataFrame([*SPURIOUS, ("grind", "the edge", None, "Grind the edge.", None), ("go", "x" * 90, None, "Go " + "x" * 90, 4)], "a string, o string, w string, s string, n int")
+    flags = [r[0] for r in rows.select(X.is_spurious_action(*[F.col(c) for c in "aowsn"])).collect()]
+    assert flags == [True] * len(SPURIOUS) + [False, False]
+
+
+def test_spurious_nodes_by_sentence(spark):
+    rows = spark.createDataFrame([("weld", "x", "6."), ("weld", "x", "THIS IS A LONG TITLE (PART 2)"), ("weld", "x", "This procedure tells all."), ("weld", "x", "Weld x."), ("perform", "12", None), ("weld", "x", None)], "a string, o string, s string")
+    assert [r[0] for r in rows.select(X.is_spurious_node(F.col("a"), F.col("o"), F.col("s"))).collect()] == [True, True, True, False, True, False]
+
+
+def test_all_domain_phrases(spark):
+    got = col(spark, ["Where are the weld repair and the  Field  Repair, the weld repair?", "How do I torque bolts", "Bolts?"], X.query_phrases)
+    assert got == [["weld repair", "field repair"], ["i torque bolts"], []]

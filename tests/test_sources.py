@@ -13,7 +13,7 @@ from loomwright.streaming.ingest import ingest, text_stream
 def test_text_and_router(spark, tmp_path):
     (tmp_path / "a.txt").write_text("4.1 Weld Repair\n1. Grind it\n\n2. Clean it\n")
     rows = files.read_any(spark, str(tmp_path / "a.txt")).orderBy("unit_no").collect()
-    assert [(r.unit_type, r.section, r.paragraph) for r in rows] == [("heading", "4.1 Weld Repair", 0), ("step", "4.1 Weld Repair", 1), ("step", "4.1 Weld Repair", 2)]
+    assert [(r.unit_type, r.section, r.paragraph) for r in rows] == [("heading", "4.1 Weld Repair", None), ("step", "4.1 Weld Repair", 1), ("step", "4.1 Weld Repair", 2)]
     with pytest.raises(FileNotFoundError):
         files.read_any(spark, str(tmp_path / "no.txt"))
     (tmp_path / "a.xls").write_text("")

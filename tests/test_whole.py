@@ -6,7 +6,6 @@ import numpy as np
 import pytest
 
 from loomwright import config
-from loomwright.llm import consensus
 from loomwright.operators import markers, retrieval, similarity, workflows
 from loomwright.plans import catalog
 
@@ -89,23 +88,13 @@ def test_query_weights_are_read(spark):
     assert [r.confidence for r in retrieval.answers(q, hits, w, settings).collect()] == [0]
 
 
-@pytest.mark.parametrize("part", [1, 256])
-def test_part_of_a_spoilt_value_does_not_survive_in_large_groups(spark, monkeypatch, part):
-    monkeypatch.setattr(consensus, "PART", part)
-    kind = "record_id bigint, workflow_id string, trust int, recorded_at timestamp_ntz, pages array<int>, sections array<string>"
-    rows = [(1, "w", 1, None, [1, 2, 0], ["A", "tbd"]), (2, "w", 1, None, [7], ["B"])]
-    df = spark.createDataFrame(rows, kind).unionByName(spark.sql("select 3L as record_id, 'w' as workflow_id, 1 as trust, timestamp_ntz'2031-01-01' as recorded_at, array(1, 2) as pages, array('A') as sections"))
-    got = {r.field: r.record_id for r in consensus.survivors(df, fields=("pages", "sections")).collect()}
-    assert got == {"pages": 2, "sections": 2}
-
-
 def test_missing_sides_are_filled(spark):
     said = ["Then install the valve.", "Clean the seat then close it; open the cover before draining.", "Then", "Torque the bolt, then", "Then wipe, dry it"]
     sentences = spark.createDataFrame([("c" if i else "d", i, s) for i, s in enumerate(said)], "chunk_id string, sent_index int, sentence string")
-    actions = spark.createDataFrame([("c", 0, 0, "lift lid"), ("c", 1, 0, "seal lid")], "chunk_id string, unit_index int, sent_index int, label string")
+    actions = spark.createDataFrame([("c", 0, "lift lid"), ("c", 1, "seal lid")], "chunk_id string, ord bigint, label string")
     got = {(r.sent_index, r.clause): (r.source, r.target) for r in markers.filled_edges(sentences, actions).collect()}
     # The fill of the first gives equal sides, which is no edge; the last has the comma form.
     assert got == {(1, 0): ("Clean the seat", "close it"), (1, 1): ("draining", "open the cover"), (2, 0): ("lift lid", "seal lid"), (3, 0): ("Torque the bolt", "seal lid")}
-    more = spark.createDataFrame([("d", 0, 0, "lift lid")], "chunk_id string, unit_index int, sent_index int, label string")
+    more = spark.createDataFrame([("d", 0, "lift lid")], "chunk_id string, ord bigint, label string")
     first = markers.filled_edges(sentences.where("sent_index = 0"), more).collect()
     assert [(r.source, r.target) for r in first] == [("lift lid", "install the valve")]
