@@ -49,3 +49,42 @@ def test_search(spark):
 def test_few(spark, n):
     df = spark.createDataFrame([(i, [float(i + 1)] + [1.0] * 63) for i in range(n)], "vector_id long, embedding array<float>")
     assert vectors.nearest_vectors(df).count() == n * (n - 1)
+
+
+def test_alone_in_their_cells(spark, monkeypatch):
+    """Vectors whose cells hold no others still get their five, and the right ones."""
+    monkeypatch.setattr(vectors, "CELL", 10)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([np.repeat(rng.normal(size=(6, 64)), 30, axis=0) + rng.normal(size=(180, 64)) * 0.01, rng.normal(size=(8, 64)) * 9])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vector_id long, embedding array<float>")
+    got = {}
+    for r in vectors.nearest_vectors(rows).collect():
+        got.setdefault(r.vector_id, set()).add(r.near_id)
+    u = x.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    assert len(got) == 188 and all(len(v) == 5 for v in got.values())
+    alone = [i for i in range(180, 188) if got[i] == set(np.argsort(-s[i])[:5].tolist())]
+    assert len(alone) >= 4
+
+
+@pytest.mark.parametrize("flat", [10**6, 4])
+def test_cells_of_many_vectors(monkeypatch, flat):
+    """Recall of the cells, as a flat list and as a list of lists, against brute force."""
+    monkeypatch.setattr(vectors, "FLAT", flat)
+    monkeypatch.setattr(vectors, "CELL", 100)
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.normal(size=(2_000, 64)), 6, axis=0) + rng.normal(size=(12_000, 64)) * 0.25
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    cells = vectors.Cells(x[::3], len(x))
+    assert (cells.heads is None) == (flat > 1000) and len(cells.centres) > 60 and abs(cells.share.sum() - 1) < 1e-6
+    near = cells.nearest(x, vectors.PROBES)
+    assert all(len(set(r)) == vectors.PROBES for r in near[:500].tolist())
+    asked = np.arange(0, len(x), 20)
+    s = x[asked] @ x.T
+    s[np.arange(len(asked)), asked] = -9
+    true = np.argsort(-s, axis=1)[:, :5]
+    held = [set(r) for r in near.tolist()]
+    hits = sum(bool(held[i] & held[j]) for i, js in zip(asked, true) for j in js)
+    assert hits >= 0.9 * true.size
