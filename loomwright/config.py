@@ -14,6 +14,14 @@ class Segmentation:
     threshold: float = R.SEGMENT_THRESHOLD
     weak: float = R.WEAK
     weak_gap: int = R.WEAK_GAP
+    least_actions: int = 2
+
+
+@dataclass(frozen=True)
+class Graph:
+    document_order: bool = True
+    numbered_steps: bool = True
+    discourse: bool = True
 
 
 @dataclass(frozen=True)
@@ -36,6 +44,7 @@ class Retrieval:
 @dataclass(frozen=True)
 class Settings:
     segmentation: Segmentation = field(default_factory=Segmentation)
+    graph: Graph = field(default_factory=Graph)
     similarity: Similarity = field(default_factory=Similarity)
     retrieval: Retrieval = field(default_factory=Retrieval)
     duplicate_cosine: float = 0.9

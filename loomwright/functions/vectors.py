@@ -29,6 +29,12 @@ def buckets(text: Column, dim: int = R.EMBED_DIM) -> Column:
     return F.transform(X.tokens(text), lambda t: (F.conv(F.substring(F.md5(t), 1, 7), 16, 10).cast("bigint") % dim).cast("int"))
 
 
+def dense_buckets(held: Column, dim: int = R.EMBED_DIM) -> Column:
+    """The embedding of a text's buckets as an array of length 1; all zero without words."""
+    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda b: F.size(F.filter(held, lambda x: x == b)).cast("double"))
+    return F.transform(F.array(F.struct(counts.alias("c"), norm(counts).alias("n"))), lambda s: F.transform(s["c"], lambda x: F.when(s["n"] > 0, x / s["n"]).otherwise(0.0)))[0]
+
+
 def bucket_cosine(a: Column, b: Column) -> Column:
     """Cosine of two texts' embeddings, from their buckets; 0 if either has no words."""
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwright import config
 from loomwright.functions import text as X
 from loomwright.operators import actions as A
 from loomwright.operators import graphs, markers, segment, workflows
@@ -31,19 +33,19 @@ def _id(prefix: str, *parts: str):
     return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("/", *[F.col(p).cast("string") for p in parts]), 256), 1, 12))
 
 
-def group_actions(actions: DataFrame, discourse: DataFrame) -> tuple[DataFrame, DataFrame]:
+def group_actions(actions: DataFrame, discourse: DataFrame, settings: config.Segmentation = config.Segmentation()) -> tuple[DataFrame, DataFrame]:
     """Actions with group_id and workflow_id; groups with title, pages and boundary confidence."""
     most = discourse.groupBy("document_id", "chunk_id").agg(F.count("*").alias("n"))
     top = most.groupBy("document_id").agg(F.max("n").alias("most"))
     dense = most.join(top, "document_id").select("document_id", "chunk_id", (F.col("n") / F.col("most")).alias("density"))
     rows = actions.join(dense, ["document_id", "chunk_id"], "left").withColumn("density", F.coalesce("density", F.lit(0.0)))
-    gaps = segment.gap_scores(rows.withColumn("order_index", F.col("ord")), last="action_id")
+    gaps = segment.gap_scores(rows.withColumn("order_index", F.col("ord")), last="action_id", settings=settings)
     gaps = written(gaps.drop("order_index"))
-    kept = segment.drop_weak(gaps).select("document_id", "idx", F.lit(True).alias("kept"))
+    kept = segment.drop_weak(gaps, settings=settings).select("document_id", "idx", F.lit(True).alias("kept"))
     marked = gaps.join(kept, ["document_id", "idx"], "left").withColumn("is_boundary", F.coalesce("kept", F.lit(False)))
     assigned = segment.assign_groups(marked)
     named = segment.group_rows(assigned)
-    merged = segment.merge_small(named)
+    merged = segment.merge_small(named, least=settings.least_actions)
     assigned = assigned.join(merged, ["document_id", "group_no"])
     own = assigned.groupBy("document_id", "merged_no", "host").agg(F.array_sort(F.collect_set("page")).alias("pages"), F.count("*").alias("actions"))
     host = named.select("document_id", F.col("group_no").alias("host"), "title_hint", "boundary_confidence")
@@ -94,7 +96,7 @@ def discourse_graph_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return ends.where("source is not null and target is not null and source <> target")
 
 
-def build_workflows(chunks: DataFrame, names: DataFrame | None = None) -> Build:
+def build_workflows(chunks: DataFrame, names: DataFrame | None = None, settings: config.Settings = config.Settings()) -> Build:
     """Workflows of chunk rows (as of ``units.chunk_rows``); ``names`` has document_id and source_name.
 
     One workflow a group of actions; its nodes, edges of document order, numbered
@@ -107,16 +109,18 @@ def build_workflows(chunks: DataFrame, names: DataFrame | None = None) -> Build:
     actions = written(A.action_rows(extracted))
     said = chunks.select("chunk_id", "document_id", "page", "section", F.posexplode(X.sentences(F.col("text"))).alias("sent_index", "sentence"))
     discourse = written(markers.discourse_edges(said, actions))
-    grouped, groups = group_actions(actions, discourse)
+    grouped, groups = group_actions(actions, discourse, settings.segmentation)
     grouped, groups = written(grouped), written(groups)
 
     nodes = written(node_table(grouped))
     order = graphs.document_edges(nodes).select("workflow_id", "source", "target", F.lit("NEXT").alias("relation"), F.lit(0.5).alias("weight"), F.lit("document_order").alias("evidence"), F.struct(F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("at")).alias("seq"))
     numbered = numbered_edges(nodes)
-    edges = order.unionByName(numbered).unionByName(discourse_graph_edges(group_edges(discourse, grouped), nodes))
+    g = settings.graph
+    sources = [(g.document_order, order), (g.numbered_steps, numbered), (g.discourse, discourse_graph_edges(group_edges(discourse, grouped), nodes))]
+    edges = reduce(DataFrame.unionByName, [e for on, e in sources if on], order.limit(0))
     edges = written(graphs.dedupe_edges(edges))
 
-    places = graphs.topological_order(nodes, numbered, "p", "q", "at")
+    places = graphs.topological_order(nodes, numbered if g.numbered_steps else numbered.limit(0), "p", "q", "at")
     nodes = nodes.drop("ord").join(places, ["workflow_id", "node_id"]).withColumnRenamed("position", "ord")
 
     host = grouped.where("group_no = host").select("workflow_id", "document_id", "chunk_id").distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwright.functions import rules as R
@@ -166,6 +166,23 @@ def topological_order(nodes: DataFrame, edges: DataFrame, *keys: str) -> DataFra
     return both.mapInArrow(lambda batches: map(walk, batches), "workflow_id string, node_id string, position int")
 
 
+def to_html(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(workflow_id, html): each graph as a page of its own, steps in order with the edges that leave them; no script, nothing to load."""
+
+    def safe(c: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "&", "&amp;"), "<", "&lt;"), ">", "&gt;")
+
+    named = nodes.select("workflow_id", "node_id", "ord", "label", "page")
+    to = named.select("workflow_id", F.col("node_id").alias("target"), F.col("label").alias("to"))
+    out = edges.join(to, ["workflow_id", "target"]).select("workflow_id", F.col("source").alias("node_id"), F.struct("seq", F.concat(F.lit("<li>"), safe(F.col("relation")), F.lit(": "), safe(F.col("to")), F.lit("</li>")).alias("line")).alias("x"))
+    links = out.groupBy("workflow_id", "node_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "").alias("links"))
+    title = F.concat(F.lit('page='), F.coalesce(F.col("page").cast("string"), F.lit("n/a")), F.lit(" order="), F.col("ord").cast("string"))
+    item = F.concat(F.lit('<li id="'), safe(F.col("node_id")), F.lit('" title="'), title, F.lit('">'), safe(F.col("label")), F.coalesce(F.concat(F.lit("<ul>"), "links", F.lit("</ul>")), F.lit("")), F.lit("</li>"))
+    rows = named.join(links, ["workflow_id", "node_id"], "left").select("workflow_id", F.struct("ord", "node_id", item.alias("line")).alias("x"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n")
+    return rows.groupBy("workflow_id").agg(F.concat(F.lit("<!doctype html><meta charset=utf-8><ol>\n"), body, F.lit("\n</ol>")).alias("html"))
+
+
 def to_dot(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(workflow_id, dot): each graph as a text for a drawing program."""
     quoted = F.concat(F.lit('  "'), F.col("node_id"), F.lit('" [label="'), F.regexp_replace("label", '"', "'"), F.lit('"];'))

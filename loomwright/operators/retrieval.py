@@ -104,6 +104,21 @@ def lookup_adjustment(question: Column, title: Column, steps: Column) -> Column:
     return F.when(X.is_lookup(question) & q.rlike("weld|repair"), field + mount + length).otherwise(0.0)
 
 
+def title_overlap(question: Column, haystack: Column) -> Column:
+    """The larger of the share of the question's words that a text has, and of its phrases' score: 1 as it stands, 0.75 with all its words."""
+    asked, held = F.array_distinct(X.tokens(question)), X.tokens(haystack)
+    share = F.size(F.array_intersect(asked, held)) / F.size(asked)
+    low = F.lower(haystack)
+    phrases = F.transform(X.query_phrases(question), lambda p: F.when(F.instr(low, p) > 0, 1.0).when(F.size(F.array_except(F.split(p, " "), held)) == 0, 0.75).otherwise(0.0))
+    best = F.greatest(share, F.coalesce(F.array_max(phrases), F.lit(0.0)))
+    return F.when((F.size(asked) == 0) | (F.size(held) == 0), 0.0).otherwise(best)
+
+
+def lookup_boost(question: Column, title: Column, steps: Column) -> Column:
+    """The adjustment of lookups, between 0 and 1."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), lookup_adjustment(question, title, steps)))
+
+
 def label_overlap(left: list[str], right: list[str], a: np.ndarray, b: np.ndarray, threshold: float) -> float:
     """Set overlap of two label lists with embeddings a and b: Jaccard of their common clusters, blended with the share of left labels that are near a right one."""
     if not left or not right:

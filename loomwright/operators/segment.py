@@ -8,10 +8,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwright import config
 from loomwright.functions import rules as R
 
 
-def gap_scores(actions: DataFrame, id_col: str = "document_id", last: str = "chunk_id") -> DataFrame:
+def gap_scores(actions: DataFrame, id_col: str = "document_id", last: str = "chunk_id", settings: config.Segmentation = config.Segmentation()) -> DataFrame:
     """Adds idx, structural, lexical, continuity, confidence, is_boundary to actions (id, order_index, section, page, sentence, step_number, density).
 
     Structural: 1 where the section changes, 0.6 at a jump of two pages. Lexical: 1
@@ -30,7 +31,7 @@ def gap_scores(actions: DataFrame, id_col: str = "document_id", last: str = "chu
     near = Window.partitionBy(id_col).orderBy("idx").rowsBetween(-5, 4)
     numbered = F.max(F.col("step_number").isNotNull().cast("int")).over(Window.partitionBy(id_col, "section"))
     mean = F.avg("density").over(near)
-    a, b, c = R.SEGMENT_WEIGHTS
+    a, b, c = settings.weights
     x = x.withColumns(
         {
             "structural": F.when(first, 0.0).when(changed, 1.0).when(jump, 0.6).otherwise(0.0),
@@ -39,7 +40,7 @@ def gap_scores(actions: DataFrame, id_col: str = "document_id", last: str = "chu
         }
     )
     x = x.withColumn("confidence", F.when(first, 1.0).otherwise(a * F.col("structural") + b * F.col("lexical") + c * F.col("continuity")))
-    return x.withColumn("is_boundary", ~first & (F.col("confidence") >= R.SEGMENT_THRESHOLD)).drop("s0", "p0")
+    return x.withColumn("is_boundary", ~first & (F.col("confidence") >= settings.threshold)).drop("s0", "p0")
 
 
 def _title():
@@ -73,15 +74,15 @@ def _per_document(rows: DataFrame, id_col: str, fold: Callable[[list[dict]], Ite
     return lists.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, {columns}")
 
 
-def drop_weak(gaps: DataFrame, id_col: str = "document_id") -> DataFrame:
+def drop_weak(gaps: DataFrame, id_col: str = "document_id", settings: config.Segmentation = config.Segmentation()) -> DataFrame:
     """(id, idx, confidence) of the boundaries kept: of two weak ones close together the stronger, none that is weak close behind a kept one."""
 
     def fold(marks):
         held = None
         for m in marks:
             i, c = m["idx"], m["confidence"]
-            if held and i - held[0] <= R.WEAK_GAP and c <= R.WEAK:
-                if held[1] <= R.WEAK and c > held[1]:
+            if held and i - held[0] <= settings.weak_gap and c <= settings.weak:
+                if held[1] <= settings.weak and c > held[1]:
                     held = (i, c)
                 continue
             if held:

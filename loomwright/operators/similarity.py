@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwright import config
 from loomwright.functions import rules as R
 from loomwright.session import cut
 
@@ -167,9 +168,10 @@ def structural(pairs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFram
     return both.mapInPandas(run, "left_id string, right_id string, structural double")
 
 
-def blend_pairs(scores: DataFrame) -> DataFrame:
-    """Adds blended: 0.4 set overlap, 0.4 sequence alignment, 0.2 structure, at four places."""
-    return scores.withColumn("blended", F.round(0.4 * F.col("set_overlap") + 0.4 * F.col("sequence_alignment") + 0.2 * F.col("structural"), 4))
+def blend_pairs(scores: DataFrame, settings: config.Similarity = config.Similarity()) -> DataFrame:
+    """Adds blended: set overlap, sequence alignment and structure by ``pair_weights`` (0.4, 0.4, 0.2), at four places."""
+    a, b, c = settings.pair_weights
+    return scores.withColumn("blended", F.round(a * F.col("set_overlap") + b * F.col("sequence_alignment") + c * F.col("structural"), 4))
 
 
 def similar_pairs(vectors: DataFrame, least: float, block: int = BLOCK) -> DataFrame:

@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomwright import config
 from loomwright.functions import rules as R
 from loomwright.functions import text as X
 from loomwright.functions import vectors as V
 from loomwright.operators import actions as A
-from loomwright.operators import build, coref, graphs, markers, retrieval, segment, similarity, units, workflows
-from loomwright.session import table
+from loomwright.operators import build, coref, dedup, graphs, markers, retrieval, segment, similarity, units, workflows
+from loomwright.session import table, written
 from loomwright.streaming.ingest import event_windows
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -450,6 +451,11 @@ def stable_toposort(spark, d):
     return graphs.topological_order(_nodes(spark, d), _edges(spark, d))
 
 
+@query()
+def graph_html(spark, d):
+    return graphs.to_html(_nodes(spark, d), _edges(spark, d))
+
+
 @query()
 def graph_dot(spark, d):
     return graphs.to_dot(_nodes(spark, d), _edges(spark, d))
@@ -617,20 +623,61 @@ def leader_dedup(spark, d):
     return similarity.leader_dedup(table(spark, d, "embeddings").select(F.col("vec_id").alias("id")), near_duplicates(spark, d))
 
 
+#: Hashed words are less alike than a model's vectors, so duplicates are looked for from 0.8 on here.
+LOOSE = config.Settings(duplicate_cosine=0.8)
+_TEXTS = """texts as (select workflow_id, min(case when trim(coalesce(summary, '')) = '' then workflow_id else summary end) as text from workflows where workflow_id is not null group by workflow_id)"""
+
+
+@query(
+    rf"""with {_TEXTS}, e as {_embed_sql('texts', 'workflow_id', 'text')}, d as (select a.workflow_id as workflow_id, b.workflow_id as duplicate_of, round(sum(a.weight * b.weight), 4) as cosine
+    from e a join e b on a.bucket = b.bucket and a.workflow_id <> b.workflow_id group by 1, 2 having sum(a.weight * b.weight) >= 0.8)
+  select workflow_id, duplicate_of, cosine from (select *, row_number() over (partition by workflow_id order by cosine desc, duplicate_of) as r from d) where r = 1"""
+)
+def find_duplicates(spark, d):
+    return dedup.find_duplicates(table(spark, d, "workflows"), LOOSE)
+
+
+@query()
+def dedup_workflows(spark, d):
+    rows = table(spark, d, "workflows")
+    merged = dedup.merge_workflows(rows, written(dedup.leaders(rows, LOOSE)))
+    sizes = [F.size(c).alias(f"{c}_count") for c in ("sections", "evidence_sources", "merged_from")]
+    return merged.select("workflow_id", "summary", F.array_join(F.transform("pages", lambda p: p.cast("string")), ",").alias("pages"), *sizes, F.col("metadata")["merged_documents"].alias("merged_documents"))
+
+
+@query(
+    f"""with {WNODES}, sane as (select workflow_id, node_id from step_rows where not {SPURIOUS}), all_steps as (select workflow_id, count(*) as n from step_rows group by workflow_id), kept as (select workflow_id, count(*) as n from sane group by workflow_id)
+  select w.workflow_id, coalesce(k.n, 0) as nodes, coalesce(k.n, 0) < coalesce(a.n, 0) as fewer from (select distinct workflow_id from workflows where workflow_id is not null) w left join all_steps a using (workflow_id) left join kept k using (workflow_id)"""
+)
+def sanitize_workflows(spark, d):
+    rows = table(spark, d, "workflows")
+    before = rows.dropDuplicates(["workflow_id"]).select("workflow_id", F.coalesce(F.size("nodes"), F.lit(0)).alias("n"))
+    out = dedup.sanitize_workflows(rows).select("workflow_id", F.size("nodes").alias("nodes"))
+    return out.join(before, "workflow_id").select("workflow_id", "nodes", (F.col("nodes") < F.col("n")).alias("fewer"))
+
+
+@query()
+def title_overlap(spark, d):
+    w = table(spark, d, "workflows").groupBy("workflow_id").agg(F.min(F.concat_ws(" ", "title_hint", "summary", F.array_join("sections", " "))).alias("haystack"))
+    q = _asked(spark, d)
+    return q.join(w, q.question_id == w.workflow_id).select("question_id", F.round(retrieval.title_overlap(F.col("question"), F.col("haystack")), 6).alias("overlap"))
+
+
 # --- sets, sequences, graphs of workflow pairs --------------------------------------
 
 PAIRS = """seqs as (select workflow_id, list(normal order by ord, node_id) as s from node_rows group by workflow_id),
-  owner as (select workflow_id, min(document_id) as document_id from workflows group by workflow_id),
-  next as (select workflow_id as left_id, lead(workflow_id) over (partition by document_id order by workflow_id) as right_id from owner),
-  pairs as (select left_id, right_id, a.s as x, b.s as y from next join seqs a on a.workflow_id = left_id join seqs b on b.workflow_id = right_id)"""
+  words as (select distinct workflow_id, normal from node_rows),
+  meets as (select distinct a.workflow_id as left_id, b.workflow_id as right_id from words a join words b on a.normal = b.normal and a.workflow_id <> b.workflow_id where ('0x' || substr(a.workflow_id, 4, 12))::bigint % 20 = 0),
+  pairs as (select left_id, right_id, a.s as x, b.s as y from meets join seqs a on a.workflow_id = left_id join seqs b on b.workflow_id = right_id)"""
 
 
 def _pairs(spark, d) -> DataFrame:
-    """Each workflow with the next one of its document: pairs grow as the workflows do."""
-    s = _nodes(spark, d).groupBy("workflow_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "node_id", "normal"))), lambda x: x["normal"]).alias("s"))
-    owner = table(spark, d, "workflows").groupBy(F.col("workflow_id").alias("left_id")).agg(F.min("document_id").alias("document_id"))
-    after = F.lead("left_id").over(Window.partitionBy("document_id").orderBy("left_id"))
-    pairs = owner.select("left_id", after.alias("right_id"))
+    """The stated query set of searches (ids divisible by 20) against all workflows: each with every other that shares a step with it, found by an equality join; all others have no overlap."""
+    nodes = _nodes(spark, d)
+    s = nodes.groupBy("workflow_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "node_id", "normal"))), lambda x: x["normal"]).alias("s"))
+    words = nodes.select("workflow_id", "normal").distinct()
+    asked = words.where(F.conv(F.substring("workflow_id", 4, 12), 16, 10).cast("bigint") % 20 == 0).withColumnRenamed("workflow_id", "left_id")
+    pairs = asked.join(words.withColumnRenamed("workflow_id", "right_id"), "normal").where("left_id <> right_id").select("left_id", "right_id").distinct()
     pairs = pairs.join(s.select(F.col("workflow_id").alias("left_id"), F.col("s").alias("x")), "left_id")
     return pairs.join(s.select(F.col("workflow_id").alias("right_id"), F.col("s").alias("y")), "right_id")
 
@@ -664,12 +711,22 @@ def graph_edit_distance(spark, d):
     return similarity.structural(_pairs(spark, d).select("left_id", "right_id"), _nodes(spark, d), _edges(spark, d))
 
 
-@query()
-def blended_w2w(spark, d):
+def _blended(spark, d) -> DataFrame:
     x, y = F.col("x"), F.col("y")
     scored = _pairs(spark, d).select("left_id", "right_id", similarity.set_overlap(similarity.jaccard(x, y), similarity.containment(x, y)).alias("set_overlap"), similarity.align("x", "y").alias("sequence_alignment"))
     s = similarity.structural(scored.select("left_id", "right_id"), _nodes(spark, d), _edges(spark, d))
-    return similarity.blend_pairs(scored.join(s, ["left_id", "right_id"])).select("left_id", "right_id", "blended")
+    return similarity.blend_pairs(scored.join(s, ["left_id", "right_id"]))
+
+
+@query()
+def blended_w2w(spark, d):
+    scores = _blended(spark, d).select("left_id", "right_id", "set_overlap", "sequence_alignment", "structural", "blended")
+    return dedup.compare_pairs(scores, table(spark, d, "workflows"))
+
+
+@query()
+def best_matches(spark, d):
+    return dedup.best_matches(_blended(spark, d), 5)
 
 
 # --- questions ----------------------------------------------------------------------
