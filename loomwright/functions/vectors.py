@@ -31,8 +31,14 @@ def buckets(text: Column, dim: int = R.EMBED_DIM) -> Column:
 
 def dense_buckets(held: Column, dim: int = R.EMBED_DIM) -> Column:
     """The embedding of a text's buckets as an array of length 1; all zero without words."""
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda b: F.size(F.filter(held, lambda x: x == b)).cast("double"))
-    return F.transform(F.array(F.struct(counts.alias("c"), norm(counts).alias("n"))), lambda s: F.transform(s["c"], lambda x: F.when(s["n"] > 0, x / s["n"]).otherwise(0.0)))[0]
+
+    def counted(h: Column) -> Column:
+        counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda b: F.size(F.filter(h, lambda x: x == b)).cast("double"))
+        return F.transform(F.array(counts), lambda c: F.struct(c.alias("c"), norm(c).alias("n")))[0]
+
+    # Each step is bound by a lambda of its own, so that nothing is computed once a bucket.
+    scaled = F.transform(F.transform(F.array(held), counted), lambda s: F.transform(s["c"], lambda x: F.when(s["n"] > 0, x / s["n"]).otherwise(0.0)))
+    return scaled[0]
 
 
 def bucket_cosine(a: Column, b: Column) -> Column:
