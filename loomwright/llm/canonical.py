@@ -1,15 +1,17 @@
 """Mapping of freely typed values to the entries of a reference list.
 
 Only built-in expressions and equality joins. A value is folded (letters of other
-scripts that look alike, case, blanks, punctuation) and cut into words. Each
-distinct word is matched once with the words of the reference list:
+scripts that look alike, case, blanks, punctuation). First whole strings meet by the
+pigeonhole join: a reference string is cut into k + 1 segments; a typed string
+within k edits holds one of them unchanged, moved by at most k; substrings at those
+places meet the segments in an equality join, and ``levenshtein`` verifies. What is
+within one edit of a name or alias is that entry's. An anti-join leaves the rest,
+which is cut into words; each distinct word is matched once with the words of the
+reference list:
 
 * equal to a form of a reference word: the word, its inflections, its consonant
   skeleton, a dotted beginning, two words written as one;
-* else by the pigeonhole join: a reference form is cut into k + 1 segments; a
-  word within k edits holds one of them unchanged, moved by at most k. Words'
-  substrings at those places meet the segments in an equality join, and
-  ``levenshtein`` verifies.
+* else by the same pigeonhole join.
 
 Of a word's matches only the nearest stay. A reference entry is meant if each
 word of its name, or of an alias, is matched by another word of the value; what
@@ -95,6 +97,42 @@ def _nearest(matches: DataFrame) -> DataFrame:
     return matches.join(least, ["kind", "q"]).where("cost = least").select("kind", "q", "word", "cost").distinct()
 
 
+def close_strings(typed: DataFrame, reference: DataFrame, k: int = K) -> DataFrame:
+    """The pigeonhole join: (kind, q, form, …, cost) of typed (kind, q) and reference strings (kind, form, …) within k edits.
+
+    A reference string is cut into k + 1 segments; one of them stands unchanged in
+    any string within k edits, moved by at most k. Substrings of the typed string at
+    those places meet the segments by equality, ``levenshtein`` verifies. A swap of
+    neighbours counts one.
+    """
+    segments = reference.where(f"length(form) >= {LEAST}").select(
+        "*", F.length("form").alias("n"),
+        F.explode(F.expr(f"transform(sequence(0, {k}), i -> struct(i as seg, cast(floor(i * length(form) / {k + 1}) as int) as at, cast(floor((i + 1) * length(form) / {k + 1}) as int) as till))")).alias("s"),
+    ).select(*reference.columns, "n", "s.seg", F.expr("substring(form, s.at + 1, s.till - s.at)").alias("piece"))
+    probes = typed.where(f"length(q) >= {LEAST}").select("kind", "q", F.explode(F.expr(f"sequence(greatest({LEAST}, length(q) - {k}), length(q) + {k})")).alias("n"))
+    probes = probes.select("kind", "q", "n", F.explode(F.expr(f"sequence(0, {k})")).alias("seg"))
+    probes = probes.withColumns({"at": F.expr(f"cast(floor(seg * n / {k + 1}) as int)"), "till": F.expr(f"cast(floor((seg + 1) * n / {k + 1}) as int)")})
+    probes = probes.select("kind", "q", "n", "seg", F.explode(F.expr(f"transform(sequence(greatest(0, at - {k}), greatest(0, least(at + {k}, length(q) - (till - at)))), p -> substring(q, p + 1, till - at))")).alias("piece")).distinct()
+    pairs = probes.join(segments, ["kind", "n", "seg", "piece"]).select("kind", "q", *[c for c in reference.columns if c != "kind"]).distinct()
+    pairs = pairs.withColumn("lev", F.expr(f"levenshtein(q, form, {k})")).where("lev >= 0")
+    swapped = "lev = 2 and length(q) = length(form) and array_sort(split(q, '')) = array_sort(split(form, ''))"
+    return pairs.withColumn("cost", F.expr(f"cast(if({swapped}, 1, lev) as double)")).drop("lev")
+
+
+def match_strings(typed: DataFrame, terms: DataFrame) -> DataFrame:
+    """(kind, value, term_id, cost) of values that are, folded, a name or alias, or one edit from it; the nearest, then the smaller id."""
+    folded = F.array_join(F.transform(words(F.col("value")), lambda w: F.regexp_replace(w, r"\.", "")), " ")
+    names = F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))
+    reference = terms.where("name is not null and term_id is not null").select("kind", "term_id", F.explode(names).alias("value"))
+    reference = reference.select("kind", "term_id", folded.alias("form")).where("form <> ''").distinct()
+    asked = typed.select("kind", "value", folded.alias("q")).where("q <> ''")
+    equal = asked.join(reference.withColumnRenamed("form", "q"), ["kind", "q"]).select("kind", "value", "term_id", F.lit(0.0).alias("cost"))
+    near = close_strings(asked.select("kind", "q").distinct(), reference).where(f"cost <= {EDITS}")
+    near = asked.join(near, ["kind", "q"]).select("kind", "value", "term_id", "cost")
+    best = equal.unionByName(near).groupBy("kind", "value").agg(F.min(F.struct("cost", "term_id")).alias("best"))
+    return best.select("kind", "value", F.col("best.term_id").alias("term_id"), F.col("best.cost").alias("cost"))
+
+
 def match_words(typed: DataFrame, forms: DataFrame) -> DataFrame:
     """(kind, q, word, cost) for each distinct typed word (kind, q) that means reference words."""
     bare = F.regexp_replace("q", r"\.", "")
@@ -104,21 +142,7 @@ def match_words(typed: DataFrame, forms: DataFrame) -> DataFrame:
     exact = cut(exact)
     rest = typed.join(exact.select("kind", "q").distinct(), ["kind", "q"], "left_anti")
 
-    plain = forms.where(f"cost < 0.5 and length(form) >= {LEAST}")
-    segments = plain.select(
-        "kind", "form", "word", F.length("form").alias("n"),
-        F.explode(F.expr(f"transform(sequence(0, {K}), i -> struct(i as seg, cast(floor(i * length(form) / {K + 1}) as int) as at, cast(floor((i + 1) * length(form) / {K + 1}) as int) as till))")).alias("s"),
-    ).select("kind", "form", "word", "n", "s.seg", F.expr("substring(form, s.at + 1, s.till - s.at)").alias("piece"))
-    probes = rest.where(f"length(q) >= {LEAST}").select("kind", "q", F.explode(F.expr(f"sequence(greatest({LEAST}, length(q) - {K}), length(q) + {K})")).alias("n"))
-    probes = probes.select("kind", "q", "n", F.explode(F.expr(f"sequence(0, {K})")).alias("seg"))
-    probes = probes.withColumns({"at": F.expr(f"cast(floor(seg * n / {K + 1}) as int)"), "till": F.expr(f"cast(floor((seg + 1) * n / {K + 1}) as int)")})
-    probes = probes.select("kind", "q", "n", "seg", F.explode(F.expr(f"transform(sequence(greatest(0, at - {K}), greatest(0, least(at + {K}, length(q) - (till - at)))), p -> substring(q, p + 1, till - at))")).alias("piece")).distinct()
-    pairs = probes.join(segments, ["kind", "n", "seg", "piece"]).select("kind", "q", "form", "word").distinct()
-    pairs = pairs.withColumn("lev", F.expr(f"levenshtein(q, form, {K})")).where("lev >= 0")
-    swapped = "lev = 2 and length(q) = length(form) and array_sort(split(q, '')) = array_sort(split(form, ''))"
-    pairs = pairs.withColumn("cost", F.expr(f"cast(if({swapped}, 1, lev) as double)"))
-    near = _nearest(pairs.where(f"cost <= if(length(form) < {LONG}, {EDITS}, {EDITS_LONG})"))
-
+    near = _nearest(close_strings(rest, forms.where("cost < 0.5").select("kind", "form", "word")).where(f"cost <= if(length(form) < {LONG}, {EDITS}, {EDITS_LONG})"))
     near = cut(near)
     left = rest.join(near.select("kind", "q").distinct(), ["kind", "q"], "left_anti")
     return exact.unionByName(near).unionByName(_joined(left, forms))
@@ -141,14 +165,16 @@ def _meanings(values: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame
     typed = typed.where(F.regexp_replace("value", r"[\s\u00a0\u3000]+", "") != "")
     parts, forms = reference_words(terms.select("term_id", "kind", "name", "aliases"))
     typed, parts, forms = cut(typed), cut(parts), cut(forms)  # each is read many times below
-    placed = typed.select("kind", "value", F.posexplode(words(F.col("value"))).alias("pos", "q"))
+    whole = cut(match_strings(typed, terms))
+    rest = typed.join(whole, ["kind", "value"], "left_anti")
+    placed = rest.select("kind", "value", F.posexplode(words(F.col("value"))).alias("pos", "q"))
     matched = cut(placed.join(match_words(cut(placed.select("kind", "q").distinct()), forms), ["kind", "q"]))
     hits = matched.join(parts, ["kind", "word"])
     hits = hits.groupBy("kind", "value", "term_id", "phrase", "size", "word").agg(F.min(F.struct("cost", "pos")).alias("best"))
     full = hits.groupBy("kind", "value", "term_id", "phrase", "size").agg(F.count("*").alias("n"), F.sum("best.cost").alias("cost"))
     full = full.where("n = size")
     meant = full.groupBy("kind", "value").agg(F.min(F.struct((-F.col("size")).alias("less"), "cost", "term_id")).alias("best"))
-    return typed, placed, matched, meant.select("kind", "value", F.col("best.term_id").alias("term_id"))
+    return typed, placed, matched, whole.select("kind", "value", "term_id").unionByName(meant.select("kind", "value", F.col("best.term_id").alias("term_id")))
 
 
 def map_values(values: DataFrame, terms: DataFrame) -> DataFrame:

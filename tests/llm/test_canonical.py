@@ -1,7 +1,10 @@
 """Ways to type a thing, and things that are not on the list."""
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
+from loomwright.llm import canonical
 from loomwright.llm.canonical import canonical_values, map_fields, map_values
 
 TERMS = [
@@ -46,3 +49,28 @@ def test_one_spelling(spark, terms):
     rows = [("action", v) for v in ("sketch", "sketches", "Sketching.", "skеtch")] + [("object", v) for v in ("main hose", "hose, main", "the main hoses")]
     got = {(r.kind, r.canon) for r in canonical_values(spark.createDataFrame(rows, "kind string, value string"), terms).collect()}
     assert len(got) == 2
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.text("abc ", min_size=3, max_size=9), min_size=1, max_size=6), st.lists(st.text("abc ", min_size=3, max_size=9), min_size=1, max_size=6))
+def test_the_join_finds_all_within_two_edits(spark, typed, names):
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, before = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (x != y)))
+        return row[-1]
+
+    q = spark.createDataFrame([("k", x) for x in set(typed)], "kind string, q string")
+    r = spark.createDataFrame([("k", x) for x in set(names)], "kind string, form string")
+    got = {(x.q, x.form) for x in canonical.close_strings(q, r).collect()}
+    assert got == {(a, b) for a in typed for b in names if edits(a, b) <= canonical.K}
+
+
+def test_strings_before_words(spark):
+    terms = spark.createDataFrame([(1, "object", "relief valve", ["prv"]), (2, "object", "relief valve seat", None), (3, "object", "brake", [])], "term_id int, kind string, name string, aliases array<string>")
+    typed = spark.createDataFrame([("object", v) for v in ("Relief  Valve", "releif valve", "relief valves", "PRV", "relief valve seet", "old relief valve", "brakes and relief valve", "xyz")], "kind string, value string")
+    got = {r.value: (r.term_id, r.cost) for r in canonical.match_strings(typed, terms).collect()}
+    assert got == {"Relief  Valve": (1, 0.0), "releif valve": (1, 1.0), "relief valves": (1, 1.0), "PRV": (1, 0.0), "relief valve seet": (2, 1.0)}
+    assert {r.value: r.term_id for r in canonical.map_values(typed, terms).collect()} == {v: t for v, (t, _) in got.items()} | {"old relief valve": 1, "brakes and relief valve": 1, "xyz": 0}
