@@ -65,11 +65,41 @@ def search(questions: DataFrame, entries: DataFrame, k: int, over: int = 3) -> D
 
 
 def nearest_entries(queries: DataFrame, entries: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, score, rank): exact search of dense vectors; ``queries`` is a stated set, sent to all parts only if it is small."""
-    pairs = entries.join(queries, F.col("vec_id") != F.col("query_id"))
-    scored = pairs.withColumn("score", F.round(V.dot(F.col("query_vec"), F.col("vec")), 4))
+    """(query_id, vec_id, score, rank): exact search of dense vectors, all entries scored, an entry of the query's own id left out.
+
+    ``queries`` (query_id, query_vec) meet ``entries`` (vec_id, vec) in the tiles of
+    a block matrix of bounded size, whatever the number of either.
+    """
+    nq, ne = (max(1, -(-df.count() // n)) for df, n in ((queries, ASKED), (entries, ENTRIES)))
+
+    def dealt(df: DataFrame, name: str, vec: str, own: str, n: int, other: str, m: int) -> DataFrame:
+        every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(m - 1).cast("bigint")))
+        return df.where(F.col(vec).isNotNull()).select(name, F.col(vec).cast("array<double>").alias("v"), F.pmod(F.xxhash64(name), F.lit(n)).alias(own), every.alias(other))
+
+    q, e = dealt(queries, "query_id", "query_vec", "i", nq, "j", ne), dealt(entries, "vec_id", "vec", "j", ne, "i", nq)
+
+    def tile(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ["query_id", "vec_id", "score"]
+        if not len(left) or not len(right):
+            return pa.table([left.column("query_id").slice(0, 0), right.column("vec_id").slice(0, 0), pa.array([], pa.float64())], names=names)
+        right = right.take(pc.sort_indices(right, [("vec_id", "ascending")]))
+        a, b = (np.array(t.column("v").to_pylist()) for t in (left, right))
+        asked, held = left.column("query_id").to_numpy(), right.column("vec_id").to_numpy()
+        at, to, what = [], [], []
+        for lo in range(0, len(a), 256):
+            score = np.round(a[lo : lo + 256] @ b.T, 4)
+            score[asked[lo : lo + 256, None] == held[None, :]] = -np.inf
+            best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            r, c = np.repeat(np.arange(len(score)), best.shape[1]), best.ravel()
+            good = np.isfinite(score[r, c])
+            at.append(lo + r[good]), to.append(c[good]), what.append(score[r, c][good])
+        r, c = pa.array(np.concatenate(at)), pa.array(np.concatenate(to))
+        return pa.table([left.column("query_id").take(r), right.column("vec_id").take(c), pa.array(np.concatenate(what))], names=names)
+
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, vec_id {entries.schema['vec_id'].dataType.simpleString()}, score double"
+    found = q.groupBy("i", "j").cogroup(e.groupBy("i", "j")).applyInArrow(tile, kinds)
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return scored.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "vec_id", "score", "rank")
+    return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "vec_id", "score", "rank")
 
 
 def evidence(workflows: DataFrame, limit: int = 8) -> DataFrame:

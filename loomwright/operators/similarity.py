@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,26 +51,39 @@ def align(a: str, b: str, gap: float = R.ALIGN_GAP) -> Column:
 
 
 def greedy_clusters(vectors: DataFrame, key: str, threshold: float = R.CLUSTER_THRESHOLD) -> DataFrame:
-    """(key, id, leader): each vector joins the first leader of cosine ``threshold`` or more, in order of pos, or becomes one."""
+    """(key, id, leader): within each key a vector joins the first leader of cosine ``threshold`` or more, in order of pos, or becomes one.
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["pos", "id"])
-        x = np.array(pdf["vec"].tolist(), dtype=np.float64)
+    Keys are small groups, as the labels of a workflow; each travels as one row, so
+    Python sees batches of groups.
+    """
+    lists = vectors.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "id", F.col("vec").cast("array<double>").alias("vec")))).alias("v"))
+
+    def fold(own: list[dict]) -> list[int]:
+        x = np.array([v["vec"] for v in own], dtype=np.float64)
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        close = x @ x.T >= threshold
         leaders: list[int] = []
         out = []
         for i in range(len(x)):
-            hit = np.flatnonzero(x[leaders] @ x[i] >= threshold) if leaders else []
-            if len(hit):
-                out.append(leaders[hit[0]])
-            else:
+            lead = next((j for j in leaders if close[i, j]), i)
+            if lead == i:
                 leaders.append(i)
-                out.append(i)
-        ids = pdf["id"].to_numpy()
-        return pd.DataFrame({key: pdf[key].to_numpy(), "id": ids, "leader": ids[out]})
-
-    kind = vectors.schema[key].dataType.simpleString()
-    return vectors.select(key, "id", "pos", "vec").groupBy(key).applyInPandas(fold, f"{key} {kind}, id bigint, leader bigint")
+            out.append(lead)
+        return out
+
+    def run(batches):
+        for batch in batches:
+            rows, ids, led = [], [], []
+            for n, own in enumerate(batch.column(1).to_pylist()):
+                lead = fold(own)
+                rows += [n] * len(own)
+                ids += [v["id"] for v in own]
+                led += [own[j]["id"] for j in lead]
+            kind = batch.column(1).type.value_type.field("id").type
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(ids, kind), pa.array(led, kind)], names=[key, "id", "leader"])
+
+    kind, id_kind = (vectors.schema[c].dataType.simpleString() for c in (key, "id"))
+    return lists.mapInArrow(run, f"{key} {kind}, id {id_kind}, leader {id_kind}")
 
 
 def degree_histograms(degrees: DataFrame) -> DataFrame:

@@ -605,8 +605,8 @@ def near_duplicate_pairs(spark, d):
 
 @query()
 def greedy_cluster(spark, d):
-    e = table(spark, d, "embeddings").select("label", F.col("vec_id").alias("id"), F.col("vec_id").alias("pos"), F.col("embedding").alias("vec"))
-    return similarity.greedy_clusters(e, "label", 0.3)
+    n = _nodes(spark, d).select("workflow_id", F.col("node_id").alias("id"), F.col("ord").alias("pos"), V.dense_buckets(V.buckets(F.col("label"))).alias("vec"))
+    return similarity.greedy_clusters(n, "workflow_id", 0.7)
 
 
 @query(

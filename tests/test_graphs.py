@@ -60,3 +60,22 @@ def test_small_groups(spark):
     groups = spark.createDataFrame([("d", i, n) for i, n in enumerate((1, 3, 1, 4, 1))], "document_id string, group_no long, actions long")
     got = [(r.merged_no, r.host) for r in segment.merge_small(groups).orderBy("group_no").collect()]
     assert got == [(0, 1), (0, 1), (0, 1), (1, 3), (1, 3)]
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.lists(st.integers(-3, 3), min_size=3, max_size=3), max_size=8))
+def test_greedy_clusters(spark, vectors):
+    rows = spark.createDataFrame([("k", f"v{i}", i, [float(x) for x in v]) for i, v in enumerate(vectors)], "k string, id string, pos int, vec array<double>")
+    got = {r.id: r.leader for r in similarity.greedy_clusters(rows, "k", 0.8).collect()}
+
+    def cosine(a, b):
+        n = (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+        return sum(x * y for x, y in zip(a, b)) / n if n else 0.0
+
+    leaders, wanted = [], {}
+    for i, v in enumerate(vectors):
+        lead = next((j for j in leaders if cosine(vectors[j], v) >= 0.8 - 1e-12), i)
+        if lead == i:
+            leaders.append(i)
+        wanted[f"v{i}"] = f"v{lead}"
+    assert got == wanted
