@@ -7,8 +7,10 @@ relabelled and deduplicated, and the rounds go on until no edge is left. The
 number of components at least halves a round.
 
 Edges and labels stay distributed; only "is anything left" comes to the driver.
-A hub with very many links costs no task more than its share: picks are
-minima with map-side combining, and a round's labels have one row per component.
+Picks are minima with map-side combining, so a hub with very many links costs the
+task that picks for it no more than its share. Where edges meet labels the hub's
+rows share a join key; the labels have one row a component, so the adaptive skew
+join can split the hub's edges over tasks, which it is relied on to do.
 """
 
 from __future__ import annotations
