@@ -149,7 +149,19 @@ def chunk_split(spark, d):
     return units.split_chunks(_chunks(spark, d))
 
 
-@query()
+@query(
+    rf"""with raw as (select document_id, unnest(units) as u, generate_subscripts(units, 1) - 1 as unit_no from (select distinct document_id, units from docs where units is not null)),
+  unit_rows as (select document_id, unit_no, {_strip('u.text')} as text, u.page as page, u.section as section, u.paragraph as paragraph,
+    coalesce(nullif(regexp_replace(lower(trim(u.unit_type)), '[\s\-]+', '_', 'g'), ''), 'paragraph') as unit_type from raw where u.text is not null),
+  filled as (select *, last_value(case when unit_type = 'heading' then text end ignore nulls) over (partition by document_id order by unit_no rows between unbounded preceding and current row) as current from unit_rows where text <> ''),
+  marked as (select *, string_split(regexp_replace(text, '{R.CHUNK_STEP}', chr(1) || '\0', 'g'), chr(1)) as m from filled),
+  parts as (select *, case when unit_type in ('heading', 'table', 'step', 'list_item') then [text] when len(m) <= 2 and not contains(text, chr(10)) then [text]
+    when len(m) > 2 or (len(m) = 2 and m[1] = '') then m[2:] else string_split_regex(text, '\n\s*\n') end as p from marked),
+  flat as (select *, case when unit_type in ('heading', 'table') then p else list_filter(list_transform(p, lambda x: {_strip('x')}), lambda x: x <> '') end as q from parts),
+  pieces as (select document_id, unit_no, page, coalesce(current, section) as section, paragraph, unit_type, unnest(q) as text, generate_subscripts(q, 1) - 1 as piece_no from flat)
+  select 'chunk_' || substr(sha256(concat_ws('/', document_id, unit_no::varchar, piece_no::varchar)), 1, 12) as chunk_id, document_id,
+    row_number() over (partition by document_id order by unit_no, piece_no) - 1 as order_index, text, page, section, paragraph, unit_type from pieces"""
+)
 def unit_chunks(spark, d):
     return units.chunk_units(units.doc_units(table(spark, d, "docs")))
 
