@@ -414,7 +414,7 @@ class Tally:
     def __init__(self):
         self.starts, self.behind, self.last, self.words, self.capitals = (Counter() for _ in range(5))
 
-    def add(self, text: str, parts: list[tuple[int, int]], dense: bool) -> None:
+    def add(self, text: str, parts: list[tuple[int, int]]) -> None:
         """Count a text's segments of prose, (start, end) each."""
         for body, e in parts:
             at, key = first_key(text, body, e)
@@ -423,8 +423,6 @@ class Tally:
             e = bare_end(text, body, e)
             if text[e - 1] == "." and e > body:
                 self.last[stop_key(text, e - 1, body)] += 1
-        if dense:
-            return  # no words to count
         lines = "\n".join([text[body:e] for body, e in parts])
         words = lines.split()
         self.words.update(words)
@@ -524,7 +522,7 @@ def scan(texts: DataFrame, id_col: str | None, text_col: str, lang_col: str | No
                 dense = not plain and bool(DENSE.search(text))
                 prose = [(body, e) for _, e, body in units if body >= 0]
                 if prose:
-                    held.setdefault(lang, Tally()).add(text, prose, dense)
+                    held.setdefault(lang, Tally()).add(text, prose)
                 before = 0
                 for s, e, body in units:
                     begin = s

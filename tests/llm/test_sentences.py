@@ -127,3 +127,14 @@ def test_ratios(spark):
     cells = ((30, 40 * 50), (10, 40 * 950), (20, 960 * 50), (940, 960 * 950))
     assert row.a == pytest.approx(2 * sum(o * math.log(o * 1000 / e) for o, e in cells))
     assert row.b == pytest.approx(2 * (9 * math.log(1.8) + math.log(0.2)))
+
+
+def test_words_of_every_text_count(spark):
+    """A closing quotation mark or a script without blanks somewhere in a text leaves none of its words out."""
+    texts = ("Use approx. 3 ml of oil. Wait.", "The card says “go on” behind approx. Sec. four: Then stop.", "使用 approx. 三 oil 。 Then weld it.")
+    rows = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    met = {}
+    for r in sentences.scan(rows, "doc_id", "text", "lang").where("kind is not null").collect():
+        met[r.kind, r.key] = met.get((r.kind, r.key), 0) + r.n
+    assert met["n", "approx"] == met["w", "approx"] == 3 and met["n", "oil"] == 2 and met["q", "Then\tThen stop"] == 1
+    assert sum(n for (kind, key), n in met.items() if kind == "n" and " " not in key) == sum(not w[0].isdigit() for t in texts for w in t.split())
