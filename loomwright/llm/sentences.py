@@ -2,6 +2,9 @@
 
 One pass reads every text: it finds its units and the places in them that may be
 boundaries, with the word before and the key of what follows, and counts words.
+It looks at many texts together, at each distinct word once; a segment whose words
+do not tell its places by themselves (scripts without blanks, nested or unclosed
+quotations) is gone through mark by mark.
 The places are kept as a table in the shared folder; all that follows is SQL on it.
 
 Three statistics are learned per language, each kept where a log-likelihood ratio
@@ -36,9 +39,11 @@ import gc
 import re
 from collections import Counter
 from hashlib import blake2b
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -51,6 +56,8 @@ LEAST = 2
 KEEP_KEYS = 400_000
 #: Counts a task gathers before it hands them on; only memory depends on it.
 FLUSH = 400_000
+#: Bytes of text a task looks at together; only memory depends on it.
+TOGETHER = 4_000_000
 #: Longest word that is its own key; of longer ones the first part and a digest are.
 LONGEST = 48
 #: Widths between which lines of prose may be wrapped.
@@ -79,11 +86,6 @@ QUOTES = "[\"“”„«»「」『』《》()（）\\[\\]]"
 # A character that may end something, and the run of its like behind it.
 MARK = re.compile(r"[.!?…।॥؟;。！？" + QUOTES[1:] + r"(?:(?<=[.!?…।॥؟;])[.!?…।॥؟;]+|(?<=[。！？])[。！？]+)?")
 MARK_THAI = re.compile(MARK.pattern + r"|(?<=[฀-๿.\d])\s+(?=\S)")
-#: Marks beside the full stop; a full stop between blanks, with the word before and up to three behind.
-OTHER = re.compile(r"[!?…।॥؟;。！？" + QUOTES[1:])
-STOPS = re.compile(r"\.\s+(?=(\S+)(?:\s+(\S+))?(?:\s+(\S+))?)")
-#: A full stop without a blank behind it.
-GLUED = re.compile(r"\w\.(?:[^\W\d_]|[¡¿])")
 SIGNS = re.compile(r"(?:[†‡§✓✔☞►▶■□●○☐☑⚠⚡❗❕🔧🔩🛠📌📎💡🚫⛔✅❌\U0001f300-\U0001faff☀-➿]️?[\s​]*)+")
 OPENERS = "\"'“„«‘‹「『《(（[¿¡ \xa0"
 CLOSERS = {"”": "“„", "“": "„", "»": "«", "」": "「", "』": "『", "》": "《", ")": "(", "）": "（", "]": "[", '"': '"'}
@@ -91,11 +93,9 @@ TAIL = "\"'.,;:!?…)]}»”“’」』、。！？।؟،"
 THAI, HAN = re.compile(r"[฀-๿຀-໿ក-៿က-႟]"), re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
 DENSE = re.compile(r"[\u0e00-\u0eff\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff。！？，、」』”）]")
 GREEK = re.compile(r"[Ͱ-Ͽἀ-῿]")
-UNBROKEN = re.compile(r"[^ \t\r\n]+")
+UNBROKEN, UNSPACED = re.compile(r"[^ \t\r\n]+"), re.compile(r"\S+")
 NEXT = re.compile(r"(\S+)(?:\s+(\S+))?(?:\s+(\S+))?")
 HEAD = re.compile(r"[\s\u200b]*((?:%s)?[%s]*)(\S+)(?:\s+(\S+))?(?:\s+(\S+))?" % (SIGNS.pattern, re.escape(OPENERS)))
-#: Letters whose words, within a sentence, are no rivals of starters.
-LOWER = frozenset("abcdefghijklmnopqrstuvwxyzäöüßéèêàâçñóíúáабвгдежзийклмнопрстуфхцчшщъыьэюяαβγδεζηθικλμνξοπρστυφχψωάέήίόύώ")
 #: What follows a colon, up to three words.
 COLON = re.compile(r":[^\S\n]+(?=(\S+)(?:\s+(\S+))?(?:\s+(\S+))?)")
 CODE = re.compile(r"\s*([a-z]{2})", re.I)
@@ -134,13 +134,16 @@ def segments(text: str) -> list[tuple[int, int, int]]:
     plain = [not whole and not step for (_, _, whole), step in zip(lines, steps)]
     full = [False] * len(lines)  # whether a line goes on in the next one
     pairs = []
-    for i, ((s, e, _), (s2, e2, whole)) in enumerate(zip(lines, lines[1:])):
+    for i, ((s, e, _), (s2, e2, whole)) in enumerate(pairwise(lines)):
         if whole or not (plain[i] or (i and plain[i - 1])):
             continue
         gap = text[e:s2]
-        if gap in ("\n", "\r\n") or gap.count("\n") + gap.count("\r") - gap.count("\r\n") == 1:
+        if gap == "\n" or gap == "\r\n" or gap.count("\n") + gap.count("\r") - gap.count("\r\n") == 1:
             first = UNBROKEN.search(text, s2, e2).group()
-            pairs.append((i, e - s, first, text[e - 1], text[e - 1] > "\u0dff" and bool(DENSE.match(text, e - 1))))
+            last = text[e - 1]
+            pairs.append((i, e - s, first, last, last > "\u0dff" and bool(DENSE.match(last))))
+    if not pairs:
+        return [(s, e, -1 if whole else step.end() if step and step.end() < e else s) for (s, e, whole), step in zip(lines, steps)]
     # Lines that are wrapped beyond doubt give the width.
     sure = [n for i, n, first, last, dense in pairs if plain[i] and not dense and NARROWEST_WRAP <= n <= WIDEST_WRAP and (first[0].islower() or ((last.isalnum() or last == ",") and (first[0].isdigit() or n > 60)))]
     lower = [n for i, n, first, last, dense in pairs if plain[i] and not dense and first[0].islower() and NARROWEST_WRAP <= n <= WIDEST_WRAP]
@@ -179,21 +182,22 @@ def first_key(text: str, at: int, end: int) -> tuple[int, str]:
         held, begin = m.group(2, 3, 4), m.start(1)
     word, after, third = held
     c = word[0]
-    if c.isdigit():
+    if c.isdigit() or c in ".-":
         return begin, word_key(word, after, third)
-    if c.islower():
-        held = word
-    elif after is None or after.isalpha():
-        held = (word, after)
-    key = _KEYS.get(held)
-    if key is None:
-        if len(_KEYS) > KEEP_KEYS:
-            _KEYS.clear()
-        key = _KEYS[held] = word_key(word, after, third)
-    return begin, key
+    return begin, _KEYS[word if c.islower() else (word, after) if after is None or after.isalpha() else held]
+
 
+class Keys(dict):
+    """First word in lower case, or with what follows it -> key."""
 
-_KEYS: dict[tuple, str] = {}
+    def __missing__(self, held: str | tuple) -> str:
+        if len(self) > KEEP_KEYS:
+            self.clear()
+        key = self[held] = word_key(held, None, None) if held.__class__ is str else word_key(*held, None) if len(held) == 2 else word_key(*held)
+        return key
+
+
+_KEYS = Keys()
 
 
 def _short(word: str) -> str:
@@ -237,6 +241,10 @@ def stop_key(text: str, at: int, begin: int) -> str:
         if len(held) > 1 or low == begin or len(word) < at - low:
             break
         width *= 4  # a longer word
+    return _ended(word)
+
+
+def _ended(word: str) -> str:
     key = _ENDED.get(word)
     if key is None:
         if len(_ENDED) > KEEP_KEYS:
@@ -254,55 +262,95 @@ def ended(word: str) -> str:
     return word[-24:] if word[-1] > "\u0dff" and DENSE.match(word[-1]) else _short(word)  # in scripts without blanks what comes last
 
 
-def stops(text: str, begin: int, end: int) -> dict[int, tuple[str, str, int, str]]:
-    """Full stop -> place as in ``candidates``, of all that stand before a blank; all places of a segment that has no other marks."""
-    out = {}
-    for m in STOPS.finditer(text, begin, end):
-        held = m.groups()
-        s, at = m.span()
-        first = held[0][0]
-        if s > begin and text[s - 1] == ".":  # dots in a row
-            found, key = first_key(text, s + 1, end)
-            if found >= 0:
-                out[s] = ("…", "", found, key)
-            continue
-        if not first.isalnum():
-            at, key = first_key(text, s + 1, end)
-            if at < 0:
-                continue
-        else:
-            after = held[1]
-            c = held[0] if first.islower() else (held[0], after) if not first.isdigit() and (after is None or after.isalpha()) else held
-            key = _KEYS.get(c)
-            if key is None:
-                if len(_KEYS) > KEEP_KEYS:
-                    _KEYS.clear()
-                key = _KEYS[c] = word_key(*held)
-        out[s] = (".", stop_key(text, s, begin), at, key)
-    return out
+def next_key(words: list[str], i: int) -> str:
+    """Key of the word at ``i``, which begins with a letter or digit."""
+    word = words[i]
+    c = word[0]
+    if c.islower():
+        return _KEYS[word]
+    held = words[i + 1 : i + 3]
+    after = held[0] if held else None
+    third = held[1] if len(held) > 1 else None
+    if c.isdigit():
+        return word_key(word, after, third)
+    return _KEYS[(word, after) if after is None or after.isalpha() else (word, after, third)]
+
+
+class Marks(dict):
+    """Word -> its marks, (start, end, marks) each, without points before digits; where there is but a full stop at its end, the key of what stands before it."""
+
+    def __missing__(self, word: str) -> tuple | str:
+        found = tuple((m.start(), m.end(), m.group()) for m in MARK.finditer(word))
+        found = tuple(x for x in found if x[2] != "." or not word[x[1] : x[1] + 1].isdigit())
+        marks = ended(word[:-1]) if len(found) == 1 and found[0][2] == "." and found[0][1] == len(word) else found
+        if len(word) <= LONGEST:
+            if len(self) > KEEP_KEYS:
+                self.clear()
+            self[word] = marks
+        return marks
+
+
+_MARKS = Marks()
+
+
+def word_starts(text: str, begin: int, end: int, words: list[str]) -> list[int]:
+    """Where the words of a segment begin, each less the number of words before it."""
+    ends = list(accumulate(map(len, words), initial=begin))
+    if ends[-1] + len(words) - 1 == end:  # one blank between any two
+        return ends
+    return [m.start() - i for i, m in enumerate(UNSPACED.finditer(text, begin, end))]
 
 
 _ENDED: dict[str, str] = {}
 
 
-def candidates(text: str, begin: int, end: int, thai: bool = True) -> list[tuple[str, str, int, str]]:
+def candidates(text: str, begin: int, end: int, thai: bool = True, words: list[str] | None = None) -> list[tuple[str, str, int, str]]:
     """(mark, word before, start of what follows, key of it) at each place of a segment that may be a boundary.
 
     The mark is "." for a full stop, ")" for a quotation or bracket closed behind a
     terminal mark, " " for a blank in a script without full stops. ``thai`` may be
-    False where the text holds no such script.
+    False where the text holds no such script; ``words`` are the segment's, if known.
     """
-    if not thai and not OTHER.search(text, begin, end) and not GLUED.search(text, begin, end):
-        return list(stops(text, begin, end).values())
+    thai = thai and bool(THAI.search(text, begin, end))
+    if thai:
+        marks = [(m.start(), m.end(), m.group(), -1, "") for m in MARK_THAI.finditer(text, begin, end)]
+    else:
+        if words is None:
+            words = text[begin:end].split()
+        met = [(i, x) for i, x in enumerate(map(_MARKS.__getitem__, words)) if x]
+        if not met:
+            return []
+        last = len(words) - 1
+        if met[0][0] == last and met[0][1].__class__ is str:
+            return []  # by far the most frequent case
+        starts = word_starts(text, begin, end, words)
+        found = []
+        for i, word in met:
+            if word.__class__ is not str:
+                break
+            if i < last:
+                if words[i + 1][0].isalnum():
+                    found.append((".", word, starts[i + 1] + i + 1, next_key(words, i + 1)))
+                else:
+                    at, key = first_key(text, starts[i] + i + len(words[i]), end)
+                    if at >= 0:
+                        found.append((".", word, at, key))
+        else:
+            return found  # nothing but full stops
+        marks = []
+        for i, x in met:
+            at = starts[i] + i
+            if x.__class__ is str:
+                e = at + len(words[i])
+                marks.append((e - 1, e, ".", i, x))
+            else:
+                for s, e, g in x:
+                    marks.append((at + s, at + e, g, i, ""))
     ignored: set[int] = set()
-    marks = MARK_THAI if thai and THAI.search(text, begin, end) else MARK
-    dots = stops(text, begin, end) if marks is MARK else {}
     while True:
         found, stack, inner = [], [], -1
-        for m in marks.finditer(text, begin, end):
-            s = m.start()
-            c = text[s]
-            e = m.end()
+        for s, e, g, i, word in marks:
+            c = g[0]
             if c == "." and e - s == 1:
                 if e >= end:
                     inner = e
@@ -311,16 +359,14 @@ def candidates(text: str, begin: int, end: int, thai: bool = True) -> list[tuple
                 if after.isdigit():
                     continue
                 if not stack and after.isspace():
-                    inner = e  # by far the most frequent case
-                    if marks is MARK:
-                        if s in dots:
-                            found.append(dots[s])
-                        continue
-                    at, key = first_key(text, e, end)
+                    inner = e
+                    if not thai and i < last and words[i + 1][0].isalnum():
+                        at, key = starts[i + 1] + i + 1, next_key(words, i + 1)
+                    else:
+                        at, key = first_key(text, e, end)
                     if at >= 0:
-                        found.append((" ", "", at, key) if marks is MARK_THAI and THAI.match(text, s - 1) else (".", stop_key(text, s, begin), at, key))
+                        found.append((" ", "", at, key) if thai and THAI.match(text, s - 1) else (".", word or stop_key(text, s, begin), at, key))
                     continue
-            g = m.group()
             if c in CLOSERS or c in "„«「『《(（[":
                 if s in ignored:
                     continue
@@ -408,27 +454,174 @@ def sentences_of(lexicon: Lexicon, lang: str, text: str) -> list[tuple[int, int]
     return out
 
 
+class Words:
+    """The words of many segments of prose, each distinct one looked at once: what it ends, what follows it, how often it is met.
+
+    ``segments`` has (text's number, start, end, whether it holds a script with blanks for stops) of each.
+    """
+
+    def __init__(self, texts: list[str], segments: list[tuple[int, int, int, bool]]):
+        self.texts, self.segments = texts, segments
+        bare = [texts[t][s:e].strip() for t, s, e, _ in segments]
+        lists = pc.utf8_split_whitespace(pa.array(bare, pa.large_string()))
+        held = lists.flatten().dictionary_encode()
+        self.words = held.dictionary.to_pylist()
+        self.codes = held.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.first = lists.offsets.to_numpy().astype(np.int64)  # of each segment
+        self.size = np.diff(self.first)
+        self.of = np.repeat(np.arange(len(segments)), self.size)
+        self.shapes = [_SHAPES[w] for w in self.words]
+        self.lengths = np.array([len(w) for w in self.words], np.int64)[self.codes]
+        before = np.concatenate([[0], np.cumsum(self.lengths + 1)])
+        begin, end = (np.array([x[i] for x in segments], np.int64) for i in (1, 2))
+        self.starts = before[:-1] - np.repeat(before[self.first[:-1]] - begin, self.size)
+        self.regular = before[self.first[1:]] - before[self.first[:-1]] - 1 == end - begin  # one blank between any two words, none around them
+        self.head = np.array([w[0].isalnum() and not SIGNS.match(w) for w in self.words], bool)
+        self.lower, self.digit, self.alpha = (np.array(x, bool) for x in ([w[0].islower() for w in self.words], [w[0].isdigit() for w in self.words], [w.isalpha() for w in self.words]))
+        self.number = np.array([w[0].isdigit() and not HAN.search(w) for w in self.words], bool)
+
+    def keys(self, at: np.ndarray) -> tuple[list[str], np.ndarray]:
+        """Keys of the words at these places, which begin with letters or digits: the distinct ones, and which of them each has."""
+        last = self.first[self.of[at] + 1] - 1
+        codes, n = np.append(self.codes, [0, 0]), len(self.words) + 1
+        one = codes[at]
+        two, three = np.where(at + 1 <= last, codes[at + 1], -1), np.where(at + 2 <= last, codes[at + 2], -1)
+        short = ~self.digit[one] & ((two < 0) | self.alpha[two])
+        two = np.where(self.lower[one], -1, two)
+        three = np.where(self.lower[one] | short, -1, three)
+        if self.number.any():
+            one = np.where(self.number[one], self.number.argmax(), one)  # what a number's digits are is not in its key
+        pairs, which = np.unique(one * n + two + 1, return_inverse=True)
+        triples, which = np.unique(which * n + three + 1, return_inverse=True)
+        words = [*self.words, None]
+        found = []
+        for pair, c in zip(pairs[triples // n].tolist(), (triples % n - 1).tolist()):
+            a, b = words[pair // n], pair % n - 1
+            found.append(_KEYS[a] if a[0].islower() else word_key(a, words[b], words[c]))
+        return found, which
+
+    def places(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The word before each place of all segments whose words say it alone; the words that hold places, likewise; and the segments that are to be looked at one by one."""
+        kinds, opens, shuts, ending, gluing, odd = (np.array([f(x) for x in self.shapes]) for f in (lambda x: x and x[0] or 0, lambda x: x and x[1] or 0, lambda x: x and x[2] or 0, lambda x: bool(x and x[3]), lambda x: bool(x and x[5]), lambda x: x is None))
+        slow = np.array([x[3] for x in self.segments], bool)
+        slow[self.of[odd[self.codes]]] = True
+        # How many quotations and brackets are open before each word; none within another, none left open.
+        depth = np.concatenate([[0], np.cumsum((opens - shuts)[self.codes])])
+        slow[depth[self.first[1:]] != depth[self.first[:-1]]] = True
+        base = depth[self.first[:-1]][self.of]
+        before, after = depth[:-1] - base, depth[1:] - base
+        pair = np.flatnonzero(kinds[self.codes])
+        opened, shut, kind, of = opens[self.codes[pair]], shuts[self.codes[pair]], kinds[self.codes[pair]], self.of[pair]
+        wrong = (after[pair] < 0) | (after[pair] > 1) | (opened > 0) & (before[pair] != 0)
+        wrong[1:] |= (shut[1:] > opened[1:]) & (kind[1:] != kind[:-1]) & (of[1:] == of[:-1])
+        slow[of[wrong]] = True
+        stop = np.flatnonzero(ending[self.codes])
+        stop = stop[(stop + 1 < self.first[self.of[stop] + 1]) & (after[stop] == 0)]
+        slow[self.of[stop[~self.head[self.codes[stop + 1]]]]] = True
+        within = np.flatnonzero(gluing[self.codes])
+        within = within[before[within] == 0]
+        for at in (stop, within):
+            slow[self.of[at]] |= ~self.regular[self.of[at]]
+        return stop[~slow[self.of[stop]]], within[~slow[self.of[within]]], np.flatnonzero(slow)
+
+    def count(self, langs: list[str], held: dict[str, Tally]) -> None:
+        """Add what is met to the counts of the texts' languages."""
+        names = list(dict.fromkeys(langs))
+        for lang in names:
+            held.setdefault(lang, Tally())
+        number = {lang: i for i, lang in enumerate(names)}
+        text_of = np.array([x[0] for x in self.segments], np.int64)
+        lang_of = np.array([number[lang] for lang in langs], np.int64)[text_of]
+        n = len(self.words)
+
+        def add(name: str, keys: np.ndarray, of: np.ndarray, total: int, named) -> None:
+            cells, counts = np.unique(lang_of[of] * total + keys, return_counts=True)
+            at = np.searchsorted(cells, np.arange(len(names) + 1) * total)
+            for lang, a, b in zip(names, at, at[1:]):
+                into = getattr(held[lang], name)
+                for key, times in zip((cells[a:b] % total).tolist(), counts[a:b].tolist()):
+                    into[named(key)] += times
+
+        add("words", self.codes, self.of, n, self.words.__getitem__)
+        capital = np.array([w[0].isalpha() and not w[0].islower() for w in self.words], bool)
+        text = text_of[self.of]
+        pairs = np.flatnonzero(capital[self.codes[:-1]] & (text[:-1] == text[1:]))
+        add("capitals", self.codes[pairs] * n + self.codes[pairs + 1], self.of[pairs], n * n, lambda x: (self.words[x // n], self.words[x % n]))
+        dot = np.array([w[-1] == "." for w in self.words], bool)
+        last = self.first[1:] - 1
+        ends = np.flatnonzero(dot[self.codes[last]])
+        add("last", self.codes[last[ends]], ends, n, lambda x: _ended(self.words[x][:-1]))
+        plain = [self.texts[t][s].isalnum() for t, s, _, _ in self.segments]
+        begun = np.flatnonzero(plain)
+        found, which = self.keys(self.first[begun])
+        add("starts", which, begun, len(found) + 1, found.__getitem__)
+        for i in np.flatnonzero(~np.array(plain, bool)).tolist():
+            t, s, e, _ = self.segments[i]
+            at, key = first_key(self.texts[t], s, e)
+            if at >= 0:
+                held[langs[t]].starts[key] += 1
+
+
+#: Quotations and brackets that a word may begin in front and end behind.
+OPENING, SHUTTING = {"(": 1, '"': 2, "«": 3, "“": 4, "„": 5}, {")": 1, '"': 2, "»": 3, "”": 4, "“": 5}
+
+
+class Shapes(dict):
+    """Word -> (kind of its quotation or bracket, whether it begins one, whether it ends one, mark at its end, key of the word before that, (offset, key) of places within), None if that depends on more than the word."""
+
+    def __missing__(self, word: str) -> tuple | None:
+        shape = _shape(word, _MARKS[word])
+        if len(word) <= LONGEST:
+            if len(self) > KEEP_KEYS:
+                self.clear()
+            self[word] = shape
+        return shape
+
+
+_SHAPES = Shapes()
+
+
+def _shape(word: str, marks: tuple | str) -> tuple | None:
+    if marks.__class__ is str:
+        return 0, 0, 0, ".", marks, ()
+    kind, opened, shut, mark, before, within, inner = 0, 0, 0, "", "", [], -1
+    for s, e, g in marks:
+        c = g[0]
+        if mark or c in "。！？;":
+            return None
+        if c in ".!?…।॥؟":
+            inner = e
+            if e == len(word):
+                mark = "." if g == "." else next((x for x in "!?؟।॥" if x in g), "…")
+                before = ended(word[:-1]) if mark == "." else ""
+            elif opened and not shut:
+                pass  # within a quotation
+            elif word[e] in "¡¿„«\"" and word[e + 1 : e + 2].isalpha():
+                return None
+            elif word[e].isalpha() and word[s - 1 : s].islower() and (c in "!?" or word[max(0, s - 2) : s].islower()):
+                if kind or not word[e].islower():
+                    return None
+                within.append((e, _KEYS[word[e:]]))
+        elif s == 0 and c in OPENING:
+            kind, opened = OPENING[c], 1
+        elif s and c in SHUTTING and not shut and kind in (0, SHUTTING[c]) and not within:
+            kind, shut = SHUTTING[c], 1
+            if inner == s:
+                if e == len(word):
+                    mark = ")"
+                elif word[e] not in ",;:，、；：.。":
+                    return None
+        else:
+            return None
+    return kind, opened, shut, mark, before, tuple(within)
+
+
 class Tally:
     """Counts of one language's certain starts (s), places behind other marks (q), ends of lines (e) and all words (n)."""
 
     def __init__(self):
         self.starts, self.behind, self.last, self.words, self.capitals = (Counter() for _ in range(5))
 
-    def add(self, text: str, parts: list[tuple[int, int]]) -> None:
-        """Count a text's segments of prose, (start, end) each."""
-        for body, e in parts:
-            at, key = first_key(text, body, e)
-            if at >= 0:
-                self.starts[key] += 1
-            e = bare_end(text, body, e)
-            if text[e - 1] == "." and e > body:
-                self.last[stop_key(text, e - 1, body)] += 1
-        lines = "\n".join([text[body:e] for body, e in parts])
-        words = lines.split()
-        self.words.update(words)
-        self.capitals.update([(a, b) for a, b in zip(words, words[1:]) if a[0] not in LOWER])
-        self.behind.update(COLON.findall(lines))
-
     def size(self) -> int:
         return sum(map(len, (self.starts, self.behind, self.last, self.words, self.capitals)))
 
@@ -448,7 +641,7 @@ class Tally:
             if word[-1] == "." and len(word) > 1:
                 out["w", ended(word[:-1])] += n
         for (a, b), n in self.capitals.items():
-            key = word_key(a, b, "").partition("\t")[2] if a[0].isalpha() and not a[0].islower() else ""
+            key = word_key(a, b, "").partition("\t")[2]
             if key:
                 out["n", key] += n
         return out
@@ -479,6 +672,39 @@ def bare_end(text: str, begin: int, at: int) -> int:
     return at
 
 
+def all_places(words: Words) -> tuple[pa.StructArray, np.ndarray]:
+    """The places of all segments, and the segment of each; a segment's are in order."""
+    at, within, slow = words.places()
+    found, which = words.keys(at + 1)
+    code = words.codes[at]
+    cols = [pa.array([x and x[i] for x in words.shapes], pa.string()).take(pa.array(code)) for i in (3, 4)]
+    cols += [pa.array(found, pa.string()).take(pa.array(which)), pa.array(words.starts[at + 1], pa.int32()), pa.array(words.starts[at] + words.lengths[at], pa.int32())]
+    plain = pa.StructArray.from_arrays(cols, names=["mark", "word", "key", "start_at", "ended"])
+    rest, of = [], []
+    for c, begin, i in zip(words.codes[within].tolist(), words.starts[within].tolist(), words.of[within].tolist()):
+        for e, key in words.shapes[c][5]:
+            rest.append(("^", "", key, begin + e, begin + e))
+            of.append(i)
+    for i in slow.tolist():
+        t, s, e, thai = words.segments[i]
+        text = words.texts[t]
+        for mark, word, begin, key in candidates(text, s, e, thai):
+            rest.append((mark, word, key, begin, begin - 1 if not text[begin - 2].isspace() and text[begin - 1].isspace() else bare_end(text, s, begin)))
+            of.append(i)
+    return pa.concat_arrays([plain, place_columns(*zip(*rest))]), np.concatenate([words.of[at], np.array(of, np.int64)])
+
+
+def blocks(batches):
+    """The batches in parts of about as many bytes of text as are looked at together; no text is cut."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(batch):
+            size = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOGETHER, side="right")) - at)
+            yield batch.slice(at, size)
+            at += size
+
+
 def scan(texts: DataFrame, id_col: str | None, text_col: str, lang_col: str | None) -> DataFrame:
     """One pass over all texts: a row a text with its places (id, uid, lang, last, places), and rows with counts (lang, kind, key, n).
 
@@ -508,9 +734,9 @@ def scan(texts: DataFrame, id_col: str | None, text_col: str, lang_col: str | No
             m = len(cols[0])
             return pa.RecordBatch.from_arrays([pa.nulls(m, id_type), pa.array(cols[0], pa.string()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.list_(place_columns().type)), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int64())], names=NAMES)
 
-        for batch in batches:
-            rows, langs, lasts, sizes = [], [], [], [0]
-            marks, words, keys, starts, ends = [], [], [], [], []
+        for batch in blocks(batches):
+            rows, texts, langs, lasts, sizes = [], [], [], [], [0]
+            starts, ends, parts, units_of = [], [], [], []
             for number, (text, label) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
                 if not text:
                     continue
@@ -518,25 +744,34 @@ def scan(texts: DataFrame, id_col: str | None, text_col: str, lang_col: str | No
                 if not units:
                     continue
                 lang = language(label, text)
-                plain = text.isascii()
-                dense = not plain and bool(DENSE.search(text))
-                prose = [(body, e) for _, e, body in units if body >= 0]
-                if prose:
-                    held.setdefault(lang, Tally()).add(text, prose)
-                before = 0
+                dense = not text.isascii() and bool(DENSE.search(text))
+                before, t, lines = 0, len(texts), []
                 for s, e, body in units:
                     begin = s
                     while begin < e and text[begin].isspace():
                         begin += 1
-                    marks.append(None), words.append(None), keys.append(None), starts.append(begin), ends.append(before)
                     if body >= 0:
-                        for mark, word, at, key in candidates(text, body, e, dense):
-                            before = at - 1 if not text[at - 2].isspace() and text[at - 1].isspace() else bare_end(text, begin, at)
-                            marks.append(mark), words.append(word), keys.append(key), starts.append(at), ends.append(before)
+                        if bare_end(text, body, e) > body:
+                            parts.append((t, body, e, dense and bool(THAI.search(text, body, e))))
+                            units_of.append(len(starts))
+                        lines.append(text[body:e])
+                    starts.append(begin), ends.append(before)
                     before = bare_end(text, begin, e)
-                rows.append(number), langs.append(lang), lasts.append(before), sizes.append(len(marks))
+                if ":" in text and lines:
+                    held.setdefault(lang, Tally()).behind.update(COLON.findall("\n".join(lines)))
+                rows.append(number), texts.append(text), langs.append(lang), lasts.append(before), sizes.append(len(starts))
+            places = place_columns([None] * len(starts), [None] * len(starts), [None] * len(starts), starts, ends)
             m = len(rows)
-            lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), place_columns(marks, words, keys, starts, ends))
+            if parts:
+                words = Words(texts, parts)
+                words.count(langs, held)
+                found, unit = all_places(words)
+                of = np.concatenate([np.arange(len(starts)), np.array(units_of)[unit]])
+                places = pa.concat_arrays([places, found])
+                order = np.lexsort((places.field("start_at").to_numpy(), np.arange(len(of)) >= len(starts), of))
+                places = places.take(pa.array(order))
+                sizes = np.searchsorted(of[order], sizes)
+            lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), places)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())).cast(id_type), pa.array(langs, pa.string()), pa.array(lasts, pa.int32()), lists, pa.nulls(m, pa.string()), pa.nulls(m, pa.string()), pa.nulls(m, pa.int64())], names=NAMES)
             if sum(t.size() for t in held.values()) > FLUSH:
                 yield counts()

@@ -138,3 +138,33 @@ def test_words_of_every_text_count(spark):
         met[r.kind, r.key] = met.get((r.kind, r.key), 0) + r.n
     assert met["n", "approx"] == met["w", "approx"] == 3 and met["n", "oil"] == 2 and met["q", "Then\tThen stop"] == 1
     assert sum(n for (kind, key), n in met.items() if kind == "n" and " " not in key) == sum(not w[0].isdigit() for t in texts for w in t.split())
+
+
+def test_key_of_a_number_does_not_depend_on_others():
+    """A number that begins with a point has the two words behind it in its key, whatever was read before."""
+    keys = [sentences.first_key(text, 0, len(text))[1] for text in (".23 V on it", ".23 V must reach it", ".23 V")]
+    assert keys == ["# V on", "# V must", "# V "]
+
+
+def test_places_of_many_are_those_of_each():
+    """What is found in many texts together is what going through each segment mark by mark finds."""
+    rng = random.Random(4)
+    parts = (*PARTS, ". ", " ", " ", "  ", "e.g. ", "p.m.)", "(cf. ", ") ", ".) ", ' "', '." ', "“", "” ", "„", ".“ ", "« ", "»", "?! ", "... ", "… ", "。", "使用", "ไทย ", "¿", ";", "\xa0❶", "a.b", "x.Y", "Bar ", "20 ", ".5 V ", "\n", "\u200b")
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 20))) for _ in range(3000)]
+    held = [(t, b, e, bool(sentences.THAI.search(x, b, e))) for t, x in enumerate(texts) for _, e, b in sentences.segments(x) if b >= 0 and x[b:e].strip()]
+    places, of = sentences.all_places(sentences.Words(texts, held))
+    got = {}
+    for i, r in zip(of.tolist(), places.to_pylist()):
+        got.setdefault(i, []).append((r["start_at"], r["mark"], r["word"], r["key"], texts[held[i][0]][: r["ended"]]))
+    for i, (t, b, e, _) in enumerate(held):
+        assert sorted(got.get(i, [])) == sorted((at, mark, word, key, texts[t][:at].rstrip()) for mark, word, at, key in sentences.candidates(texts[t], b, e))
+
+
+def test_blocks(spark, small, monkeypatch):
+    """Results do not depend on how many texts are looked at together."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"id": list(range(6)), "text": ["ab", None, "", "x" * 50, "abc", "d"], "lang": [None] * 6})
+    monkeypatch.setattr(sentences, "TOGETHER", 4)
+    cut = [b.column(1).to_pylist() for b in sentences.blocks(iter([batch, batch.slice(0, 0)]))]
+    assert cut == [["ab", None, ""], ["x" * 50], ["abc", "d"]]
