@@ -1,5 +1,8 @@
 """Sequences, graphs and folds against brute force and known values."""
 
+import random
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -79,3 +82,78 @@ def test_greedy_clusters(spark, vectors):
             leaders.append(i)
         wanted[f"v{i}"] = f"v{lead}"
     assert got == wanted
+
+
+def plain_distance(a, b, width):
+    """The beam search of one pair, candidate by candidate."""
+    (na, ea), (nb, eb) = a, b
+    left, right = sorted(na), sorted(nb)
+
+    def edge_cost(x, y):
+        return 0.0 if x == y else 0.5 if x is not None and y is not None else 1.0
+
+    states = [(0.0, ())]
+    for i, v in enumerate(left):
+        grown = []
+        for cost, done in states:
+            free = [j for j in range(len(right)) if j not in done]
+            for j in [*free, -1]:
+                total = cost + (1.0 if j < 0 else float(na[v] != nb[right[j]]))
+                for p, q in [*enumerate(done), (i, j)]:
+                    for s, t in {(p, i), (i, p)}:
+                        k, m = (q if s == p else j), (j if t == i else q)
+                        total += edge_cost(ea.get((left[s], left[t])), eb.get((right[k], right[m])) if k >= 0 and m >= 0 else None)
+                later, held = [na[u] for u in left[i + 1 :]], [nb[right[q]] for q in free if q != j]
+                common = sum(min(later.count(x), held.count(x)) for x in {*later})
+                grown.append((total + max(len(later), len(held)) - common, (*done, j), total))
+        states = [(total, done) for _, done, total in sorted(grown)[:width]]
+
+    def rest(done):
+        inside = {right[j] for j in range(len(right)) if j not in done}
+        return len(inside) + sum(s in inside or t in inside for s, t in eb)
+
+    return min(cost + rest(done) for cost, done in states)
+
+
+def drawn_graph(draw, labels, nodes):
+    ids = draw.sample(range(100), nodes)
+    edges = {(s, t): draw.choice(("NEXT", "THEN", "IF")) for s, t in zip(ids, ids[1:])} | {(draw.choice(ids), draw.choice(ids)): "NEXT" for _ in range(3) if ids}
+    return {v: draw.choice(labels) for v in ids}, edges
+
+
+def test_graph_distances_of_many_pairs_are_those_of_each():
+    draw = random.Random(3)
+    for width in (1, 5, 24):
+        pairs = [tuple(drawn_graph(draw, "abcdefghijkl"[:kinds], draw.randint(0, 7)) for _ in "ab") for kinds in (1, 3, 12) for _ in range(25)]
+        lefts, rights = zip(*(similarity._numbered(*p) for p in pairs))
+        wanted = [plain_distance(a, b, width) for a, b in pairs]
+        assert similarity.graph_distances(lefts, rights, width).tolist() == wanted
+        assert similarity.graph_distances(lefts, rights, width, cells=1).tolist() == wanted
+
+
+def test_large_graphs_are_compared_by_distance_too():
+    def chain(labels):
+        return dict(enumerate(labels)), {(i, i + 1): "NEXT" for i in range(len(labels) - 1)}
+
+    for n in (25, 26, 60):
+        one, other = chain([f"a{i}" for i in range(n)]), chain([f"b{i}" for i in range(n)])
+        assert similarity.graph_similarity(one, one) == 1
+        assert similarity.graph_similarity(one, other) == pytest.approx(1 - plain_distance(one, other, 24) / (4 * n - 2))
+
+
+def test_many_pairs_of_graphs_take_little_time():
+    draw = random.Random(4)
+    graphs_ = similarity._numbered(*(drawn_graph(draw, [f"step {i}" for i in range(300)], 14) for _ in range(4000)))
+    began = time.process_time()
+    similarity.graph_similarities(graphs_[:2000], graphs_[2000:])
+    assert time.process_time() - began < 10
+
+
+def test_structural_takes_the_last_relation_and_keeps_columns(spark):
+    names = {"w1": "abc", "w2": "abc", "w3": "a" * 30}
+    nodes = spark.createDataFrame([(w, f"{w}-{i:02d}", x) for w, own in names.items() for i, x in enumerate(own)], "workflow_id string, node_id string, normal string")
+    links = [("w1", 0, "w1-00", "w1-01", "NEXT"), ("w1", 1, "w1-00", "w1-01", "THEN"), ("w1", 2, "w1-00", "gone", "NEXT"), ("w2", 0, "w2-00", "w2-01", "THEN")]
+    edges = spark.createDataFrame(links, "workflow_id string, seq int, source string, target string, relation string")
+    pairs = spark.createDataFrame([("w1", "w2", 7), ("w1", "w3", 8)], "left_id string, right_id string, mark int")
+    got = {r.mark: r.structural for r in similarity.structural(pairs, nodes, edges).collect()}
+    assert got == {7: 1.0, 8: round(1 - 30 / 34, 4)}
