@@ -155,5 +155,7 @@ def test_structural_takes_the_last_relation_and_keeps_columns(spark):
     links = [("w1", 0, "w1-00", "w1-01", "NEXT"), ("w1", 1, "w1-00", "w1-01", "THEN"), ("w1", 2, "w1-00", "gone", "NEXT"), ("w2", 0, "w2-00", "w2-01", "THEN")]
     edges = spark.createDataFrame(links, "workflow_id string, seq int, source string, target string, relation string")
     pairs = spark.createDataFrame([("w1", "w2", 7), ("w1", "w3", 8)], "left_id string, right_id string, mark int")
-    got = {r.mark: r.structural for r in similarity.structural(pairs, nodes, edges).collect()}
+    rows = similarity.structural(pairs, nodes, edges)
+    assert rows.columns == [*pairs.columns, "structural"]
+    got = {r.mark: r.structural for r in rows.collect()}
     assert got == {7: 1.0, 8: round(1 - 30 / 34, 4)}
