@@ -159,3 +159,11 @@ def test_structural_takes_the_last_relation_and_keeps_columns(spark):
     assert rows.columns == [*pairs.columns, "structural"]
     got = {r.mark: r.structural for r in rows.collect()}
     assert got == {7: 1.0, 8: round(1 - 30 / 34, 4)}
+
+
+def test_alignments_of_many_pairs_are_those_of_each(spark):
+    draw = random.Random(5)
+    rows = [(i, *([draw.choice(["a", "b", "c", "d", None]) for _ in range(draw.randint(0, 9))] for _ in "xy")) for i in range(120)]
+    pairs = spark.createDataFrame(rows, "id int, x array<string>, y array<string>")
+    wanted = {r.id: r.v for r in pairs.select("id", similarity.align("x", "y").alias("v")).collect()}
+    assert {r.id: r.v for r in similarity.alignments(pairs, "x", "y", "v").collect()} == {i: pytest.approx(v, abs=1e-12) for i, v in wanted.items()}
