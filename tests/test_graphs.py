@@ -6,7 +6,9 @@ import time
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from loomwright.functions import vectors
 from loomwright.operators import graphs, segment, similarity
 
 LABELS = st.lists(st.sampled_from("abcd"), max_size=5)
@@ -167,3 +169,11 @@ def test_alignments_of_many_pairs_are_those_of_each(spark):
     pairs = spark.createDataFrame(rows, "id int, x array<string>, y array<string>")
     wanted = {r.id: r.v for r in pairs.select("id", similarity.align("x", "y").alias("v")).collect()}
     assert {r.id: r.v for r in similarity.alignments(pairs, "x", "y", "v").collect()} == {i: pytest.approx(v, abs=1e-12) for i, v in wanted.items()}
+
+
+def test_bucket_cosines_of_many_pairs_are_those_of_each(spark):
+    draw = random.Random(6)
+    rows = [(i, *([draw.randrange(64) for _ in range(draw.randint(0, 30))] for _ in "xy")) for i in range(600)]
+    pairs = spark.createDataFrame(rows, "id int, x array<int>, y array<int>")
+    wanted = {r.id: r.v for r in pairs.select("id", vectors.bucket_cosine(F.col("x"), F.col("y")).alias("v")).collect()}
+    assert {r.id: r.v for r in similarity.scored(pairs, ["x", "y"], "v", vectors.bucket_cosines).collect()} == {i: pytest.approx(v, abs=1e-12) for i, v in wanted.items()}
